@@ -19,12 +19,29 @@ from pyspark.sql import functions as F
 from ._shared import power_of_two, text_bytes
 
 U = np.uint64
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 REQUEST = "bucket int, chunk int, kind int, tokens binary, counts binary"
 REPLY = "bucket int, chunk int, kind int, counts binary"
 #: Rows of kinds below 0 pass a bucket unchanged: what a chunk leaves for its own next pass.
 
 
+def small(counts: np.ndarray) -> bytes:
+    """Counts as compressed bytes, most of them 1; those of 255 or more follow in full."""
+    import zstandard
+
+    low = np.minimum(counts, 255).astype(np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(low.tobytes() + np.asarray(counts)[low == 255].astype("<i8").tobytes()) + len(low).to_bytes(4, "little")
+
+
+def full(body: bytes) -> np.ndarray:
+    import zstandard
+
+    n, raw = int.from_bytes(body[-4:], "little"), zstandard.ZstdDecompressor().decompress(body[:-4])
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<i8", offset=n)
+    return out
+
+
 class Layout:
     """How many chunks and buckets; both follow the bytes of text."""
 
@@ -46,11 +63,10 @@ class Layout:
         packed = np.ascontiguousarray(rest).view(np.uint8).reshape(-1, 8)[:, :width]
         if check is not None:
             packed = np.concatenate([packed, np.ascontiguousarray(check.astype("<u4")).view(np.uint8).reshape(-1, 4)], axis=1)
-        counts = np.minimum(counts, 0xFFFFFFFF).astype("<u4")
         for b in range(self.buckets):
             lo, hi = int(edges[b]), int(edges[b + 1])
             if lo < hi:
-                out.append((b, chunk, kind, np.ascontiguousarray(packed[lo:hi]).tobytes(), counts[lo:hi].tobytes()))
+                out.append((b, chunk, kind, np.ascontiguousarray(packed[lo:hi]).tobytes(), small(counts[lo:hi])))
 
     def keep(self, chunk: int, kind: int, body: bytes, out: list, bucket: int | None = None) -> None:
         out.append((chunk % self.buckets if bucket is None else bucket, chunk, -abs(kind), b"", body))
@@ -92,10 +108,10 @@ def add_up(table: pa.Table) -> pa.Table:
         else:
             by.setdefault(k, []).append(r)
     for k, members in by.items():
-        counts = [np.frombuffer(table.column(4)[r].as_py(), "<u4") for r in members]
+        counts = [full(table.column(4)[r].as_py()) for r in members]
         parts = [np.frombuffer(table.column(3)[r].as_py(), np.uint8).reshape(len(c), -1) for r, c in zip(members, counts, strict=True)]
         width = parts[0].shape[1]
-        raw, each = np.concatenate(parts), np.concatenate(counts).astype(np.int64)
+        raw, each = np.concatenate(parts), np.concatenate(counts)
         wide = np.zeros((len(raw), 16 if width > 8 else 8), np.uint8)
         wide[:, :width] = raw
         keys = wide.view("<u8")
@@ -106,10 +122,9 @@ def add_up(table: pa.Table) -> pa.Table:
         group = np.cumsum(new) - 1
         total = np.empty(len(keys), np.int64)
         total[order] = np.bincount(group, weights=each[order])[group].astype(np.int64)
-        total = np.minimum(total, 0xFFFFFFFF).astype("<u4")
         at = 0
         for r, c in zip(members, counts, strict=True):
-            out.append((bucket[r], chunk[r], k, total[at : at + len(c)].tobytes()))
+            out.append((bucket[r], chunk[r], k, small(total[at : at + len(c)])))
             at += len(c)
     return rows(out, REPLY_SCHEMA)
 
@@ -123,7 +138,7 @@ class Replies:
             self.found.setdefault(k, []).append((b, body))
 
     def counts(self, kind: int) -> np.ndarray:
-        return np.frombuffer(b"".join(x for _, x in sorted(self.found.get(kind, []))), "<u4").astype(np.int64)
+        return np.concatenate([np.zeros(0, np.int64), *(full(x) for _, x in sorted(self.found.get(kind, [])))])
 
     def raw(self, kind: int) -> list[tuple[int, bytes]]:
         return sorted(self.found.get(kind, []))

@@ -76,8 +76,7 @@ def score(documents: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT
     def finish(table: pa.Table, replies: C.Replies) -> pa.Table:
         g = _Grams(plan, table.column("text"))
         n, first_word, per = len(g.words), g.words.first, g.words.counts
-        c1 = np.frombuffer(b"".join(x for _, x in replies.raw(-1)), "<u4").astype(float)
-        c2 = np.frombuffer(b"".join(x for _, x in replies.raw(-2)), "<u4").astype(float)
+        c1, c2 = replies.counts(-1).astype(float), replies.counts(-2).astype(float)
         word = c1[g.at1] if n else np.zeros(0)
         s = np.log(word / max(1.0, total))
         kind = np.ones(n, np.int8)
