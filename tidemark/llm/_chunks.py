@@ -42,6 +42,19 @@ def full(body: bytes) -> np.ndarray:
     return out
 
 
+def planes(packed: np.ndarray) -> bytes:
+    """Sorted tokens, first bytes, second bytes and so on: the leading bytes of sorted tokens compress to little."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(packed.T).tobytes())
+
+
+def unplaned(body: bytes, n: int) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(-1, n).T
+
+
 class Layout:
     """How many chunks and buckets; both follow the bytes of text."""
 
@@ -66,7 +79,7 @@ class Layout:
         for b in range(self.buckets):
             lo, hi = int(edges[b]), int(edges[b + 1])
             if lo < hi:
-                out.append((b, chunk, kind, np.ascontiguousarray(packed[lo:hi]).tobytes(), small(counts[lo:hi])))
+                out.append((b, chunk, kind, planes(packed[lo:hi]), small(counts[lo:hi])))
 
     def keep(self, chunk: int, kind: int, body: bytes, out: list, bucket: int | None = None) -> None:
         out.append((chunk % self.buckets if bucket is None else bucket, chunk, -abs(kind), b"", body))
@@ -109,7 +122,7 @@ def add_up(table: pa.Table) -> pa.Table:
             by.setdefault(k, []).append(r)
     for k, members in by.items():
         counts = [full(table.column(4)[r].as_py()) for r in members]
-        parts = [np.frombuffer(table.column(3)[r].as_py(), np.uint8).reshape(len(c), -1) for r, c in zip(members, counts, strict=True)]
+        parts = [unplaned(table.column(3)[r].as_py(), len(c)) for r, c in zip(members, counts, strict=True)]
         width = parts[0].shape[1]
         raw, each = np.concatenate(parts), np.concatenate(counts)
         wide = np.zeros((len(raw), 16 if width > 8 else 8), np.uint8)
