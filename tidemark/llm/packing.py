@@ -12,6 +12,7 @@ equal rows are interchangeable; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -51,31 +52,33 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain(self, stem: str) -> bytes:
+        """Ids of lower-case letters that no normalisation changes: straight from the model, over its alphabet of bytes."""
+        return np.array([t.id for t in self.tokenizer.model.tokenize(stem.encode().decode("latin-1").translate(_ALPHABET))], "<u4").tobytes()
+
     def _learn(self, missing: set[str]) -> None:
-        split: list[tuple[str, str, str]] = []
-        wanted: set[str] = set()
+        if len(self.stems) > CACHE:
+            self.stems = {}
+        if len(self.words) > 2 * CACHE:
+            self.words = {}
+        stems, words, rest = self.stems, self.words, []
         for w in missing:
             low = w.lower()
             stem = low.rstrip(self._TAIL)
-            if stem and stem.isalpha() and max(stem) < "ɐ":  # letters that are one code point each in any case and normal form
-                tail = low[len(stem) :]
+            # letters that are one code point each in any case and normal form
+            if stem.isalpha() and (stem.isascii() or max(stem) < "ɐ"):
+                ids = stems.get(stem)
+                if ids is None:
+                    ids = stems[stem] = self._plain(stem)
+                if len(stem) < len(low):
+                    tail = low[len(stem) :]
+                    if tail not in stems:
+                        stems[tail] = self._raw([tail])[0]
+                    ids += stems[tail]
+                words[w] = ids
             else:
-                stem, tail = w, ""
-            split.append((w, stem, tail))
-            wanted.add(stem)
-            if tail:
-                wanted.add(tail)
-        if len(self.stems) > CACHE:
-            self.stems = {}
-        new = [x for x in wanted if x not in self.stems]
-        self.stems.update(zip(new, self._raw(new), strict=True))
-        if len(self.words) > CACHE:
-            self.words = {}
-        for w, stem, tail in split:
-            self.words[w] = self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
-        for x in wanted:  # what the stems of this call need stays until they are read
-            if x not in self.stems:
-                raise KeyError(x)
+                rest.append(w)
+        words.update(zip(rest, self._raw(rest), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         lists: list[list[str] | None] = []
@@ -101,6 +104,14 @@ class Encoder:
         return [b"".join(map(get, x)) if x is not None else self._raw([t])[0] for x, t in zip(lists, texts, strict=True)]
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_ALPHABET = _byte_alphabet()
 _encoders: dict[str, Encoder] = {}
 
 
@@ -114,10 +125,11 @@ def pieces(documents: DataFrame, tokenizer: str, length: int = LENGTH, end_id: i
     """doc_id, h (a hash of the row), start, length, ids_crc32, doc_tokens: whole sequences first, then the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # millions of strings and bytes live in the caches, and no cycles
         coder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for lo in range(0, whole.num_rows, 128):
-                batch = whole.slice(lo, 128)
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
                 row: list[int] = []
                 start: list[int] = []
                 size: list[int] = []
