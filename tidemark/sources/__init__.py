@@ -1 +1,67 @@
+"""Readers: long observations (patient_id, day, score) from wide CSV, Parquet and the driver's tables; JSON sidecars."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def wide_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A wide matrix (rows Day_<d>, columns Patient_<id>) as long rows; missing and NaN scores are left out."""
+    header = spark.read.option("header", True).csv(path).columns
+    schema = f"`{header[0]}` string, " + ", ".join(f"`{c}` double" for c in header[1:])
+    wide = spark.read.option("header", True).schema(schema).csv(path)
+    long = wide.unpivot([header[0]], header[1:], "patient", "score").where(F.col("score").isNotNull() & ~F.isnan("score"))
+    return long.select(F.regexp_extract("patient", r"_(\d+)$", 1).cast("int").alias("patient_id"), F.split(header[0], "_")[1].cast("int").alias("day"), "score")
+
+
+def parquet(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select(F.col("patient_id").cast("int"), F.col("day").cast("int"), F.nanvl(F.col("score").cast("double"), F.lit(None).cast("double")).alias("score")).where("score IS NOT NULL")
+
+
+def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON sidecar as one row; pattern counts stay a map."""
+    return spark.read.option("multiLine", True).schema(SIDECAR).json(path)
+
+
+SIDECAR = """generation_timestamp string, random_seed int, config_hash string,
+study_design struct<n_patients:int,total_days:int,min_surveys_per_patient:int,max_surveys_per_patient:int>,
+model_parameters struct<ar_coefficient:double,baseline_mean:double,baseline_std:double,recovery_rate_mean:double,recovery_rate_std:double,noise_std:double>,
+relapse_config struct<distribution:string,probability:double,magnitude_mean:double>,
+missingness_config struct<dropout_rate:double,mcar_rate:double>,
+features struct<response_patterns_enabled:boolean,plateau_logic_enabled:boolean>,
+response_pattern_distribution map<string,int>,
+generation_statistics struct<total_observations:int,missingness_rate:double,n_observation_days:int,patients_in_plateau:int>"""
+
+
+def write_wide_csv(obs: DataFrame, path: str) -> None:
+    """The export in the wide format: one column for each patient that was observed, up to 10,000 of them."""
+    ids = [r[0] for r in obs.select("patient_id").distinct().orderBy("patient_id").limit(10_001).collect()]
+    if len(ids) > 10_000:
+        raise ValueError("more patients than a wide file holds; write Parquet")
+    wide = obs.groupBy("day").pivot("patient_id", ids).agg(F.first("score")).orderBy("day")
+    wide.select(F.concat(F.lit("Day_"), "day").alias("Day"), *(F.col(f"`{i}`").alias(f"Patient_{i}") for i in ids)).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def _collapse(rows: DataFrame, keys: list, score) -> DataFrame:
+    return rows.groupBy(*keys).agg(score.alias("score"))
+
+
+def _week(c: str):
+    return (F.floor(F.datediff(F.col(c), F.lit("1995-01-01").cast("date")) / 7) + 1).cast("int").alias("day")
+
+
+def obs_orders(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.read.parquet(f"{d}/orders.parquet")
+    return _collapse(t, [F.col("o_custkey").alias("patient_id"), _week("o_orderdate")], F.least(F.lit(27.0), F.avg("o_totalprice") * 27 / 500000))
+
+
+def obs_events(spark: SparkSession, d: str, by_type: bool = False) -> DataFrame:
+    t = spark.read.parquet(f"{d}/events.parquet")
+    keys = [F.col("user_id").alias("patient_id"), (F.datediff("ts", F.lit("2024-01-01").cast("date")) + 1).alias("day")]
+    return _collapse(t, keys + [F.col("event_type").alias("dataset")] * by_type, F.least(F.lit(27.0), F.avg("value") * 0.27))
+
+
+def obs_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.read.parquet(f"{d}/lineitem.parquet")
+    return _collapse(t, [F.col("l_suppkey").alias("patient_id"), _week("l_shipdate")], F.avg("l_quantity") * 27 / 50)

@@ -1 +1,38 @@
+"""Online variants over a stream of events (ts, user_id, value): daily variation with a watermark, and relapses by patient."""
 
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def daily_cv(events: DataFrame, delay: str = "1 day") -> DataFrame:
+    g = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", "1 day")).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("*").alias("n"))
+    return g.select(F.col("window.start").alias("day"), "mean", "std", "n", (F.col("std") / F.nullif(F.col("mean"), F.lit(0.0))).alias("cv"))
+
+
+def relapses(visits: DataFrame, threshold: float = 3.0, low: int = 7, high: int = 30) -> DataFrame:
+    """visits: (patient_id, day, score); the state of a patient is the last visit."""
+
+    def step(key, batches, state):
+        last_day, last = state.get if state.exists else (None, None)
+        rows = pd.concat(list(batches)).sort_values("day")
+        out = []
+        for d, s in zip(rows["day"].tolist(), rows["score"].tolist(), strict=True):
+            if last_day is not None and d <= last_day:
+                continue  # late: its neighbours were settled
+            if last_day is not None and low <= d - last_day <= high and s - last >= threshold:
+                out.append((key[0], d, d - last_day, s - last))
+            last_day, last = d, s
+        state.update((last_day, last))
+        yield pd.DataFrame(out, columns=["patient_id", "day", "gap", "increase"])
+
+    return visits.groupBy("patient_id").applyInPandasWithState(step, "patient_id long, day int, gap int, increase double", "day int, score double", "append", "NoTimeout")
+
+
+def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now, into a table in memory."""
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.table(name)
