@@ -154,4 +154,4 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     done = dedup(documents).drop("__line_n", "__line_removed")
     if "n_chars" in documents.columns:
         done = done.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return done.select(*documents.columns)
+    return done
