@@ -50,6 +50,21 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def roots(pointers: DataFrame) -> DataFrame:
+    """(node, label) of pointers (a, b) where b < a and each a points once: what is reached at the end of its pointers, by
+    doubling; one row a node and round."""
+    now = materialize(pointers.select(F.col("a").alias("node"), F.col("b").alias("label")), "roots")
+    while True:
+        far = now.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        moved = now.join(far, "label", "left").select("node", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved"))
+        now = materialize(moved, "roots")
+        if now.where("moved").isEmpty():
+            break
+        now = now.drop("moved")
+    now = now.drop("moved")
+    return now.unionAll(now.select(F.col("label").alias("node"), "label").distinct())
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: (node, label), label the smallest node that is reachable.
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _chunks as C
-from ._shared import components, materialize
+from ._shared import components, materialize, roots
 from ._text import U, Words, buffers, mix, shingle_sets
 
 SIZE = 5
@@ -271,15 +271,15 @@ def _groups(percent: int):
     return run
 
 
-def links(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(sets, links): th and n of all texts; links (a, b) that connect every class of texts."""
+def text_classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(sets, labels): th and n of all texts; (node, label) of the texts that have links."""
     sets = materialize(shared_sets(documents, size, percent), "sets")
     able = sets.where(F.col("shared").isNotNull())
     postings = able.select("th", F.explode("prefix").alias("token"))
     leaders = postings.groupBy("token").agg(F.min("th").alias("lead"), F.count("*").alias("members")).where("members > 1")
     toward = postings.join(leaders, "token").groupBy("th").agg(F.min("lead").alias("lead")).where("th <> lead")
     first = materialize(verify(toward.select(F.col("th").alias("a"), F.col("lead").alias("b")), able, percent), "links")
-    labels = components(first)
+    labels = materialize(roots(first), "labels")
     classed = postings.join(labels.withColumnRenamed("node", "th"), "th", "left").select("th", "token", F.coalesce("label", "th").alias("label"))
     mixed = classed.groupBy("token").agg(F.count("*").alias("members"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("parts"))
     members = classed.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("th"), F.col("parts")).cast("int"))
@@ -289,14 +289,18 @@ def links(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tup
     paired = paired.withColumn("gid", F.xxhash64("token", "low", "high"))
     grouped = paired.select("gid", "low", "high", "block", "th", "n", "m", "label", "signature").repartition("gid").sortWithinPartitions("gid", "low", "high", "th")
     met = grouped.mapInArrow(_groups(percent), "a long, b long").distinct()
-    second = materialize(verify(met, able, percent), "links")
-    return sets, first.unionAll(second)
+    second = verify(met, able, percent)
+    for end in ("a", "b"):  # links between classes, not between texts
+        second = second.join(labels.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+    merged = components(second.where("a <> b"))
+    both = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    alone = merged.join(labels.select("node"), "node", "left_anti")
+    return sets, both.unionAll(alone)
 
 
 def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    sets, found = links(documents, size, percent)
-    labels = components(found)
+    sets, labels = text_classes(documents, size, percent)
     texts = sets.select("th", "n").join(labels.withColumnRenamed("node", "th"), "th", "left").select("th", "n", F.coalesce("label", "th").alias("label"))
     rows = documents.select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("th"))
     joined = rows.join(texts, "th", "left")
