@@ -143,9 +143,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 class Tree:
     """A signature tree over the members of one block: level 0 holds the members, each further level FAN times fewer nodes."""
 
-    def __init__(self, n: np.ndarray, m: np.ndarray, label: np.ndarray, bits: np.ndarray):
+    def __init__(self, n: np.ndarray, m: np.ndarray, left: np.ndarray, label: np.ndarray, bits: np.ndarray):
         pop = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-        self.levels = [{"low": n, "high": n, "m": m, "pop": pop, "bits": bits, "label": label, "one": np.ones(len(n), bool)}]
+        self.levels = [{"low": n, "high": n, "m": m, "left": left, "pop": pop, "bits": bits, "label": label, "one": np.ones(len(n), bool)}]
         step = LEAF
         while len(self.levels[-1]["low"]) > 1:
             x = self.levels[-1]
@@ -155,6 +155,7 @@ class Tree:
                     "low": np.minimum.reduceat(x["low"], at),
                     "high": np.maximum.reduceat(x["high"], at),
                     "m": np.maximum.reduceat(x["m"], at),
+                    "left": np.maximum.reduceat(x["left"], at),
                     "pop": np.minimum.reduceat(x["pop"], at),
                     "bits": np.bitwise_or.reduceat(x["bits"], at, axis=0),
                     "label": np.minimum.reduceat(x["label"], at),
@@ -166,11 +167,13 @@ class Tree:
 
 def _possible(x: dict, i: np.ndarray, y: dict, j: np.ndarray, percent: int) -> np.ndarray:
     """Of node pairs, those that may hold a link between classes: sizes are near enough, and the largest possible overlap,
-    the shared shingles less the bits that the other node's OR lacks, is enough for the smallest union."""
+    the shared shingles less the bits that the other node's OR lacks, is enough for the smallest union. A link is met, among
+    others, under its first common shingle; there no more overlap than what either member has left from that place on."""
     low, high = np.maximum(x["low"][i], -(-y["low"][j] * percent // 100)), np.maximum(y["low"][j], -(-x["low"][i] * percent // 100))
     near = (low <= x["high"][i]) & (high <= y["high"][j])
     both = np.bitwise_count(x["bits"][i] & y["bits"][j]).sum(axis=1).astype(np.int64)
     most = np.minimum(x["m"][i] - np.maximum(0, x["pop"][i] - both), y["m"][j] - np.maximum(0, y["pop"][j] - both))
+    most = np.minimum(most, np.minimum(x["left"][i], y["left"][j]))
     # a link needs (100 + percent) |A n B| >= percent (|A| + |B|)
     enough = (100 + percent) * most >= percent * (low + high)
     return near & enough & ~(x["one"][i] & y["one"][j] & (x["label"][i] == y["label"][j]))
@@ -213,20 +216,17 @@ def _cross(p: tuple[np.ndarray, np.ndarray], q: tuple[np.ndarray, np.ndarray]) -
 
 def _tree(rows: dict[str, np.ndarray]) -> tuple[Tree, np.ndarray]:
     order = np.lexsort((rows["th"], rows["n"], rows["label"]))
-    return Tree(rows["n"][order], rows["m"][order], rows["label"][order], rows["bits"][order]), rows["th"][order]
+    return Tree(rows["n"][order], rows["m"][order], (rows["m"] - rows["pos"])[order], rows["label"][order], rows["bits"][order]), rows["th"][order]
 
 
 def _groups(percent: int):
     """Rows sorted by group: candidates of each group, as they end."""
 
-    def solve(rows: dict[str, np.ndarray], seen: set) -> tuple[np.ndarray, np.ndarray]:
+    def solve(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         first = rows["block"] == rows["low"][0]
         same = rows["low"][0] == rows["high"][0]
-        mark = hash((np.sort(rows["th"]).tobytes(), bool(same), first.tobytes()))
-        if len(rows["th"]) < 2 or mark in seen:  # the same members met under another shingle
+        if len(rows["th"]) < 2:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(seen) < 1_000_000:
-            seen.add(mark)
         one = lambda keep: {k: v[keep] for k, v in rows.items()}
         if same:
             t, th = _tree(rows)
@@ -242,7 +242,6 @@ def _groups(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
-        seen: set = set()
 
         def cut(rows: dict[str, np.ndarray], last: bool):
             edge = np.flatnonzero(np.concatenate([[True], rows["gid"][1:] != rows["gid"][:-1]]))
@@ -250,16 +249,17 @@ def _groups(percent: int):
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             upto = len(edge) if last else len(edge) - 1
             for lo, hi in zip(edge[:upto], ends[:upto], strict=True):
-                x, y = solve({k: v[lo:hi] for k, v in rows.items()}, seen)
+                x, y = solve({k: v[lo:hi] for k, v in rows.items()})
                 a.append(x)
                 b.append(y)
             rest = None if last else {k: v[edge[-1] :] for k, v in rows.items()}
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=_PAIRS), rest
+            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)  # many shingles share their members
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=_PAIRS), rest
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("gid", "low", "high", "block", "th", "n", "m", "label")}
+            rows = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("gid", "low", "high", "block", "th", "n", "m", "pos", "label")}
             rows["bits"] = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u8").reshape(batch.num_rows, BITS // 64)
             if held is not None:
                 rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
@@ -275,19 +275,19 @@ def text_classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT)
     """(sets, labels): th and n of all texts; (node, label) of the texts that have links."""
     sets = materialize(shared_sets(documents, size, percent), "sets")
     able = sets.where(F.col("shared").isNotNull())
-    postings = able.select("th", F.explode("prefix").alias("token"))
+    postings = able.select("th", F.posexplode("prefix").alias("pos", "token"))
     leaders = postings.groupBy("token").agg(F.min("th").alias("lead"), F.count("*").alias("members")).where("members > 1")
     toward = postings.join(leaders, "token").groupBy("th").agg(F.min("lead").alias("lead")).where("th <> lead")
     first = materialize(verify(toward.select(F.col("th").alias("a"), F.col("lead").alias("b")), able, percent), "links")
     labels = materialize(roots(first), "labels")
-    classed = postings.join(labels.withColumnRenamed("node", "th"), "th", "left").select("th", "token", F.coalesce("label", "th").alias("label"))
+    classed = postings.join(labels.withColumnRenamed("node", "th"), "th", "left").select("th", "pos", "token", F.coalesce("label", "th").alias("label"))
     mixed = classed.groupBy("token").agg(F.count("*").alias("members"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("parts"))
     members = classed.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("th"), F.col("parts")).cast("int"))
     members = members.join(able.select("th", "n", (F.octet_length("shared") / 8).cast("int").alias("m"), "signature"), "th")
     paired = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    paired = paired.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "token", "block", "th", "n", "m", "label", "signature")
+    paired = paired.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "token", "block", "th", "n", "m", "pos", "label", "signature")
     paired = paired.withColumn("gid", F.xxhash64("token", "low", "high"))
-    grouped = paired.select("gid", "low", "high", "block", "th", "n", "m", "label", "signature").repartition("gid").sortWithinPartitions("gid", "low", "high", "th")
+    grouped = paired.select("gid", "low", "high", "block", "th", "n", "m", "pos", "label", "signature").repartition("gid").sortWithinPartitions("gid", "low", "high", "th")
     met = grouped.mapInArrow(_groups(percent), "a long, b long").distinct()
     second = verify(met, able, percent)
     for end in ("a", "b"):  # links between classes, not between texts
