@@ -36,7 +36,7 @@ from ._text import U, Words, buffers, mix, shingle_sets
 SIZE = 5
 PERCENT = 75
 WIDTH = 5
-BITS = 1024
+BITS = 4096
 LEAF = 4
 FAN = 4
 BLOCK = 1024
