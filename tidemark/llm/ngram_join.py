@@ -40,6 +40,7 @@ BITS = 4096
 LEAF = 4
 FAN = 4
 BLOCK = 1024
+PAIRS = 8192
 
 
 def _least_shared(n: np.ndarray | int, percent: int):
@@ -171,7 +172,10 @@ def _possible(x: dict, i: np.ndarray, y: dict, j: np.ndarray, percent: int) -> n
     others, under its first common shingle; there no more overlap than what either member has left from that place on."""
     low, high = np.maximum(x["low"][i], -(-y["low"][j] * percent // 100)), np.maximum(y["low"][j], -(-x["low"][i] * percent // 100))
     near = (low <= x["high"][i]) & (high <= y["high"][j])
-    both = np.bitwise_count(x["bits"][i] & y["bits"][j]).sum(axis=1).astype(np.int64)
+    both = np.empty(len(i), np.int64)
+    for at in range(0, len(i), PAIRS):  # the bitmaps of so many pairs at once
+        few = slice(at, at + PAIRS)
+        both[few] = np.bitwise_count(x["bits"][i[few]] & y["bits"][j[few]]).sum(axis=1)
     most = np.minimum(x["m"][i] - np.maximum(0, x["pop"][i] - both), y["m"][j] - np.maximum(0, y["pop"][j] - both))
     most = np.minimum(most, np.minimum(x["left"][i], y["left"][j]))
     # a link needs (100 + percent) |A n B| >= percent (|A| + |B|)
