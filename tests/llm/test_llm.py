@@ -62,6 +62,9 @@ def test_ngram_join(docs, none):
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == set(root.values())
     assert ngram_join.classes(none).count() == 0
+    _, labels = ngram_join.text_classes(docs, rounds=0)  # rounds save pairs, they decide nothing
+    _, after = ngram_join.text_classes(docs)
+    assert {tuple(r) for r in labels.collect()} == {tuple(r) for r in after.collect()}
 
 
 def test_signature_tree_traversal_loses_no_pair():

@@ -6,14 +6,17 @@ texts link when 100 |A n B| >= percent |A u B|.
 1. Equal texts are one text from here on. Each chunk of texts learns, by one exchange of counts, how many texts hold each
    of its shingles. A text of n shingles can only link when percent of them are shared, and its links share one of its
    rarest shared shingles, so few enough of them to be beyond what a link may miss: its prefix.
-2. Every text is compared with one leader, the least text that shares a prefix shingle, and linked texts are joined.
+2. Every text is compared with one leader, the least text that shares a prefix shingle, and linked texts are joined. In
+   ROUNDS further rounds, or until one joins nothing, every text that shares a prefix shingle with another class is
+   compared with one text of another class, so that step 3 needn't meet each pair of two classes that one link joins.
 3. Texts of different classes that share a prefix shingle form a group. Its members are put into a signature tree: leaves
    and nodes hold the OR of token bitmaps, ranges of sizes and the class if it is one. Two trees (or one with itself) are
    traversed together; a pair of nodes is left out when its largest possible overlap is too small, or when both hold one
    and the same class. What is left is verified on the sets. Groups beyond BLOCK members are split into blocks, and each
    pair of blocks is a task's own traversal.
 
-No pair is dropped: a pair that links shares a prefix shingle and is either in one class after step 2 or met in step 3.
+No pair is dropped: a pair that links shares a prefix shingle and is either in one class after step 2 or met in step 3,
+whatever the number of rounds.
 Sets are compared as 64-bit shingle hashes, texts by 64-bit hashes.
 
 Cases: null or blank text has an empty set and links with nothing; repeated rows and equal texts are in one class; a null
@@ -41,6 +44,7 @@ LEAF = 4
 FAN = 4
 BLOCK = 1024
 PAIRS = 8192
+ROUNDS = 3
 
 
 def _least_shared(n: np.ndarray | int, percent: int):
@@ -275,7 +279,37 @@ def _groups(percent: int):
     return run
 
 
-def text_classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def _mixed(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings (th, pos, token) with their text's label, of the tokens that texts of different classes hold."""
+    classed = postings.join(labels.withColumnRenamed("node", "th"), "th", "left").select("th", "pos", "token", F.coalesce("label", "th").alias("label"))
+    several = classed.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
+    return materialize(classed.join(several, "token", "left_semi"), "mixed")
+
+
+def _elsewhere(mixed: DataFrame, turn: int) -> DataFrame:
+    """For each text (a) one text of another class (b): of each token's first and last class one member, by a hash that
+    differs from turn to turn; of these the one met under most tokens."""
+    key = F.struct("label", F.xxhash64("th", F.lit(turn)).alias("h"), "th")
+    ends = mixed.groupBy("token").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    toward = mixed.join(ends, "token").select("th", F.when(F.col("label") == F.col("first.label"), F.col("last.th")).otherwise(F.col("first.th")).alias("lead"))
+    best = toward.groupBy("th", "lead").agg(F.count("*").alias("met")).groupBy("th").agg(F.max(F.struct("met", "lead")).alias("best"))
+    return best.select(F.col("th").alias("a"), F.col("best.lead").alias("b"))
+
+
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) between texts as links between their classes."""
+    for end in ("a", "b"):
+        links = links.join(labels.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+    return links.where("a <> b")
+
+
+def _joined(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """Labels after classes were merged: (node, label) of classes, a text without links being a class of its own."""
+    both = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return both.unionAll(merged.join(labels.select("node"), "node", "left_anti"))
+
+
+def text_classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(sets, labels): th and n of all texts; (node, label) of the texts that have links."""
     sets = materialize(shared_sets(documents, size, percent), "sets")
     able = sets.where(F.col("shared").isNotNull())
@@ -284,22 +318,23 @@ def text_classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT)
     toward = postings.join(leaders, "token").groupBy("th").agg(F.min("lead").alias("lead")).where("th <> lead")
     first = materialize(verify(toward.select(F.col("th").alias("a"), F.col("lead").alias("b")), able, percent), "links")
     labels = materialize(roots(first), "labels")
-    classed = postings.join(labels.withColumnRenamed("node", "th"), "th", "left").select("th", "pos", "token", F.coalesce("label", "th").alias("label"))
-    mixed = classed.groupBy("token").agg(F.count("*").alias("members"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("parts"))
-    members = classed.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("th"), F.col("parts")).cast("int"))
+    mixed = _mixed(postings, labels)
+    for turn in range(rounds):
+        links = _between(verify(_elsewhere(mixed, turn), able, percent), labels)
+        upward = materialize(links.groupBy(F.greatest("a", "b").alias("a")).agg(F.min(F.least("a", "b")).alias("b")), "links")
+        if upward.isEmpty():
+            break
+        labels = materialize(_joined(labels, roots(upward)), "labels")
+        mixed = _mixed(mixed.drop("label"), labels)
+    parts = mixed.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    members = mixed.join(parts, "token").withColumn("block", F.pmod(F.xxhash64("th"), F.col("parts")).cast("int"))
     members = members.join(able.select("th", "n", (F.octet_length("shared") / 8).cast("int").alias("m"), "signature"), "th")
     paired = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     paired = paired.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "token", "block", "th", "n", "m", "pos", "label", "signature")
     paired = paired.withColumn("gid", F.xxhash64("token", "low", "high"))
     grouped = paired.select("gid", "low", "high", "block", "th", "n", "m", "pos", "label", "signature").repartition("gid").sortWithinPartitions("gid", "low", "high", "th")
     met = grouped.mapInArrow(_groups(percent), "a long, b long").distinct()
-    second = verify(met, able, percent)
-    for end in ("a", "b"):  # links between classes, not between texts
-        second = second.join(labels.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
-    merged = components(second.where("a <> b"))
-    both = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    alone = merged.join(labels.select("node"), "node", "left_anti")
-    return sets, both.unionAll(alone)
+    return sets, _joined(labels, components(_between(verify(met, able, percent), labels)))
 
 
 def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
