@@ -1,0 +1,71 @@
+"""The simulated cohort against published counts and change points, and the checks on it."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import changepoint, cohort, daily, quality, trajectories
+
+
+@pytest.fixture(scope="module")
+def gamma(spark):
+    return cohort.visits(spark, cohort.Cohort(relapse="gamma")).cache()
+
+
+@pytest.mark.parametrize(("relapse", "n"), [("exponential", 13718), ("gamma", 13680), ("lognormal", 13711)])
+def test_sizes(spark, relapse, n):
+    r = cohort.summary(cohort.visits(spark, cohort.Cohort(relapse=relapse))).first()
+    assert (r["n_patients"], r["n_observations"], r["n_dropouts"], r["n_days"]) == (1000, n, 222, 365)
+    assert [r[p] for p in cohort.PATTERNS] == [316, 362, 132, 190]
+
+
+def test_known_results(gamma):
+    obs = cohort.observations(gamma)
+    d = daily.score_distribution(obs).first()
+    assert (d["min"], d["max"], d["mean"]) == pytest.approx((0.00022059, 26.7546, 11.25475), rel=1e-4)
+    r = trajectories.weighted_autocorrelation(obs).agg(F.avg("r").alias("r"), F.count("*").alias("n")).first()
+    assert r["n"] == 896 and r["r"] == pytest.approx(0.3646110149)
+    e = trajectories.endpoint_nearest(obs).agg(F.avg("improvement").alias("m"), F.count("*").alias("n")).first()
+    assert e["n"] == 724 and e["m"] == pytest.approx(3.58380, abs=1e-5)
+    s = trajectories.relapse_summary(obs, n_patients=1000).first()
+    assert (s["events"], s["patients_with"]) == (619, 428)
+    patterns = {r["pattern"]: r["count"] for r in trajectories.response_patterns(obs).groupBy("pattern").count().collect()}
+    assert sorted(patterns.values(), reverse=True) == [731, 192, 55, 22]
+
+
+def test_known_change_points(gamma):
+    x = np.array([r["cv"] for r in daily.daily_cv(cohort.observations(gamma)).orderBy("day").collect()])
+    assert len(x) == 365
+    for model, want in (("l1", (0.16768329, [24, 57, 133])), ("l2", (0.01757511, [24, 58, 149])), ("rbf", (1.38949549, [24, 57, 133])), ("ar", (0.04714866, [57, 149]))):
+        penalty, cps, _ = changepoint.tune(x, changepoint.cost_table(x, model))
+        assert cps == want[1] and penalty == pytest.approx(want[0], rel=1e-6), model
+    p = changepoint.smooth(changepoint.run_lengths(x, changepoint.hazard_heuristic(x)))
+    assert changepoint.threshold(p) == pytest.approx(0.0111335752, rel=1e-6)
+    assert changepoint.persistent_peaks(p, changepoint.threshold(p)) == [32, 69]
+
+
+def test_own_schedules_do_not_depend_on_partitions(spark):
+    c = cohort.Cohort(patients=300, schedule="own", seed=5)
+    rows = cohort.visits(spark, c).orderBy("patient_id", "day").collect()
+    few = cohort.visits(spark, cohort.Cohort(patients=200, schedule="own", seed=5)).orderBy("patient_id", "day").collect()
+    assert few == [r for r in rows if r["patient_id"] <= 200]
+    assert all(r["day"] is None or r["leaves"] is None or r["day"] < r["leaves"] for r in rows)
+
+
+def test_bad_parameters():
+    for bad in ({"least_visits": 30}, {"ar": 0.95}, {"relapse": "cauchy"}, {"patients": 20_000}, {"schedule": "x"}):
+        with pytest.raises(ValueError):
+            cohort.Cohort(**bad)
+
+
+def test_checks(spark, gamma):
+    obs = cohort.observations(gamma)
+    got = {r["check"]: r for r in quality.checks(obs, 365).collect()}
+    assert set(got) == set(quality.BOUNDS) and got["autocorrelation"]["ok"] and got["n_days"]["ok"] and got["score_max"]["ok"]
+    assert quality.verdict(quality.checks(obs, 365)).first()["n_errors"] == 0
+    few = spark.createDataFrame([(1, 1, 30.0)], "patient_id int, day int, score double")
+    bad = {r["check"]: r["ok"] for r in quality.checks(few).collect()}
+    assert not bad["score_max"] and not bad["n_observations"] and not bad["autocorrelation"]
+    assert not quality.verdict(quality.checks(few)).first()["overall_valid"]
+    labels = spark.sql("SELECT * FROM VALUES (1, 0), (2, 0), (3, 1) AS t(day, label)")
+    assert tuple(quality.cluster_sizes(labels).first()) == (1, 2, 2.0)

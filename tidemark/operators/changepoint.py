@@ -153,7 +153,8 @@ _T3 = math.lgamma(2.0) - math.lgamma(1.5) - 0.5 * math.log(3 * math.pi)
 
 
 def run_lengths(x: np.ndarray, hazard_lambda: float, likelihood: str = "student_t", most: int = 365) -> np.ndarray:
-    """P(run length 0) at each time, by the Bayesian recursion with a prior from the whole signal."""
+    """P(run length 0) at each time but the first, where it is set to 0, by the Bayesian recursion with a prior from the
+    whole signal."""
     t_all, r_all = len(x), min(most, len(x))
     h = min(1 / hazard_lambda, 0.99)
     mu0, var0 = x.mean(), max(x.var(), 1e-8)
@@ -161,7 +162,6 @@ def run_lengths(x: np.ndarray, hazard_lambda: float, likelihood: str = "student_
     log_r[0] = 0.0
     mean, var, count = np.full(r_all, mu0), np.full(r_all, var0), np.ones(r_all)
     out = np.zeros(t_all)
-    out[0] = 1.0
 
     def predictive(v: float, m, s2, n):
         scale = s2 * (1 + 1 / n) + 1e-8

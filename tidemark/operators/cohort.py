@@ -1,0 +1,169 @@
+"""A simulated cohort: patients' courses of scores with irregular visits, relapses, plateaus, dropout and missing visits.
+
+Each patient has a random stream of their own, a child of the seed, so that patients spread over tasks and a lost task
+gives the same rows again. Dropout and visit days come either from one stream for the whole cohort (`shared`, for cohorts
+of up to SHARED_PATIENTS, drawn on the driver since it depends on order) or from a second child of each patient's
+(`own`, for cohorts of any size)."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SHARED_PATIENTS = 10_000
+TOP = 27.0
+#: Each pattern's probability, factor of the recovery rate, and week in which a plateau begins.
+PATTERNS = {
+    "early_responder": (0.30, 1.3, 6),
+    "gradual_responder": (0.35, 1.0, 10),
+    "late_responder": (0.15, 0.7, 16),
+    "non_responder": (0.20, 0.3, None),
+}
+
+
+@dataclass(frozen=True)
+class Cohort:
+    patients: int = 1000
+    days: int = 365
+    least_visits: int = 10
+    most_visits: int = 20
+    seed: int = 2023
+    ar: float = 0.70
+    baseline: tuple[float, float] = (16.0, 3.0)
+    recovery: tuple[float, float] = (-0.075, 0.03)
+    noise: float = 2.5
+    relapse_probability: float = 0.10
+    relapse_mean: float = 3.5
+    relapse: str = "exponential"
+    dropout: float = 0.21
+    mcar: float = 0.08
+    patterns: bool = True
+    plateaus: bool = True
+    schedule: str = "shared"
+
+    def __post_init__(self):
+        if not 0 < self.least_visits <= self.most_visits <= self.days:
+            raise ValueError("visits: 0 < least <= most <= days")
+        if not 0.5 <= self.ar <= 0.9 or self.noise < 0:
+            raise ValueError("ar must be within 0.5 and 0.9, noise not negative")
+        if self.relapse not in ("exponential", "gamma", "lognormal"):
+            raise ValueError(f"unknown distribution of relapses {self.relapse}")
+        if self.schedule not in ("shared", "own"):
+            raise ValueError(f"unknown schedule {self.schedule}")
+        if self.schedule == "shared" and self.patients > SHARED_PATIENTS:
+            raise ValueError(f"a shared schedule holds {SHARED_PATIENTS} patients; use own")
+
+
+def _leaves(rng: np.random.Generator, c: Cohort) -> int | None:
+    """The day of dropout, if there is one."""
+    return min(c.days, int(rng.exponential(0.3 * c.days) + 60)) if rng.random() < c.dropout else None
+
+
+def _visit_days(rng: np.random.Generator, c: Cohort, leaves: int | None) -> list[int]:
+    n, last = int(rng.integers(c.least_visits, c.most_visits + 1)), leaves - 1 if leaves else c.days
+    return sorted(rng.choice(np.arange(1, last + 1), min(n, last), replace=False).tolist()) if last >= 1 else []
+
+
+def schedule(spark: SparkSession, c: Cohort) -> DataFrame:
+    """(patient_id, leaves, days); in an own schedule the last two are drawn later, in the tasks, and null here."""
+    kind = "patient_id long, leaves int, days array<int>"
+    if c.schedule == "own":
+        return spark.range(1, c.patients + 1).selectExpr("id AS patient_id", "cast(null AS int) AS leaves", "cast(null AS array<int>) AS days")
+    rng = np.random.default_rng(c.seed)
+    left = [_leaves(rng, c) for _ in range(c.patients)]
+    return spark.createDataFrame([(i + 1, day, _visit_days(rng, c, day)) for i, day in enumerate(left)], kind).repartition("patient_id")
+
+
+def _person(rng: np.random.Generator, c: Cohort) -> dict:
+    (mean, sd), names = c.baseline, list(PATTERNS)
+    first = rng.normal(mean, sd)
+    if 0 <= first <= TOP:
+        first = max(first, 0.0, mean - 2 * sd)
+    else:
+        first = -first / 2 if first < 0 else TOP - (first - TOP) / 2
+    pattern = names[rng.choice(len(names), p=[p for p, _, _ in PATTERNS.values()])] if c.patterns else "gradual_responder"
+    rate = rng.normal(*c.recovery) * (PATTERNS[pattern][1] if c.patterns else 1.0)
+    noise = min(4.0, max(1.0, rng.gamma(4, c.noise / 4)))
+    return {"baseline": first, "rate": rate, "noise": noise, "ar": min(0.9, max(0.5, rng.normal(c.ar, 0.05))), "pattern": pattern}
+
+
+def _magnitude(rng: np.random.Generator, c: Cohort) -> float:
+    if c.relapse == "gamma":
+        return rng.gamma(2.0, c.relapse_mean / 2.0)
+    if c.relapse == "lognormal":
+        return rng.lognormal(np.log(c.relapse_mean) - 0.125, 0.5)
+    return rng.exponential(c.relapse_mean)
+
+
+def _course(rng: np.random.Generator, c: Cohort, who: dict, days: list[int]) -> Iterator[tuple[int, float, bool, bool, bool]]:
+    """(day, score, relapsed, in plateau, seen) of each visit; visits that are missed move the course all the same."""
+    begins, flat, before = PATTERNS[who["pattern"]][2], None, None
+    for day in days:
+        if c.plateaus and flat is None and begins is not None and (day - 1) / 7.0 >= begins:
+            flat = day
+        line = who["baseline"] + who["rate"] * ((day if flat is None else flat) - 1)
+        x = min(TOP, max(0.0, line))
+        if before:
+            keep = who["ar"] ** (day - before[0])
+            x = keep * before[1] + (1 - keep) * x
+        calm = 1.0 if flat is None else 1.0 - 0.5 * min(1.0, (day - flat) / 14.0)
+        x += rng.normal(0, who["noise"] * calm)
+        relapsed = bool(rng.random() < c.relapse_probability)
+        if relapsed:
+            x += _magnitude(rng, c) * ((TOP - x) / TOP)
+        x = abs(x) / 2 if x < 0 else TOP - (x - TOP) / 2 if x > TOP else x
+        x = min(TOP, max(0.0, x))
+        before = (day, x)
+        yield day, float(x), relapsed, flat is not None, bool(rng.random() >= c.mcar)
+
+
+VISITS = "patient_id long, pattern string, baseline double, rate double, noise double, ar double, leaves int, day int, score double, relapsed boolean, plateau boolean, seen boolean"
+
+
+def visits(spark: SparkSession, c: Cohort) -> DataFrame:
+    """Every scheduled visit with its patient's parameters; a patient without visits has one row without a day."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for pid, leaves, days in zip(part.patient_id, part.leaves, part.days, strict=True):
+                rng = np.random.default_rng(np.random.SeedSequence(c.seed, spawn_key=(int(pid) - 1,)))
+                if c.schedule == "own":
+                    own = np.random.default_rng(np.random.SeedSequence(c.seed, spawn_key=(int(pid) - 1, 0)))
+                    leaves = _leaves(own, c)
+                    days = _visit_days(own, c, leaves)
+                leaves = None if leaves is None or pd.isna(leaves) else int(leaves)
+                who = _person(rng, c)
+                head = (pid, who["pattern"], who["baseline"], who["rate"], who["noise"], who["ar"], leaves)
+                rows += [(*head, *v) for v in _course(rng, c, who, [int(d) for d in days])] or [(*head, None, None, None, None, None)]
+            out = pd.DataFrame(rows, columns=["patient_id", "pattern", "baseline", "rate", "noise", "ar", "leaves", "day", "score", "relapsed", "plateau", "seen"])
+            yield out.astype({"leaves": "Int32", "day": "Int32", "relapsed": "boolean", "plateau": "boolean", "seen": "boolean"})
+
+    return schedule(spark, c).mapInPandas(run, VISITS)
+
+
+def observations(seen: DataFrame) -> DataFrame:
+    """(patient_id, day, score) of the visits that took place."""
+    return seen.where("seen").select("patient_id", "day", "score")
+
+
+def summary(seen: DataFrame) -> DataFrame:
+    """One row of what was generated: sizes, missingness of the grid of patients and days, patterns, relapses."""
+    each = seen.groupBy("patient_id").agg(F.first("pattern").alias("pattern"), F.max("leaves").isNotNull().alias("left"), F.coalesce(F.max("plateau"), F.lit(False)).alias("flat"), F.count_if("seen").alias("n"), F.count_if("relapsed").alias("r"))
+    counts = [F.count_if(F.col("pattern") == p).alias(p) for p in PATTERNS]
+    people = each.agg(F.count("*").alias("n_patients"), F.sum("n").alias("n_observations"), F.count_if("left").alias("n_dropouts"), F.count_if("flat").alias("n_in_plateau"), F.sum("r").alias("n_relapses"), F.max("r").alias("most_relapses"), *counts)
+    days = seen.where("day IS NOT NULL").agg(F.count_distinct("day").alias("n_days"))
+    missing = 1 - F.col("n_observations") / F.nullif(F.col("n_patients") * F.col("n_days"), F.lit(0))
+    return people.crossJoin(F.broadcast(days)).withColumn("missingness_rate", missing)  # one row each
+
+
+def latent_response(seen: DataFrame, day: int = 84) -> DataFrame:
+    """Share of patients whose course without noise is at half its start or below on the day."""
+    people = seen.select("patient_id", "baseline", "rate").distinct().where("baseline > 0")
+    end = F.greatest(F.lit(0.0), F.least(F.lit(TOP), F.col("baseline") + F.col("rate") * (day - 1)))
+    return people.agg(F.count("*").alias("n"), F.avg((end <= F.col("baseline") / 2).cast("double")).alias("rate"))

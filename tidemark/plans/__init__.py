@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import changepoint, daily, models, posthoc, trajectories
+from ..operators import changepoint, cohort, daily, models, posthoc, quality, trajectories
 from ..session import ship
 from ..sources import obs_events, obs_lineitem, obs_orders
 
@@ -77,6 +77,10 @@ def _profile(s: SparkSession, d: str) -> DataFrame:
     return models.cluster_profile(f, f.select("day", (F.col("day") % 2).cast("int").alias("label")))
 
 
+def _cohort(s: SparkSession, d: str) -> DataFrame:
+    return cohort.visits(s, cohort.Cohort(relapse="gamma"))
+
+
 _RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pelt_l2": _pelt("pelt_l2"),
     "daily_cv": lambda s, d: daily.daily_cv(obs_events(s, d)),
@@ -120,6 +124,10 @@ _RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "elbow_select": _elbow,
     "temporal_cluster": lambda s, d: models.temporal_clusters(daily.daily_features(obs_events(s, d)).withColumn("series_id", F.lit("events"))),
     "stream_daily_cv": _stream_cv,
+    "simulate_cohort": _cohort,
+    "simulate_summary": lambda s, d: cohort.summary(_cohort(s, d)),
+    "latent_response": lambda s, d: cohort.latent_response(_cohort(s, d)),
+    "validation_checks": lambda s, d: quality.checks(obs_orders(s, d)).drop("low", "high"),
 }
 
 
@@ -190,3 +198,26 @@ ORACLE: dict[str, str] = {
     "elbow_select": "WITH t AS (SELECT * FROM (VALUES (2, 100e0), (3, 60e0), (4, 35e0), (5, 30e0), (6, 27e0), (7, 25e0)) t(k, inertia)), s AS (SELECT k, abs((k - 2) / 5e0 + (inertia - 25) / 75e0 - 1) AS d FROM t) SELECT k FROM s ORDER BY round(d, 9) DESC, k LIMIT 1",
     "cluster_profile": f"WITH {_LI}, f AS (SELECT day, avg(x) AS mean, coalesce(stddev_samp(x), 0) AS std, count(*) AS n FROM ob GROUP BY day), g AS (SELECT CAST(day % 2 AS INT) AS label, count(*) AS n_days, avg(mean) AS avg_score, avg(std) AS std_score_daily, avg(n) AS n_obs_avg, min(mean) AS min_score, max(mean) AS max_score FROM f GROUP BY 1) SELECT label, n_days, {_r('avg_score', 'std_score_daily', 'n_obs_avg', 'min_score', 'max_score')}, CASE WHEN avg_score >= 20 THEN 'Severe' WHEN avg_score >= 15 THEN 'Moderate' WHEN avg_score >= 10 THEN 'Mild' ELSE 'Minimal' END AS severity FROM g",
 }
+
+
+def _checks_sql() -> str:
+    """The values of the checks from the SQL of their parts, and each check's bounds."""
+    parts = {
+        "score_min": f"(WITH {_OR} SELECT min(x) FROM ob)",
+        "score_max": f"(WITH {_OR} SELECT max(x) FROM ob)",
+        "autocorrelation": f"(SELECT avg(r) FROM ({ORACLE['weighted_autocorr']}))",
+        "baseline_mean": f"(SELECT avg(baseline) FROM ({ORACLE['baseline_final']}))",
+        "improvement_12_weeks": f"(SELECT avg(improvement) FROM ({ORACLE['endpoint_nearest']}))",
+        "response_rate_12_weeks": f"(SELECT avg(CASE WHEN responder THEN 1e0 ELSE 0e0 END) FILTER (counted) FROM ({ORACLE['endpoint_nearest']}))",
+        "missingness": f"(SELECT total FROM ({ORACLE['missingness']}))",
+        "excess_missingness": f"(SELECT excess FROM ({ORACLE['missingness']}))",
+        "n_days": f"(SELECT n_days FROM ({ORACLE['missingness']}))",
+        "n_observations": f"(SELECT n_obs FROM ({ORACLE['missingness']}))",
+        "outlier_rate": f"(WITH {_OR}, m AS (SELECT avg(x) AS mu, stddev_pop(x) AS sd FROM ob) SELECT avg(CASE WHEN abs(x - mu) / sd > 3 THEN 1e0 ELSE 0e0 END) FROM ob, m)",
+    }
+    bound = lambda b: "NULL" if b is None else f"{b}e0"
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS \"check\", round(CAST({parts[k]} AS DOUBLE), 6) AS value, CAST({bound(lo)} AS DOUBLE) AS low, CAST({bound(hi)} AS DOUBLE) AS high, '{level}' AS level" for k, (lo, hi, level) in quality.BOUNDS.items())
+    return f"SELECT \"check\", value, level, coalesce((low IS NULL OR value >= low) AND (high IS NULL OR value <= high) AND value IS NOT NULL, false) AS ok FROM ({rows})"
+
+
+ORACLE["validation_checks"] = _checks_sql()
