@@ -115,6 +115,36 @@ def test_lines(docs, none):
     assert lines.report(none).count() == 0
 
 
+def test_line_blocks_found_by_brute_force():
+    rng = random.Random(5)
+    fresh = lambda n: [f"line {rng.random()}" for _ in range(n)]
+    blocks = [fresh(rng.randint(3, 6)) for _ in range(300)]
+    texts = [fresh(rng.randint(1, 9)) + b + fresh(rng.randint(1, 9)) for _ in range(2) for b in blocks]
+    texts += [fresh(3) + ["same"] * 40 + fresh(3), fresh(2) + ["a", "b"] * 20 + fresh(3), fresh(3) + ["a", "b", "c"] * 15 + fresh(3)]
+    seen, stay = set(), []
+    for t in texts:
+        rows, found = lines.chunks("\n".join(t).encode())
+        assert [x for a, b in found for x in rows[a:b]] == rows and found[-1][1] == len(t)
+        bodies = [(tuple(t[a:b]), b - a >= 2) for a, b in found]
+        keep = []
+        for body, whole in bodies:
+            keep += [] if whole and body in seen else body
+            if whole:
+                seen.add(body)
+        stay.append(keep)
+    windows, touched, gone, there = set(), 0, 0, 0
+    for n, (t, keep) in enumerate(zip(texts[:600], stay, strict=False)):
+        triples = [tuple(t[i : i + 3]) for i in range(len(t) - 2)]
+        again = {x for w in triples if w in windows for x in w}
+        windows.update(triples)
+        assert set(t) - set(keep) <= again
+        if n >= 300:
+            assert set(blocks[n - 300]) == again
+            touched, gone, there = touched + (len(keep) < len(t)), gone + len(t) - len(keep), there + len(again)
+    assert touched >= 0.75 * 300 and gone >= 0.5 * there
+    assert stay[600].count("same") <= 4 and len(stay[601]) <= 5 + 4 and len(stay[602]) <= 6 + 15 + 4
+
+
 def test_decontamination(spark, docs, none):
     shared = corpus()[9][1].split()
     bench = spark.createDataFrame([(1, " ".join(shared[5:30]).upper()), (2, "one"), (3, None), (4, "never seen at all"), (5, "one")], "item_id long, text string")

@@ -1,8 +1,12 @@
 """Line deduplication by content-defined chunks of lines.
 
-A rolling hash over the last WINDOW line hashes decides where a chunk ends, so that an inserted line moves boundaries
-only near by. Chunks of MIN_LINES lines or more that occur more than once anywhere are compared byte by byte; the first
-occurrence (by doc_id, then text hash, then place) stays and the others are removed.
+A rolling hash over MIN_LINES lines decides where chunks lie: in each text the place of the least hash becomes a chunk,
+then the least of those that overlap none taken, and so on; of equal hashes (a line or a short cycle said again and
+again) the first. A line that no chunk takes stands alone and stays. Chunks are thus dense and of one length, an inserted
+line moves them only near by, and a block has the same chunks wherever it stands, but for its ends. Chunks that occur more
+than once anywhere are compared byte by byte; the first occurrence (by doc_id, then text hash, then place) stays and the
+others are removed. What stays of a repeated block: its lines at the ends that are in a chunk with a line outside, and
+lines between two chunks.
 
 Cases: null text stays null and has no lines; empty text is one empty line; a text of fewer than MIN_LINES lines is
 never changed; rows repeated whole count as one document and are treated alike; null doc_id comes first. Other columns
@@ -19,30 +23,35 @@ from pyspark.sql import functions as F
 
 from ._shared import extended, materialize, numbered
 
-WINDOW = 2
-DIVISOR = 4
 MIN_LINES = 2
 _M = (1 << 64) - 1
 
 
-def chunks(data: bytes, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> tuple[list[bytes], list[tuple[int, int]]]:
-    """The lines, and the chunks as ranges of lines; what is left at the end joins the last chunk."""
+def chunks(data: bytes, min_lines: int = MIN_LINES) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """The lines, and the chunks as ranges of lines, with the lines that stand alone; together they are the whole text."""
     import xxhash
 
     lines = data.split(b"\n")
-    recent, out, begin, rolled = [0] * window, [], 0, 0
-    turn = 7 * window % 64
-    for i, line in enumerate(lines):
-        h = xxhash.xxh3_64_intdigest(line)
-        old = recent[i % window]
-        recent[i % window] = h
+    hashes = [xxhash.xxh3_64_intdigest(line) for line in lines]
+    turn = 7 * min_lines % 64
+    rolled, order = 0, []
+    for i, h in enumerate(hashes):
         rolled = ((rolled << 7) | (rolled >> 57)) & _M
+        old = hashes[i - min_lines] if i >= min_lines else 0
         rolled ^= h ^ (((old << turn) | (old >> (64 - turn))) & _M)
-        if i + 1 - begin >= min_lines and (rolled * 0x9E3779B97F4A7C15 & _M) >> 40 & 0xFFFF < 65536 // divisor:
-            out.append((begin, i + 1))
-            begin = i + 1
-    if begin < len(lines):
-        out.append((begin, len(lines)))
+        if i + 1 >= min_lines:
+            order.append((rolled * 0x9E3779B97F4A7C15 & _M, i + 1 - min_lines))
+    order.sort()
+    taken, begins = bytearray(len(lines)), bytearray(len(lines))
+    for _, i in order:
+        if not any(taken[i : i + min_lines]):
+            taken[i : i + min_lines] = b"\1" * min_lines
+            begins[i] = 1
+    out, at = [], 0
+    while at < len(lines):
+        end = at + (min_lines if begins[at] else 1)
+        out.append((at, end))
+        at = end
     return lines, out
 
 
@@ -64,7 +73,7 @@ def _emit(min_lines: int, only_listed: bool):
                 data = texts[r].as_py()
                 if data is None:
                     continue
-                lines, found = chunks(data)
+                lines, found = chunks(data, min_lines)
                 wanted = set(listed[r].as_py()) if only_listed else None
                 for k, (a, b) in enumerate(found):
                     if b - a < min_lines or (wanted is not None and k not in wanted):
@@ -84,7 +93,7 @@ def _emit(min_lines: int, only_listed: bool):
     return run
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+def _rewrite(batches: Iterator[pa.RecordBatch], at: int, min_lines: int) -> Iterator[pa.RecordBatch]:
     """Column number `at` is the text, the last one the list of chunks to leave out."""
     for batch in batches:
         names = batch.schema.names
@@ -104,7 +113,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBa
                 counts.append(data.count(b"\n") + 1)
                 removed.append(0)
                 continue
-            lines, found = chunks(data)
+            lines, found = chunks(data, min_lines)
             out = set(drop)
             kept = [x for k, (a, b) in enumerate(found) if k not in out for x in lines[a:b]]
             new.append(b"\n".join(kept).decode())
@@ -138,7 +147,7 @@ def dedup(documents: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     gone = later.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("__line_gone"))
     full = numbered(with_lists(rows, gone, "__line_gone").drop("__line_id", "__line_key"))
     at, named = documents.columns.index("text"), numbered(documents)
-    done = full.mapInArrow(lambda batches: _rewrite(batches, at), extended(named.schema, __line_n="long", __line_removed="long"))
+    done = full.mapInArrow(lambda batches: _rewrite(batches, at, min_lines), extended(named.schema, __line_n="long", __line_removed="long"))
     return done.toDF(*documents.columns, "__line_n", "__line_removed")
 
 
