@@ -226,6 +226,21 @@ def test_language(spark, docs, none):
     assert langid.keep_known(docs).columns == docs.columns and langid.identify(none).count() == 0
 
 
+def test_long_texts_keep_their_margin(spark):
+    rng = random.Random(9)
+    vocab = {k: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(2000)] for k, letters in (("en", "etaoinshr"), ("fr", "esaitnruéè"))}
+    say = lambda k, n: " ".join(rng.choices(vocab[k], k=n))
+    learned = langid.fit(spark.createDataFrame([(say(k, 300), k) for k in vocab for _ in range(60)], "text string, lang string"))
+    clean = {n: say("en", n // 7) for n in (20_000, 200_000, 1_000_000)}
+    clean[10_000_000] = clean[1_000_000] + "".join(" " + say("en", 1_000_000 // 7) for _ in range(9))
+    mixed = "".join(say("en", 5000) + " " + say("fr", 5000) + " " for _ in range(100))
+    rows = [(n, t) for n, t in clean.items()] + [(1, mixed)]
+    got = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), learned).drop("text").collect()}
+    assert all(got[n]["__lang_pred"] == "en" and not got[n]["__rejected"] for n in clean)
+    assert got[10_000_000]["__score"] > 0.8 * got[200_000]["__score"]
+    assert got[1]["__score"] < 0.1 * got[10_000_000]["__score"]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     v = rng.standard_normal((600, 16))

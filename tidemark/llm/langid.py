@@ -2,7 +2,9 @@
 language, and the language whose dictionary gives the smallest result wins.
 
 Dictionaries come from a bounded sample: of each language the documents first in a hash order, an excerpt of each, until
-DICT_BYTES are full. Predictions use whole texts, in lower case, everything but letters as one blank.
+DICT_BYTES are full. Predictions use whole texts, in lower case, everything but letters as one blank. Each block of
+BLOCK_BYTES is compressed by itself and the sizes are summed: what a dictionary saves is bounded, so in one piece the
+margin would shrink with the length of the text.
 
 Cases: `und` for null or empty text and text without a letter; also if nothing could be learned. Ties go to the first
 language in order of name, and have margin 0. With one learned language the margin is 1. Null languages aren't learned
@@ -23,6 +25,7 @@ from ._shared import extended, numbered
 
 DICT_BYTES = 64 << 10
 EXCERPT_CHARS = 1500
+BLOCK_BYTES = 64 << 10
 LEVEL = 7
 #: A prediction is rejected when the second best is less than this share larger.
 MIN_MARGIN = 0.002
@@ -67,7 +70,8 @@ def classify(text: str | None, models) -> tuple[str, float]:
     if text is None or not models or not any(map(str.isalpha, text)):
         return "und", 0.0
     data = _plain(text)
-    sizes = sorted((len(c.compress(data)), lang) for lang, c in models)
+    blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
+    sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in models)
     if len(sizes) == 1:
         return sizes[0][1], 1.0
     return sizes[0][1], (sizes[1][0] - sizes[0][0]) / sizes[1][0]
