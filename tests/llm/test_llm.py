@@ -241,6 +241,12 @@ def test_long_texts_keep_their_margin(spark):
     assert got[1]["__score"] < 0.1 * got[10_000_000]["__score"]
 
 
+def test_copies_do_not_use_up_the_sample(spark):
+    texts = [f"{c * 5} word" for c in "abcdefghijklmnopqrst"]
+    learned = langid.fit(spark.createDataFrame([(t, "en") for t in texts for _ in range(200)], "text string, lang string"))
+    assert sorted(re.findall(r"\w+ word", learned["en"].decode())) == texts
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     v = rng.standard_normal((600, 16))

@@ -1,10 +1,10 @@
 """Language identification by compression: a text is compressed with a raw-content zstandard dictionary for each
 language, and the language whose dictionary gives the smallest result wins.
 
-Dictionaries come from a bounded sample: of each language the documents first in a hash order, an excerpt of each, until
-DICT_BYTES are full. Predictions use whole texts, in lower case, everything but letters as one blank. Each block of
-BLOCK_BYTES is compressed by itself and the sizes are summed: what a dictionary saves is bounded, so in one piece the
-margin would shrink with the length of the text.
+Dictionaries come from a bounded sample: of each language the different texts first in a hash order, an excerpt of each,
+until DICT_BYTES are full; copies count once. Predictions use whole texts, in lower case, everything but letters as one
+blank. Each block of BLOCK_BYTES is compressed by itself and the sizes are summed: what a dictionary saves is bounded, so
+in one piece the margin would shrink with the length of the text.
 
 Cases: `und` for null or empty text and text without a letter; also if nothing could be learned. Ties go to the first
 language in order of name, and have margin 0. With one learned language the margin is 1. Null languages aren't learned
@@ -45,9 +45,9 @@ def fit(labelled: DataFrame, dict_bytes: int = DICT_BYTES, max_languages: int =
         return {}
     most = max(64, 4 * dict_bytes // EXCERPT_CHARS)
     names = [r["lang"] for r in counts]
-    few = Window.partitionBy("lang").orderBy("h", "part")
     parts = rows.where(F.col("lang").isin(names)).select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, EXCERPT_CHARS).alias("part"))
-    sample = parts.withColumn("i", F.row_number().over(few)).where(F.col("i") <= most).drop("i").distinct().orderBy("lang", "h", "part").collect()
+    few = parts.select("lang", "h").distinct().withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("i") <= most).drop("i")
+    sample = parts.join(F.broadcast(few), ["lang", "h"]).distinct().orderBy("lang", "h", "part").collect()
     out: dict[str, bytes] = {}
     for r in sample:
         out[r["lang"]] = out.get(r["lang"], b"") + (_plain(r["part"]) + b" " if len(out.get(r["lang"], b"")) < dict_bytes else b"")
