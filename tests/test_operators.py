@@ -98,3 +98,30 @@ def test_detect_over_a_grid(spark):
     found = cp.detect(spark.createDataFrame(pdf, "series_id string, t int, x double"), ["pelt_l2", "bocpd_student_t"]).toPandas()
     l2 = found[found.model_id == "pelt_l2"]
     assert set(l2.cp) == {100, 200, 300} and l2.significant.all()
+
+
+def test_scores_of_models(spark):
+    rows = [("s", m, 1.0, 100, c, p, d, ok, None, q) for m, c, p, d, ok, q in (("pelt_a", 0.3, 0.01, 2.0, True, None), ("pelt_a", 0.6, 0.2, 1.0, False, None), ("pelt_b", 0.3, 0.01, 1.0, True, None), ("pelt_c", 0.9, 0.5, 0.1, False, None), ("bocpd_x", 0.6, None, None, True, 0.4))]
+    detected = spark.createDataFrame(rows, cp.DETECTED)
+    got = {r["model_id"]: r for r in models.score_models(detected).collect()}
+    assert set(got) == {"pelt_a", "pelt_b", "bocpd_x"}
+
+    def scaled(v):
+        lo, hi = np.percentile(v, 5), np.percentile(v, 95)
+        return np.full(len(v), 0.5) if hi - lo < 1e-9 else np.clip((v - lo) / (hi - lo), 0, 1)
+
+    far = float(np.exp(-225.0))
+    n, d, mass = np.array([1.0, 1, 0]), np.array([1.5, 1.0, 0.0]), np.array([0, 0, 0.4])
+    stable = np.array([(1 + (1 + far) / 2) / 2, (1 + (1 + 2 * far) / 3) / 2, 0.0])
+    stable[1], stable[2] = (1 + (1 + 2 * far) / 3) / 2, (1 + (1 + 2 * far) / 3) / 2
+    want = 0.3 * scaled(n) + 0.3 * scaled(d) + 0.2 * scaled(stable) + 0.2 * scaled(mass) + 0.25 * stable
+    assert [got[m]["score"] for m in ("pelt_a", "pelt_b", "bocpd_x")] == pytest.approx(want.tolist())
+    assert [r["score"] for r in models.score_models(detected.where("model_id = 'pelt_b'")).collect()] == [1.0]
+    assert models.score_models(detected.where("model_id = 'pelt_c'")).count() == 0
+
+
+def test_results_follow_the_tables(spark):
+    from tidemark.plans import QUERIES
+
+    a, b = (QUERIES["permutation_bh"](spark, f"/root/testdata/{sf}").collect() for sf in ("sf0.001", "sf0.01"))
+    assert a and b and sorted(map(str, a)) != sorted(map(str, b))

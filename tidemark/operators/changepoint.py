@@ -216,7 +216,7 @@ def hazard_heuristic(x: np.ndarray, low: float = 100.0, high: float = 300.0) ->
     return float(np.clip(max(50.0, spacing), low, high))
 
 
-DETECTED = "series_id string, model_id string, parameter double, cp int, position double, p_value double, cohens_d double, significant boolean, reason string"
+DETECTED = "series_id string, model_id string, parameter double, cp int, position double, p_value double, cohens_d double, significant boolean, reason string, posterior double"
 
 
 def detect(signals: DataFrame, models: list[str] | None = None) -> DataFrame:
@@ -231,12 +231,12 @@ def detect(signals: DataFrame, models: list[str] | None = None) -> DataFrame:
         rows = []
         if kind == "pelt" and len(x) >= 10:
             par, cps, _ = tune(x, cost_table(x, how))
-            rows = [(series, model, par, r["index"], r["index"] / len(x), r["p"], r["d"], r["significant"], r["reason"]) for r in validate(x, cps)]
+            rows = [(series, model, par, r["index"], r["index"] / len(x), r["p"], r["d"], r["significant"], r["reason"], None) for r in validate(x, cps)]
         elif kind == "bocpd" and len(x) >= 5:
             par = hazard_heuristic(x)
             p = smooth(run_lengths(x, par, how))
-            rows = [(series, model, par, i, i / len(x), None, None, True, None) for i in persistent_peaks(p, threshold(p))]
-        return pd.DataFrame(rows, columns=["series_id", "model_id", "parameter", "cp", "position", "p_value", "cohens_d", "significant", "reason"])
+            rows = [(series, model, par, i, i / len(x), None, None, True, None, p[i]) for i in persistent_peaks(p, threshold(p))]
+        return pd.DataFrame(rows, columns=["series_id", "model_id", "parameter", "cp", "position", "p_value", "cohens_d", "significant", "reason", "posterior"])
 
     return grid.groupBy("series_id", "model_id").applyInPandas(one, DETECTED)
 

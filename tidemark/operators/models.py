@@ -17,6 +17,22 @@ def agreement(points: DataFrame, tolerance: float = 0.02) -> DataFrame:
     return m.withColumn("stability", (F.col("consensus") + F.col("density")) / 2)
 
 
+def score_models(detected: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """(model_id, n_cp, n_significant, effect, mass, stability, score) of the models of one series that have a significant
+    change point: metrics normalised over these models and weighted, and a quarter of the stability; one model has score 1."""
+    tested = F.col("p_value").isNotNull()
+    g = detected.groupBy("model_id").agg(F.count("*").alias("n_cp"), F.count_if("significant").alias("n_valid"), F.count_if(tested & F.col("significant")).alias("n_significant"), F.coalesce(F.avg(F.when(tested, F.col("cohens_d"))), F.lit(0.0)).alias("effect"), F.coalesce(F.avg("posterior"), F.lit(0.0)).alias("mass"))
+    valid = g.where("n_valid > 0").drop("n_valid")
+    points = detected.join(valid.select("model_id"), "model_id", "left_semi").select("model_id", F.col("position").alias("cp"))
+    out = valid.join(agreement(points, tolerance).select("model_id", "stability"), "model_id", "left").withColumn("stability", F.coalesce("stability", F.lit(0.0)))
+    total = 0.25 * F.col("stability")
+    for metric, weight in (("n_significant", 0.30), ("effect", 0.30), ("stability", 0.20), ("mass", 0.20)):
+        out = normalize(out.withColumn(f"{metric}_scaled", F.col(metric).cast("double")), f"{metric}_scaled")
+        total = total + weight * F.col(f"{metric}_scaled")
+    score = F.when(F.count("*").over(Window.partitionBy()) == 1, 1.0).otherwise(total)
+    return out.select("model_id", "n_cp", "n_significant", "effect", "mass", "stability", score.alias("score"))
+
+
 def rank_models(scored: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Scores within the tolerance of the best tie; ties go to fewer change points, then effect size, then stability."""
     top = F.max("score").over(Window.partitionBy())

@@ -28,7 +28,7 @@ def _signal(s: SparkSession, d: str) -> DataFrame:
 
 
 def _pelt(model: str):
-    return lambda s, d: changepoint.detect(_signal(s, d), [model])
+    return lambda s, d: changepoint.detect(_signal(s, d), [model]).drop("posterior")
 
 
 def _lag1(s: SparkSession, d: str) -> DataFrame:
@@ -56,8 +56,21 @@ def _agreement(s: SparkSession, d: str) -> DataFrame:
     return models.agreement(s.sql("SELECT * FROM VALUES " + ", ".join(f"('{m}', {c}D)" for m, c in _POINTS) + " AS t(model_id, cp)"))
 
 
+def _detected(s: SparkSession, d: str) -> DataFrame:
+    return changepoint.detect(_signal(s, d)).cache()
+
+
 def _ranking(s: SparkSession, d: str) -> DataFrame:
-    return models.rank_models(s.sql("SELECT * FROM VALUES ('a', 0.948D, 3L, 2.1D, 0.5D), ('b', 0.945D, 2L, 1.0D, 0.6D), ('c', 0.7D, 1L, 3.0D, 0.9D) AS t(model_id, score, n_cp, effect, stability)"))
+    return models.rank_models(models.score_models(_detected(s, d)))
+
+
+def _detected_agreement(s: SparkSession, d: str) -> DataFrame:
+    return models.agreement(_detected(s, d).select("model_id", F.col("position").alias("cp")))
+
+
+def _kmeans_profile(s: SparkSession, d: str) -> DataFrame:
+    f = daily.daily_features(obs_lineitem(s, d))
+    return models.cluster_profile(f, models.kmeans_days(f))
 
 
 def _elbow(s: SparkSession, d: str) -> DataFrame:
@@ -115,9 +128,12 @@ _RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pelt_l1": _pelt("pelt_l1"),
     "pelt_rbf": _pelt("pelt_rbf"),
     "pelt_ar": _pelt("pelt_ar"),
-    "bocpd": lambda s, d: changepoint.detect(_signal(s, d), ["bocpd_student_t", "bocpd_gaussian"]),
+    "bocpd": lambda s, d: changepoint.detect(_signal(s, d), ["bocpd_student_t", "bocpd_gaussian"]).drop("posterior"),
     "model_agreement": _agreement,
     "model_ranking": _ranking,
+    "permutation_bh": lambda s, d: posthoc.bh(posthoc.permutation_exact(_parts(s, d))),
+    "detected_agreement": _detected_agreement,
+    "kmeans_profile": _kmeans_profile,
     "dataset_ranking": lambda s, d: models.dataset_scores(obs_events(s, d, by_type=True)),
     "kmeans_days": lambda s, d: models.kmeans_days(daily.daily_features(obs_lineitem(s, d))),
     "cluster_profile": _profile,
