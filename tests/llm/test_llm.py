@@ -154,10 +154,10 @@ def test_decontamination(spark, docs, none):
         w = word.findall((r["text"] or "").translate(low))
         for k in range(max(1, len(w) - 9) if w else 0):
             windows[tuple(w[k : k + 10])].add(str(r["item_id"]))
-    for limit in (decontam.BROADCAST_ROWS, 0):  # the broadcast and the shuffled join
-        decontam.BROADCAST_ROWS, old = limit, decontam.BROADCAST_ROWS
+    for limit in (decontam.BROADCAST_BYTES, 0):  # the broadcast and the shuffled join
+        decontam.BROADCAST_BYTES, old = limit, decontam.BROADCAST_BYTES
         got = {r["doc_id"]: r for r in decontam.decontaminate(docs, bench).collect()}
-        decontam.BROADCAST_ROWS = old
+        decontam.BROADCAST_BYTES = old
         for i, t in pairs(docs):
             w, hit, items = word.findall((t or "").translate(low)), set(), set()
             for key, ids in windows.items():
