@@ -278,7 +278,234 @@ def test_scores_and_resampling(spark, docs, none):
     assert len(top) == 150 and sorted(top) == [8.0] * 50 + [9.0] * 100
 
 
-def test_pipeline_runs(spark):
+def cut_lines(rows):
+    """Chunks of two lines, straight from their definition: no rolling, no byte arrays."""
+    import xxhash
+
+    turn = lambda x: (x << 7 | x >> 57) & (2**64 - 1)
+    hashes = [xxhash.xxh3_64_intdigest(x) for x in rows]
+    places = sorted(((turn(a) ^ b) * 0x9E3779B97F4A7C15 % 2**64, i) for i, (a, b) in enumerate(zip(hashes, hashes[1:], strict=False)))
+    begins, used = set(), set()
+    for _, i in places:
+        if not {i, i + 1} & used:
+            begins.add(i)
+            used |= {i, i + 1}
+    out, at = [], 0
+    while at < len(rows):
+        out.append((at, at + 2 if at in begins else at + 1))
+        at = out[-1][1]
+    return out
+
+
+def lines_by_hand(rows):
+    """rows: (sort key, text) of different documents in order; the texts that stay."""
+    seen, out = set(), []
+    for key, text in rows:
+        lines_of = text.encode().split(b"\n")
+        keep = []
+        for a, b in cut_lines(lines_of):
+            body = b"\n".join(lines_of[a:b])
+            keep += lines_of[a:b] if b - a < 2 or body not in seen else []
+            seen |= {body} if b - a == 2 else set()
+        out.append((key, b"\n".join(keep).decode()))
+    return out
+
+
+def test_line_chunks_without_their_own_chunker(docs):
+    rows = sorted((i, t) for i, t in pairs(docs) if t is not None)
+    assert dict(lines_by_hand(rows)) == {i: t for i, t in pairs(lines.without_repeats(docs)) if t is not None}
+
+
+def test_lines_of_any_id(spark):
+    text = "\n".join(f"line {k}" for k in range(8))
+    for kind, ids in (("long", [None, -1, 5, 5]), ("string", [None, "", "x", "x"])):
+        rows = [(i, text) for i in ids]
+        got = [(r["doc_id"], r["text"]) for r in lines.without_repeats(spark.createDataFrame(rows, f"doc_id {kind}, text string")).collect()]
+        assert [t for i, t in got if i is None] == [text]  # the first of all stays whole
+        gone = lines_by_hand([(0, text), (1, text)])[1][1]
+        assert {t for i, t in got if i is not None} == {gone} and len(got) == 4
+
+
+def test_one_of_each_class_with_null_and_repeated_ids(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(None, a), (None, a), (3, a), (3, a), (4, b), (4, a + " more"), (None, b), (7, None), (7, None), (8, " "), (9, "few words"), (9, "few words")]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, pairs(got))) == sorted(map(str, [(3, a), (4, b), (7, None), (7, None), (8, " "), (9, "few words")]))
+
+
+def test_log_weights_by_hand(spark, docs):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+    from tidemark.llm._text import Words, gram_hashes
+
+    def grams(text):
+        words = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode().split()
+        one = [int(Words(np.frombuffer(w, np.uint8), np.array([0, len(w)]), seed=1).hash[0]) for w in words]
+        two = [int(gram_hashes(np.array(p, np.uint64), 2)[0]) for p in zip(one, one[1:], strict=False)]
+        return [h >> (64 - quality.BITS) for h in one + two]
+
+    of = {i: grams(t) for i, t in pairs(docs)}
+    good = {i for i in range(40) if i % 3 and i % 7}
+    raw, target = collections.Counter(g for x in of.values() for g in x), collections.Counter(g for i, x in of.items() if i in good for g in x)
+    share = target.total() / raw.total()
+    ratio = lambda g: np.log((target[g] + quality.PRIOR) / (raw[g] * share + quality.PRIOR))
+    table = quality.log_ratio(quality.counts(quality.target_rows(docs, labels)), quality.counts(docs.select("text")))
+    got = {r["doc_id"]: r["log_weight"] for r in quality.weights(docs.select("doc_id", "text"), table).collect()}
+    assert got == pytest.approx({i: sum(map(ratio, x)) for i, x in of.items()}, abs=1e-4)
+    keys = {r["doc_id"]: r["key"] for r in quality.weights(docs.select("doc_id", "text"), table).collect()}
+    picked = {r["doc_id"] for r in quality.resample(docs, labels, 0.4).collect()}
+    assert picked == set(sorted(keys, key=lambda i: -keys[i])[: round(0.4 * len(keys))])
+
+
+def test_top_k_of_repeated_rows(spark):
+    rows = spark.sql("SELECT 1L AS doc_id, 5L AS h, 2.0D AS key FROM range(5000) UNION ALL SELECT 2L, 6L, 2.0D FROM range(10)")
+    got = collections.Counter(r["doc_id"] for r in quality.top_k(rows, 5004).collect())
+    assert got == {1: 5000, 2: 4}
+
+
+def test_language_by_hand(spark):
+    import zstandard as z
+
+    rng = random.Random(4)
+    vocab = {k: ["".join(rng.choice(a) for _ in range(rng.randint(2, 8))) for _ in range(300)] for k, a in (("aa", "etaoins"), ("bb", "ruéèlmp"), ("cc", "xyzwkjq"))}
+    say = lambda k, n: " ".join(rng.choices(vocab[k], k=n))
+    rows = [(i, say(k, rng.randint(1, 400)), k) for i, k in enumerate(rng.choices(sorted(vocab), k=150))] + [(500, say("aa", 60) + say("bb", 60), None)]
+    learned = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(learned) == set(vocab)
+    want = {}
+    for i, text, _ in rows:
+        data = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+        sizes = {}
+        for k, d in learned.items():
+            c = z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), level=langid.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[k] = sum(len(c.compress(data[a : a + langid.BLOCK_BYTES])) for a in range(0, len(data), langid.BLOCK_BYTES))
+        best, second = sorted((v, k) for k, v in sizes.items())[:2]
+        want[i] = (best[1], (second[0] - best[0]) / second[0])
+    got = {r["doc_id"]: (r["__lang_pred"], r["__score"]) for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), learned).collect()}
+    assert {i: g[0] for i, g in got.items()} == {i: w[0] for i, w in want.items()}
+    assert {i: g[1] for i, g in got.items()} == pytest.approx({i: w[1] for i, w in want.items()}, abs=0.02)
+    assert sum(got[i][0] == k for i, _, k in rows[:150]) >= 145
+
+
+def test_every_language_is_learned(spark):
+    rows = [(f"word{k} of language {k} " * 9, f"l{k}") for k in range(300)]
+    learned = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(learned) == 300
+    with pytest.raises(ValueError):
+        langid.fit(spark.createDataFrame(rows, "text string, lang string"), total_bytes=200 * langid.LEAST_BYTES)
+
+
+def test_slots_by_hand(spark, docs):
+    rows = docs.select("doc_id", "text").unionAll(docs.select("doc_id", "text").limit(5)).unionAll(spark.sql("SELECT CAST(NULL AS LONG), 'x' FROM range(3)"))
+    got = sharding.shard_documents(rows).toPandas()
+    assert len(got) == rows.count()
+    of = {r["doc_id"]: r["s"] for r in rows.select("doc_id", sharding.virtual_slot("doc_id").alias("s")).collect()}
+    for r in got.itertuples():
+        i = None if np.isnan(r.doc_id) else int(r.doc_id)
+        assert r.virtual_slot == of[i] and r.shard == of[i] % 16 and r.grown_shard in (r.shard, 16)
+    sizes = collections.Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in pairs(rows))
+    assert sizes == collections.Counter((None if np.isnan(r.doc_id) else int(r.doc_id), r.size, r.text_crc32) for r in got.itertuples())
+    for _, own in got.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own))) and own.sort_values("slot").virtual_slot.is_monotonic_increasing
+    load = got.groupby("rebalanced_shard")["size"].sum()
+    assert load.max() <= max(got.groupby("shard")["size"].sum().max(), 1)
+
+
+WORD, LOW = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def pipeline_by_hand(rows, bench, learned):
+    """(doc_id, text) that the filtering stages leave, in plain Python; rows have different ids."""
+    kept = []
+    for i, t in rows:
+        if t and any(map(str.isalpha, t)):
+            lang, score = langid.classify(t, langid._compressors(tuple(sorted(learned.items())), langid.LEVEL))
+            if lang != "und" and score >= langid.MIN_MARGIN:
+                kept.append((i, t))
+    kept = lines_by_hand(sorted(kept))
+    sets = {}
+    for i, t in kept:
+        w = t.translate(LOW).encode().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+    for _ in range(4):
+        for a in sets:
+            for b in sets:
+                if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    kept = [(i, t) for i, t in kept if root[i] == i]
+    windows = set()
+    for _, t in bench:
+        w = WORD.findall((t or "").translate(LOW))
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    out = []
+    for i, t in kept:
+        w = WORD.findall(t.translate(LOW))
+        if not any(tuple(w[k : k + len(x)]) == x for x in windows for k in range(len(w))):
+            out.append((i, t))
+    return out
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    vocab = {"en": ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(500)], "fr": ["".join(rng.choice("ésaitnruè") for _ in range(rng.randint(2, 8))) for _ in range(500)]}
+    say = lambda k, n: " ".join(rng.choices(vocab[k], k=n))
+    base, block, leak = say("en", 90), "\n".join(say("en", 6) for _ in range(8)), say("fr", 14)
+    texts = [say(k, rng.randint(8, 150)) for k in ("en", "fr") * 20] + [base, base, base + " extra", None, "", "12 34", leak + " " + say("fr", 60)]
+    texts += [say("en", 10) + "\n" + block + "\n" + say("en", 10) for _ in range(4)]
+    rows = [(i, t, "fr" if t and "é" in t else "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    schema, bench = "doc_id long, text string, lang string, source string, n_chars long", [(1, leak), (2, None)]
+    for name, data, kind in (("documents", rows, schema), ("benchmark", bench, "item_id long, text string")):
+        spark.createDataFrame(data, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    d = str(tmp_path)
+    learned = langid.fit(spark.read.parquet(f"{d}/documents.parquet").where(langid.remainder() != 2).select("text", "lang"))
+    want = pipeline_by_hand([(i, t) for i, t, *_ in rows], bench, learned)
+    assert len(want) <= len(rows) - 6 and {40} <= {i for i, _ in want} and 46 not in {i for i, _ in want}
+    done = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        done = stage(spark, done, d)
+        assert done.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    assert sorted(pairs(done)) == want
+    packed = corpus_pipeline.run(spark, d).toPandas()
+    tok = Tokenizer.from_file(q.tokenizer_path())
+    assert packed.groupby("doc_id").length.sum().to_dict() == {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in want}
+    assert packed.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_pipeline_on_empty_and_repeated_rows(spark, tmp_path):
     import corpus_pipeline
 
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "line_dedup", "near_duplicates", "decontamination", "packing"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = "some words that are said once and then once more in the same row of the table"
+    for k, rows in enumerate(([], [(None, text, "en", None, None)] * 3 + [(1, None, None, None, None)] * 2 + [(10 + k, f"quite other words: {chr(97 + k) * 9} and so on", "en", None, None) for k in range(6)])):
+        d = str(tmp_path / str(k))
+        spark.createDataFrame(rows, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, d)
+        assert "sequence_id" in got.columns and got.count() == (0 if k == 0 else 7)
+
+
+def test_empty_tables_of_the_other_inputs(spark, docs):
+    assert ann.search_hundredths(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    assert quality.resample(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+    found = decontam.decontaminate(docs, spark.createDataFrame([], "item_id long, text string"))
+    assert found.where("contaminated").count() == 0 and found.count() == docs.count()
+
+
+def test_very_long_texts_and_repeated_rows(spark):
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(200_000))
+    rows = [(None, long), (None, long), (2, long.replace("w7 ", "v7 ")), (3, "w1 w2")]
+    wide = spark.createDataFrame(rows, "doc_id long, text string")
+    n = len(long.split())
+    assert [r["n_words"] for r in lm.score(wide).collect() if r["doc_id"] is None] == [n, n]
+    assert [(r["n_words"], r["n_removed"]) for r in phrases.summary(wide).collect() if r["doc_id"] is None] == [(n, n)] * 2
+    assert {r["component_id"] for r in ngram_join.classes(wide).collect() if r["doc_id"] != 3} == {2}
+    bench = spark.createDataFrame([(1, " ".join(long.split()[-12:]))], "item_id long, text string")
+    assert [r["n_hit"] for r in decontam.decontaminate(wide, bench).collect() if r["doc_id"] is None] == [12, 12]
+    assert quality.weights(wide, np.zeros(1 << 4, np.float32)).count() == 4 and sharding.shard_documents(wide).count() == 4
+    same = "say it again " * 60_000
+    again = spark.createDataFrame([(1, same)], "doc_id long, text string")
+    assert [(r["n_words"], r["n_removed"]) for r in phrases.summary(again).collect()] == [(180_000, 180_000)]

@@ -11,9 +11,13 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all machines of a cluster share; where it is unset (tests on one machine), a temporary folder."""
+    """spark.checkpoint.dir, which all machines of a cluster share. Where it is unset, a temporary folder does on one
+    machine (a local master); on a cluster that is an error, for a lost machine would take its tables along."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -72,8 +76,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     shared folder. Groups are only ever reduced to their minimum, so a hub needs no task that holds all its neighbours.
     """
     now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
     while True:
+        before = now
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: every larger neighbour of u is tied to the smallest of u and its neighbours
@@ -81,10 +85,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: u and its smaller neighbours are tied to the smallest of them
         least = large.groupBy("u").agg(F.min("m").alias("m"))
         small = large.withColumnRenamed("m", "v").join(least, "u").select(F.col("v").alias("u"), "m").where("u <> m")
-        now = materialize(small.unionAll(least).distinct(), "edges")
-        state = tuple(now.agg(F.count("*"), F.sum(F.hash("u", "m").cast("long"))).first())
-        now = now.withColumnRenamed("m", "v")
-        if state == seen:
+        now = materialize(small.unionAll(least).distinct().withColumnRenamed("m", "v"), "edges")
+        if now.count() == before.count() and now.join(before, ["u", "v"], "left_anti").isEmpty():
             break
-        seen = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

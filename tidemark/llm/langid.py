@@ -1,14 +1,19 @@
 """Language identification by compression: a text is compressed with a raw-content zstandard dictionary for each
 language, and the language whose dictionary gives the smallest result wins.
 
-Dictionaries come from a bounded sample: of each language the different texts first in a hash order, an excerpt of each,
-until DICT_BYTES are full; copies count once. Predictions use whole texts, in lower case, everything but letters as one
-blank. Each block of BLOCK_BYTES is compressed by itself and the sizes are summed: what a dictionary saves is bounded, so
-in one piece the margin would shrink with the length of the text.
+Dictionaries come from a bounded sample of labelled rows: of each language the different texts first in a hash order, of
+each an excerpt of EXCERPT_CHARS from a place that its hash chooses, until DICT_BYTES are full; copies count once. Every
+language is learned: beyond TOTAL_BYTES / DICT_BYTES of them the dictionaries share TOTAL_BYTES evenly, and a column with
+more values than TOTAL_BYTES / LEAST_BYTES isn't one of languages and is refused.
+
+Predictions use whole texts, in lower case, everything but letters as one blank. Each block of BLOCK_BYTES is compressed
+by itself and the sizes are summed: what a dictionary saves is bounded, so in one piece the margin would shrink with the
+length of the text.
 
 Cases: `und` for null or empty text and text without a letter; also if nothing could be learned. Ties go to the first
 language in order of name, and have margin 0. With one learned language the margin is 1. Null languages aren't learned
-from; a null doc_id isn't either, and isn't held out. Repeated rows are predicted alike; other columns are ignored.
+from; a null doc_id isn't either, and isn't held out. Very long texts are compressed whole, block by block. Repeated rows
+are predicted alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +34,9 @@ BLOCK_BYTES = 64 << 10
 LEVEL = 7
 #: A prediction is rejected when the second best is less than this share larger.
 MIN_MARGIN = 0.002
-MAX_LANGUAGES = 256
+#: Of all dictionaries, and of one at least.
+TOTAL_BYTES = 32 << 20
+LEAST_BYTES = 4 << 10
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -37,16 +44,26 @@ def _plain(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).encode()
 
 
-def fit(labelled: DataFrame, dict_bytes: int = DICT_BYTES, max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
+def fit(labelled: DataFrame, dict_bytes: int = DICT_BYTES, total_bytes: int = TOTAL_BYTES) -> dict[str, bytes]:
     """Dictionaries from rows (text, lang); the sample that reaches the driver is bounded by the two parameters."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    if not counts:
+    most_languages = total_bytes // LEAST_BYTES
+    names = [r["lang"] for r in rows.select("lang").distinct().limit(most_languages + 1).collect()]
+    if not names:
         return {}
-    most = max(64, 4 * dict_bytes // EXCERPT_CHARS)
-    names = [r["lang"] for r in counts]
-    parts = rows.where(F.col("lang").isin(names)).select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, EXCERPT_CHARS).alias("part"))
-    few = parts.select("lang", "h").distinct().withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("i") <= most).drop("i")
+    if len(names) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    dict_bytes = min(dict_bytes, total_bytes // len(names))
+    excerpt = min(EXCERPT_CHARS, dict_bytes)
+    most = max(64, 4 * dict_bytes // excerpt)
+    h = F.xxhash64("text")
+    # where the excerpt begins: anywhere, by the text's own hash
+    begins = F.pmod(F.xxhash64(h, F.lit(1)), F.greatest(F.lit(1), F.length("text") - excerpt + 1)).cast("int")
+    parts = rows.select("lang", h.alias("h"), F.substring(F.col("text"), begins + 1, F.lit(excerpt)).alias("part"))
+    few = parts.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(1024)))
+    for own in (["lang", "part"], ["lang"]):  # first of each part, so that no task gets more than 1024 times as many
+        few = few.withColumn("i", F.row_number().over(Window.partitionBy(*own).orderBy("h"))).where(F.col("i") <= most).drop("i")
+    few = few.drop("part")
     sample = parts.join(F.broadcast(few), ["lang", "h"]).distinct().orderBy("lang", "h", "part").collect()
     out: dict[str, bytes] = {}
     for r in sample:

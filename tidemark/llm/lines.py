@@ -9,8 +9,9 @@ others are removed. What stays of a repeated block: its lines at the ends that a
 lines between two chunks.
 
 Cases: null text stays null and has no lines; empty text is one empty line; a text of fewer than MIN_LINES lines is
-never changed; rows repeated whole count as one document and are treated alike; null doc_id comes first. Other columns
-pass through unchanged, whatever their names (own columns begin with __line).
+never changed; a very long text is cut whole, in time n log n of its lines; rows repeated whole count as one document and
+are treated alike; null doc_id is a document of its own and comes first; ids may be of any type that has an order. Other
+columns pass through unchanged, whatever their names (own columns begin with __line or __list).
 """
 
 from __future__ import annotations
@@ -132,11 +133,11 @@ def dedup(documents: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     hashed = materialize(hashed, "chunks")
     repeated = hashed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     listed = hashed.join(repeated, ["h1", "h2"]).groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("__line_at"))
-    rows = documents.withColumn("__line_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("__line_key", F.xxhash64("text"))
+    rows = documents.withColumn("__line_id", F.col("doc_id")).withColumn("__line_key", F.xxhash64("text"))
 
     def with_lists(left: DataFrame, lists: DataFrame, name: str) -> DataFrame:
-        right = lists.select(F.coalesce(F.col("key.id").cast("long"), F.lit(-1)).alias("__line_id"), F.col("key.text").alias("__line_key"), name)
-        return left.join(right, ["__line_id", "__line_key"], "left")
+        right = lists.select(F.col("key.id").alias("__list_id"), F.col("key.text").alias("__list_key"), name)
+        return left.join(right, F.col("__line_id").eqNullSafe(F.col("__list_id")) & (F.col("__line_key") == F.col("__list_key")), "left").drop("__list_id", "__list_key")
 
     texts = with_lists(rows.select("__line_id", "__line_key", key.alias("key"), "text"), listed, "__line_at").where(F.col("__line_at").isNotNull())
     bodies = texts.select("key", "text", "__line_at").mapInArrow(_emit(min_lines, True), f"key {kind}, at int, h1 long, h2 long, body binary")

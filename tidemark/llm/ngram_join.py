@@ -350,6 +350,17 @@ def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> D
 
 
 def one_of_each(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """The documents without those whose class has a smaller id; all columns kept."""
-    later = classes(documents.select("doc_id", "text"), size, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__later")).distinct()
-    return documents.join(later, documents["doc_id"] == later["__later"], "left_anti")
+    """One document of each class, all columns kept: the least id (null last), then the least text hash; of rows repeated
+    whole one. Documents without words are in no class and all stay."""
+    sets, labels = text_classes(documents.select("doc_id", "text"), size, percent)
+    texts = sets.where("n > 0").select("th").join(labels.withColumnRenamed("node", "th"), "th", "left").select("th", F.coalesce("label", "th").alias("label"))
+    rows = documents.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th")).groupBy("doc_id", "th").agg(F.count("*").alias("rows"))
+    each = rows.join(texts, "th")
+    first = each.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    marks = each.join(first, "label").select(F.col("doc_id").alias("__one_id"), F.col("th").alias("__one_text"), kept.alias("__one_kept"), "rows").where("NOT __one_kept OR rows > 1").drop("rows")
+    marks = materialize(marks, "marks")
+    same = documents["doc_id"].eqNullSafe(marks["__one_id"]) & (F.xxhash64(documents["text"]) == marks["__one_text"])
+    marked = documents.join(marks, same, "left").where("__one_kept IS NULL OR __one_kept")
+    once = marked.where("__one_kept").dropDuplicates(["__one_id", "__one_text"])  # repeated whole, or but for other columns
+    return marked.where("__one_kept IS NULL").unionAll(once).drop("__one_id", "__one_text", "__one_kept")

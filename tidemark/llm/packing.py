@@ -7,12 +7,13 @@ first, and the documents, ranked within their length, take the patterns' places
 patterns, both bounded by the number of lengths, are on the driver.
 
 Cases: null or empty text is one token, the closing id; repeated rows are packed each; ties in rank are broken by id, so
-equal rows are interchangeable; an empty table gives no rows; other columns are ignored.
+equal rows are interchangeable, and a null id is an id like any
+other; a very long text becomes as many pieces as it fills; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
+import json
 import os
 import re
 import zlib
@@ -28,15 +29,25 @@ from ._shared import materialize
 LENGTH = 2048
 QUANTUM = 8
 END_ID = 1
-PARTS = 64
+#: Pieces of one size are numbered in parts of about so many rows.
+PART_ROWS = 50_000
+#: Stems that a task keeps encoded; twice as many words.
 CACHE = 500_000
 #: The linear program is solved to this share of its least value.
 GAP = 0.0005
 
 
+#: The normalizer and pre-tokenizer for which a text's ids are those of its words.
+BY_WORD = """{"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+"}, "behavior": "Removed", "invert": true},
+{"type": "ByteLevel", "add_prefix_space": false, "trim_offsets": true, "use_regex": false}]}}"""
+
+
 class Encoder:
-    """Token ids of texts as little-endian bytes. Ids of a text are those of its white-space-separated words, one after
-    the other, for a tokenizer that drops white space and never joins across it; words are encoded once and kept."""
+    """Token ids of texts as little-endian bytes.
+
+    With the normalizer and pre-tokenizer of BY_WORD, which drop white space and never join across it, a text's ids are
+    those of its words, one after the other; words are encoded once and kept. Any other tokenizer gets whole texts."""
 
     _STRANGE = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer
     _TAIL = ".,!?;:&#$%*+-/=@^~|"
@@ -46,6 +57,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        self.by_word = all(own.get(k) == v for k, v in json.loads(BY_WORD).items()) and all(not a.get("lstrip") and not a.get("rstrip") for a in own["added_tokens"])
         self.words: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
@@ -80,7 +94,12 @@ class Encoder:
                 rest.append(w)
         words.update(zip(rest, self._raw(rest), strict=True))
 
+    def forget(self) -> None:
+        self.words, self.stems = {}, {}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            return self._raw([t or "" for t in texts])
         lists: list[list[str] | None] = []
         missing: set[str] = set()
         for t in texts:
@@ -125,28 +144,30 @@ def pieces(documents: DataFrame, tokenizer: str, length: int = LENGTH, end_id: i
     """doc_id, h (a hash of the row), start, length, ids_crc32, doc_tokens: whole sequences first, then the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # millions of strings and bytes live in the caches, and no cycles
         coder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                row: list[int] = []
-                start: list[int] = []
-                size: list[int] = []
-                crc: list[int] = []
-                total: list[int] = []
-                for r, ids in enumerate(coder.encode(batch.column(2).to_pylist())):
-                    ids += end
-                    n = len(ids) // 4
-                    for a in range(0, n, length):
-                        part = ids[4 * a : 4 * (a + length)]
-                        row.append(r)
-                        start.append(a)
-                        size.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        total.append(n)
-                at = pa.array(row, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x, pa.int64()) for x in (start, size, crc, total))], ["doc_id", "h", "start", "length", "ids_crc32", "doc_tokens"])
+        try:
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 256):
+                    batch = whole.slice(lo, 256)
+                    row: list[int] = []
+                    start: list[int] = []
+                    size: list[int] = []
+                    crc: list[int] = []
+                    total: list[int] = []
+                    for r, ids in enumerate(coder.encode(batch.column(2).to_pylist())):
+                        ids += end
+                        n = len(ids) // 4
+                        for a in range(0, n, length):
+                            part = ids[4 * a : 4 * (a + length)]
+                            row.append(r)
+                            start.append(a)
+                            size.append(len(part) // 4)
+                            crc.append(zlib.crc32(part))
+                            total.append(n)
+                    at = pa.array(row, pa.int32())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x, pa.int64()) for x in (start, size, crc, total))], ["doc_id", "h", "start", "length", "ids_crc32", "doc_tokens"])
+        finally:
+            coder.forget()  # the worker goes on to other tasks
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
@@ -235,10 +256,14 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[np.ndarray, int
 
 
 def assign(rests: DataFrame, length: int = LENGTH, quantum: int = QUANTUM) -> DataFrame:
-    """sequence_id and offset for pieces of up to `length` tokens."""
+    """sequence_id and offset for pieces of up to `length` tokens.
+
+    A piece's rank among those of its size is its number within a part of them, dealt by hash, and the rows of the parts
+    before; so the whole sequences, a size of their own, are numbered by as many tasks as any other rows."""
     spark = rests.sparkSession
-    rows = rests.withColumn("size", F.ceil(F.col("length") / quantum).cast("int")).withColumn("part", F.pmod("h", F.lit(PARTS)).cast("int"))
-    counts = rows.groupBy("size", "part").agg(F.count("*").alias("n"))
+    parts = max(1, -(-rests.count() // PART_ROWS))
+    rows = rests.withColumn("size", F.ceil(F.col("length") / quantum).cast("int")).withColumn("part", F.pmod(F.xxhash64("h", "start"), F.lit(parts)).cast("int"))
+    counts = materialize(rows.groupBy("size", "part").agg(F.count("*").alias("n")), "sizes")
     histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     sizes = sorted(histogram)
     places: list[tuple[int, int, int, int, int, int]] = []
@@ -255,7 +280,7 @@ def assign(rests: DataFrame, length: int = LENGTH, quantum: int = QUANTUM) -> Da
     before = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("size", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begins"))
     own = Window.partitionBy("size", "part").orderBy("h", "doc_id", "start", "ids_crc32")
-    ranked = rows.withColumn("rank", F.row_number().over(own)).join(F.broadcast(offsets), ["size", "part"]).withColumn("rank", F.col("rank") - 1 + F.col("begins"))
+    ranked = rows.withColumn("rank", F.row_number().over(own)).join(offsets, ["size", "part"]).withColumn("rank", F.col("rank") - 1 + F.col("begins"))
     t = F.broadcast(table.withColumnRenamed("size", "s"))
     put = ranked.join(t, (F.col("size") == F.col("s")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     at = F.col("rank") - F.col("low")

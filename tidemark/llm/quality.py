@@ -41,7 +41,7 @@ def _buckets(words: Words, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]
 
 
 def counts(texts: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Counts of all n-grams of a column of texts, by bucket: one partial table a task, added up by parts of the table."""
+    """Counts of all n-grams of a column of texts, by bucket: each task adds up its own, Spark the tasks'."""
     n = 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,19 +52,14 @@ def counts(texts: DataFrame, bits: int = BITS) -> np.ndarray:
                 words = Words(buf[off[i] : off[j]], off[i : j + 1] - off[i], lower=True)
                 for b, _ in _buckets(words, bits):
                     total += np.bincount(b, minlength=n)
-        part = min(n, _PART)
-        at = [k for k in range(0, n, part) if total[k : k + part].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k // part for k in at], pa.int32()), pa.array([total[k : k + part].astype("<i8").tobytes() for k in at], pa.binary())], ["part", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), "<i8") for x in table.column(1))
-        return pa.table([table.column(0).slice(0, 1), pa.array([np.asarray(total).astype("<i8").tobytes()], pa.binary())], ["part", "counts"])
-
-    found = texts.mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    out = np.zeros(n, np.int64)  # of fixed size
-    for r in found:
-        part = np.frombuffer(r["counts"], "<i8")
-        out[r["part"] * len(part) : (r["part"] + 1) * len(part)] = part
+        at = np.flatnonzero(total)
+        for lo in range(0, len(at), _PART):
+            some = at[lo : lo + _PART]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
+
+    found = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2 ** bits rows at most
+    out = np.zeros(n, np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
@@ -129,9 +124,12 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
         if size <= 100_000:
             break
         low, high = rest.agg(F.min("key"), F.max("key")).first()
-    if rest is not None:  # one bin, or rows of equal keys
+    if rest is not None:  # one bin, or rows of equal keys: those of one document count as one, and come back at the end
+        each = rest.groupBy(*rest.columns).agg(F.count("*").alias("n"))
         order = Window.orderBy(F.desc("key"), "doc_id", "h")
-        kept.append(rest.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r"))
+        before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        each = each.withColumn("n", F.least(F.col("n"), k - before)).where("n > 0")
+        kept.append(each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n", "copy"))
     out = kept[0]
     for part in kept[1:]:
         out = out.unionAll(part)

@@ -11,13 +11,16 @@ all keep a place of their own; an empty table gives no rows; further columns of
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._shared import materialize, shared_dir
+
 SLOTS = 4096
-#: Rows of one slot are numbered in so many parts, so that one repeated key isn't numbered by one task.
-PARTS = 16
+#: A slot's records are numbered in parts of about so many rows.
+PART_ROWS = 50_000
 
 
 def virtual_slot(key, slots: int = SLOTS):
@@ -91,29 +94,40 @@ def records(df: DataFrame, slots: int = SLOTS) -> DataFrame:
     return df.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), virtual_slot("doc_id", slots).alias("virtual_slot"))
 
 
-def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
+def place(rows: DataFrame, slot_map: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Adds the shard, and `slot`: the place in the shard, without gaps from 0, by virtual slot and then by key.
 
-    Places need no sort of a shard: each part of a slot is numbered by itself and begins where the parts before it end;
-    there are slots x PARTS parts at most, whatever the rows."""
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("text_crc32", "size"), F.lit(PARTS)).cast("int"))
-    mapped = rows.join(F.broadcast(slot_map.select("virtual_slot", "shard", F.col("version").alias("map_version"))), "virtual_slot")
-    parts = mapped.groupBy("shard", "virtual_slot", "part").agg(F.count("*").alias("n"))
+    Places need no sort of a shard: each part of a slot is numbered by itself and begins where the parts before it end.
+    Equal records are counted before they meet and get their places in one go, so that a repeated one is one row."""
+    each = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    parts = max(1, -(-rows.count() // (slots * PART_ROWS)))
+    each = each.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(parts)).cast("int"))
+    mapped = each.join(F.broadcast(slot_map.select("virtual_slot", "shard", F.col("version").alias("map_version"))), "virtual_slot")
+    counts = mapped.groupBy("shard", "virtual_slot", "part").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = parts.select("virtual_slot", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begins"))
-    own = Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size")
-    return mapped.withColumn("rank", F.row_number().over(own)).join(F.broadcast(begins), ["virtual_slot", "part"]).withColumn("slot", F.col("begins") + F.col("rank") - 1).drop("begins", "rank", "part")
+    begins = counts.select("virtual_slot", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begins"))
+    own = Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = mapped.withColumn("rank", F.coalesce(F.sum("n").over(own), F.lit(0))).join(begins, ["virtual_slot", "part"])
+    first = F.col("begins") + F.col("rank")
+    return ranked.withColumn("slot", F.explode(F.sequence(first, first + F.col("n") - 1))).drop("begins", "rank", "part", "n")
 
 
-def shard_documents(documents: DataFrame, shards: int = 16, slots: int = SLOTS) -> DataFrame:
+def shard_documents(documents: DataFrame, shards: int = 16, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """Places of all documents under the law `key`: the id and the number of shards decide. grown_shard is the shard with
-    one shard more; rebalanced_shard the shard after an edit of the map by bytes."""
+    one shard more; rebalanced_shard the shard after an edit of the map by bytes.
+
+    The map is stored (in the shared folder, if no path is given) and read again: version 1 as it began, version 2 with
+    one shard more; the edit by bytes is made of version 1 and stored beside them as version 3."""
     spark = documents.sparkSession
     rows = records(documents, slots)
-    first = initial_map(spark, shards, slots)
-    sizes = slot_sizes(rows)
-    grown = grow(first, shards).select("virtual_slot", F.col("shard").alias("grown_shard"))
-    edited = rebalance(first, sizes).select("virtual_slot", F.col("shard").alias("rebalanced_shard"))
+    path = path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    save_map(initial_map(spark, shards, slots), path)
+    first = load_map(spark, path, 1)
+    save_map(grow(first, shards), path)
+    sizes = materialize(slot_sizes(rows), "slot-sizes")
+    save_map(rebalance(first, sizes).withColumn("version", F.lit(3)), path)
+    grown = load_map(spark, path, 2).select("virtual_slot", F.col("shard").alias("grown_shard"))
+    edited = load_map(spark, path, 3).select("virtual_slot", F.col("shard").alias("rebalanced_shard"))
     more = first.select("virtual_slot").join(F.broadcast(grown), "virtual_slot").join(F.broadcast(edited), "virtual_slot").join(F.broadcast(sizes.drop("slot_rows")), "virtual_slot")
-    out = place(rows, first).join(F.broadcast(more), "virtual_slot")
+    out = place(rows, first, slots).join(F.broadcast(more), "virtual_slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot", "slot_bytes", "rebalanced_shard", "map_version")
