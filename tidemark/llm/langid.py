@@ -47,23 +47,22 @@ def _plain(text: str) -> bytes:
 def fit(labelled: DataFrame, dict_bytes: int = DICT_BYTES, total_bytes: int = TOTAL_BYTES) -> dict[str, bytes]:
     """Dictionaries from rows (text, lang); the sample that reaches the driver is bounded by the two parameters."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    most_languages = total_bytes // LEAST_BYTES
-    names = [r["lang"] for r in rows.select("lang").distinct().limit(most_languages + 1).collect()]
-    if not names:
+    most_languages, h = total_bytes // LEAST_BYTES, F.xxhash64("text")
+    seen = rows.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")).limit(most_languages + 1).collect()
+    if not seen:
         return {}
-    if len(names) > most_languages:
+    if len(seen) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
-    dict_bytes = min(dict_bytes, total_bytes // len(names))
+    dict_bytes = min(dict_bytes, total_bytes // len(seen))
     excerpt = min(EXCERPT_CHARS, dict_bytes)
     most = max(64, 4 * dict_bytes // excerpt)
-    h = F.xxhash64("text")
     # where the excerpt begins: anywhere, by the text's own hash
     begins = F.pmod(F.xxhash64(h, F.lit(1)), F.greatest(F.lit(1), F.length("text") - excerpt + 1)).cast("int")
-    parts = rows.select("lang", h.alias("h"), F.substring(F.col("text"), begins + 1, F.lit(excerpt)).alias("part"))
-    few = parts.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(1024)))
-    for own in (["lang", "part"], ["lang"]):  # first of each part, so that no task gets more than 1024 times as many
-        few = few.withColumn("i", F.row_number().over(Window.partitionBy(*own).orderBy("h"))).where(F.col("i") <= most).drop("i")
-    few = few.drop("part")
+    # of a language with many texts, those whose hash is in a share that holds about 16 times as many as are wanted
+    shares = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, 16 * most / max(1, r["n"]))) for r in seen], "lang string, share double")
+    within = F.pmod(F.xxhash64(h, F.lit(2)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    parts = rows.join(F.broadcast(shares), "lang").where(within).select("lang", h.alias("h"), F.substring(F.col("text"), begins + 1, F.lit(excerpt)).alias("part"))
+    few = parts.select("lang", "h").distinct().withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("i") <= most).drop("i")
     sample = parts.join(F.broadcast(few), ["lang", "h"]).distinct().orderBy("lang", "h", "part").collect()
     out: dict[str, bytes] = {}
     for r in sample:
