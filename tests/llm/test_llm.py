@@ -268,7 +268,20 @@ def test_neighbours(spark):
 def test_scores_and_resampling(spark, docs, none):
     scores = {r["doc_id"]: r for r in lm.score(docs).collect()}
     assert scores[0]["n_words"] == 0 and scores[0]["log_score"] == 0 and scores[0]["mean_log_score"] is None
-    assert all(r["log_score"] < 0 for r in scores.values() if r["n_words"])
+    split = {i: (t or "").encode().split() for i, t in pairs(docs)}
+    c = [collections.Counter(tuple(w[k : k + n]) for w in split.values() for k in range(len(w) - n + 1)) for n in (1, 2, 3)]
+    total = c[0].total()
+
+    def one(w, k):
+        uni, bi, tri = (w[k],), tuple(w[k - 1 : k + 1]), tuple(w[k - 2 : k + 1])
+        s = np.log(c[0][uni] / total)
+        if k:
+            s = np.log((c[1][bi] - 1) / (c[0][bi[:1]] - 1)) if c[1][bi] > 1 else np.log(0.4) + s
+        if k > 1:
+            s = np.log((c[2][tri] - 1) / (c[1][tri[:2]] - 1)) if c[2][tri] > 1 else np.log(0.4) + s
+        return s
+
+    assert {i: r["log_score"] for i, r in scores.items()} == pytest.approx({i: sum(one(w, k) for k in range(len(w))) for i, w in split.items()})
     assert lm.score(none).count() == 0
     labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(30)], "doc_id long, quality int, toxic int")
     assert quality.resample(docs, labels, 0.5).count() == round(docs.count() * 0.5)

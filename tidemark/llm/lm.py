@@ -2,14 +2,17 @@
 
 Count tables are partitioned by hash: every chunk of documents sends its distinct n-grams once to the partitions that
 hold them, and each answer joins the corpus-wide count to the chunk's n-grams; scores are summed by document. First
-words and word pairs are counted, then word triples, but only those whose two pairs are in the table, for no other can be.
+words and word pairs are counted, then word triples, but only those whose two pairs occur twice or more: no other triple
+can occur twice, and of one that occurs once nothing is left.
 
-The table holds every word, and pairs and triples seen min_count times or more. S(w | u v) is c(u v w) / c(u v) if the
-triple is in the table, else alpha S(w | v); S(w | v) is c(v w) / c(v) if the pair is in the table, else alpha c(w) / N.
-A document's first word has c(w) / N, its second S(w | v). The score is the sum of natural logarithms.
+The counts are of the whole corpus less the scored occurrence itself, for else every triple would be known from its own
+place. S(w | u v) is (c(u v w) - 1) / (c(u v) - 1) if c(u v w) > 1, else alpha S(w | v); S(w | v) is (c(v w) - 1) /
+(c(v) - 1) if c(v w) > 1, else alpha c(w) / N, where the occurrence stays, so that no score is infinite. A document's
+first word has c(w) / N, its second S(w | v). The score is the sum of natural logarithms. Nothing is pruned.
 
 Cases: null, empty or blank text has no words, log_score 0 and mean_log_score null; a text of one or two words uses what
-it has; repeated rows count and are scored each; an empty table gives no rows; other columns are ignored.
+it has; a very long text is one document of its chunk, which grows by it; repeated rows count and are scored each, null
+ids too; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ from . import _chunks as C
 from ._text import Words, buffers, gram_hashes, gram_mask
 
 ALPHA = 0.4
-MIN_COUNT = 2
 WIDTH = 5
 
 
@@ -41,7 +43,7 @@ class _Grams:
         self.two, self.at2 = np.unique(plan.cut(self.pairs[self.ok[2]], WIDTH), return_inverse=True)
 
     def triples(self, plan: C.Layout, pair_known: np.ndarray):
-        """Places of triples whose pairs are both in the table, and the distinct ones."""
+        """Places of triples whose pairs both occur again, and the distinct ones."""
         n = len(self.words)
         known = np.zeros(max(0, n - 1), bool)
         known[self.ok[2]] = pair_known[self.at2] if len(self.at2) else False
@@ -51,7 +53,7 @@ class _Grams:
         return at, tokens, where
 
 
-def score(documents: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
+def score(documents: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score, n_triples and n_pairs (words scored by a triple, by a pair)."""
     plan = C.layout(documents)
     docs = C.dealt(documents, plan)
@@ -66,7 +68,7 @@ def score(documents: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT
     def second(table: pa.Table, replies: C.Replies) -> list:
         g, out, chunk = _Grams(plan, table.column("text")), [], table.column("chunk")[0].as_py()
         pairs = replies.counts(2)
-        _, tokens, where = g.triples(plan, pairs >= min_count)
+        _, tokens, where = g.triples(plan, pairs > 1)
         plan.send(chunk, 3, tokens, np.bincount(where, minlength=len(tokens)), WIDTH, out)
         for k in (1, 2):
             for b, body in replies.raw(k):
@@ -82,18 +84,18 @@ def score(documents: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT
         kind = np.ones(n, np.int8)
         follows = np.flatnonzero(g.ok[2]) + 1
         pair = c2[g.at2] if len(follows) else np.zeros(0)
-        seen = pair >= min_count
-        s[follows] = np.where(seen, np.log(pair) - np.log(word[follows - 1]), math.log(alpha) + s[follows])
+        seen, less = pair > 1, lambda c: np.log(np.maximum(c - 1, 1))
+        s[follows] = np.where(seen, less(pair) - less(word[follows - 1]), math.log(alpha) + s[follows])
         kind[follows[seen]] = 2
         by_pair = np.zeros(n)
         by_pair[follows] = pair
-        at, _, where = g.triples(plan, c2 >= min_count)
+        at, _, where = g.triples(plan, c2 > 1)
         triple = replies.counts(3).astype(float)[where] if len(at) else np.zeros(0)
         third = np.flatnonzero(g.ok[3]) + 2
         known = np.zeros(n)
         known[at + 2] = triple
-        in_table = known[third] >= min_count
-        s[third] = np.where(in_table, np.log(np.maximum(known[third], 1)) - np.log(by_pair[third - 1]), math.log(alpha) + s[third])
+        in_table = known[third] > 1
+        s[third] = np.where(in_table, less(known[third]) - less(by_pair[third - 1]), math.log(alpha) + s[third])
         kind[third[in_table]] = 3
         begin = first_word[:-1]
         sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (kind == 3, kind == 2)]

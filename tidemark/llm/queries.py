@@ -106,9 +106,9 @@ t AS (SELECT sum(n) AS t FROM c1),
 x AS (SELECT w.doc_id, w.i, ln(u.n / t.t) AS s1, p.n AS n2, v.n AS nb, q.n AS n3, h.n AS nh
       FROM w CROSS JOIN t JOIN c1 u ON u.c = w.c LEFT JOIN c2 p ON p.b = w.b AND p.c = w.c LEFT JOIN c1 v ON v.c = w.b
       LEFT JOIN c3 q ON q.a = w.a AND q.b = w.b AND q.c = w.c LEFT JOIN c2 h ON h.b = w.a AND h.c = w.b),
-y AS (SELECT *, CASE WHEN i = 1 THEN s1 WHEN n2 >= 2 THEN ln(n2 / nb) ELSE ln(0.4) + s1 END AS s2 FROM x),
-z AS (SELECT doc_id, count(*) AS n_words, sum(CASE WHEN i <= 2 THEN s2 WHEN n3 >= 2 THEN ln(n3 / nh) ELSE ln(0.4) + s2 END) AS s,
-      count_if(i > 2 AND n3 >= 2) AS n_triples, count_if(i > 1 AND n2 >= 2 AND NOT (i > 2 AND n3 >= 2)) AS n_pairs FROM y GROUP BY doc_id)
+y AS (SELECT *, CASE WHEN i = 1 THEN s1 WHEN n2 > 1 THEN ln((n2 - 1) / (nb - 1)) ELSE ln(0.4) + s1 END AS s2 FROM x),
+z AS (SELECT doc_id, count(*) AS n_words, sum(CASE WHEN i <= 2 THEN s2 WHEN n3 > 1 THEN ln((n3 - 1) / (nh - 1)) ELSE ln(0.4) + s2 END) AS s,
+      count_if(i > 2 AND n3 > 1) AS n_triples, count_if(i > 1 AND n2 > 1 AND NOT (i > 2 AND n3 > 1)) AS n_pairs FROM y GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(s, 0.0), 4) AS log_score, round(s / n_words, 4) AS mean_log_score,
        CAST(coalesce(n_triples, 0) AS BIGINT) AS n_triples, CAST(coalesce(n_pairs, 0) AS BIGINT) AS n_pairs
 FROM d LEFT JOIN z USING (doc_id)""",
