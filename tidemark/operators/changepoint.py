@@ -208,12 +208,15 @@ def persistent_peaks(p: np.ndarray, level: float, persistence: int = 5) -> list[
 
 
 def hazard_heuristic(x: np.ndarray, low: float = 100.0, high: float = 300.0) -> float:
-    """Spacing of rough change points of the rolling variance, within bounds."""
-    s = pd.Series(x).rolling(5, center=True).var().bfill().ffill().to_numpy()
-    d = np.abs(np.diff(s))
-    at = np.flatnonzero(d > np.percentile(d, 75))
-    spacing = float(np.median(np.diff(at))) if len(at) > 1 else len(x) / 5
-    return float(np.clip(max(50.0, spacing), low, high))
+    """`detect.hazard` by variance, for one array."""
+    n = len(x)
+    if n < 10:
+        return float(np.clip(n / 4, max(50.0, low), high))
+    full = np.lib.stride_tricks.sliding_window_view(x, 5).var(axis=1, ddof=1)
+    moved = np.abs(np.diff(np.concatenate([[full[0]] * 2, full, [full[-1]] * 2])))
+    rough = np.flatnonzero(moved > np.quantile(moved, 0.75))
+    spacing = float(np.median(np.diff([0, *rough, n]))) if len(rough) > 1 else n / 5
+    return float(np.clip(spacing, max(50.0, low), high))
 
 
 DETECTED = "series_id string, model_id string, parameter double, cp int, position double, p_value double, cohens_d double, significant boolean, reason string, posterior double"

@@ -48,36 +48,15 @@ def normalize(df: DataFrame, column: str) -> DataFrame:
     return df.crossJoin(F.broadcast(q)).withColumn(column, F.when(hi - lo < 1e-9, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(column) - lo) / F.nullif(hi - lo, F.lit(0.0)))))).drop("q")
 
 
-def dataset_scores(obs: DataFrame) -> DataFrame:
-    """Realism and statistical quality of each dataset, and the composite with neutral stability and metadata scores."""
-    x = F.col("score")
-    day = obs.groupBy("dataset", "day").agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s"))
-    cv = day.groupBy("dataset").agg(F.avg(F.col("s") / (F.col("m") + 1e-6)).alias("cv"))
-    mom = obs.groupBy("dataset").agg(F.avg(x).alias("mu"), F.stddev_pop(x).alias("sd"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"), F.avg(((x >= 10) & (x < 15)).cast("double")).alias("moderate"), F.avg((x >= 20).cast("double")).alias("severe"))
-    out = obs.join(F.broadcast(mom.select("dataset", "mu", "sd")), "dataset").groupBy("dataset").agg(F.avg((F.abs(x - F.col("mu")) > 3 * F.col("sd")).cast("double")).alias("outliers"))
-    j = cv.join(mom, "dataset").join(out, "dataset")
-    realism = (F.when(F.col("cv").between(0.10, 0.60), 100.0).otherwise(50.0) + 100 - F.abs(F.col("moderate") + F.col("severe") - 0.70) * 100) / 2
-    j = j.withColumn("clinical_realism", realism)
-    composite = 0.35 * 50 + 0.30 * F.col("clinical_realism") + 0.20 * F.col("statistical_quality") + 0.15 * 50
-    quality = 0.5 * F.greatest(F.lit(0.0), 100 - F.col("outliers") * 1000) + 0.25 * F.greatest(F.lit(0.0), 100 - F.abs("skew") * 20) + 0.25 * F.greatest(F.lit(0.0), 100 - F.abs("kurt") * 10)
-    j = j.withColumn("statistical_quality", quality).withColumn("composite_score", composite)
-    return j.select("dataset", "clinical_realism", "statistical_quality", "composite_score", F.row_number().over(Window.orderBy(F.desc("composite_score"), "dataset")).alias("rank"))
-
-
-def temporal_stability(labels: DataFrame) -> DataFrame:
-    """(1 - transitions / (n - 1)) 100 of labels by position."""
-    prev = F.lag("label").over(Window.orderBy("day_idx"))
-    return labels.withColumn("moved", (F.col("label") != prev).cast("int")).agg(((1 - F.sum("moved") / (F.count("*") - 1)) * 100).alias("stability"))
-
-
 def kmeans_days(features: DataFrame, k: int = 2, restarts: int = 10, seed: int = 1234) -> DataFrame:
     """(day, label), labels by ascending mean: the best of several starts on standardised features."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     v = VectorAssembler(inputCols=["mean", "std", "cv", "n_obs", "pct_severe"], outputCol="raw").transform(features)
-    v = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(v).transform(v).cache()
+    v = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(v).transform(v).persist()
     best = min((KMeans(k=k, seed=seed + i, maxIter=500).fit(v) for i in range(restarts)), key=lambda m: m.summary.trainingCost)
+    v.unpersist()
     out = best.transform(v).select("day", "mean", F.col("prediction").alias("p"))
     order = out.groupBy("p").agg(F.avg("mean").alias("m")).withColumn("label", (F.row_number().over(Window.orderBy("m", "p")) - 1).cast("int"))
     return out.join(F.broadcast(order), "p").select("day", "label")

@@ -111,3 +111,45 @@ def mahalanobis(parts: DataFrame, features: list[str] | None = None) -> DataFram
         return pd.DataFrame({"change_point": pdf.change_point.iloc[0], "distance": distance, "feature": names, "share": part / part.sum() * 100 if part.sum() else part})
 
     return wide.groupBy("change_point").applyInPandas(solve, "change_point int, distance double, feature string, share double")
+
+
+def tested(parts: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Rank tests with their two-sided p value (normal, with corrections), and significance after Bonferroni over all rows."""
+    from .labels import upper_tail
+
+    u = mann_whitney(parts)
+    p = F.least(F.lit(1.0), 2 * upper_tail(F.greatest(F.lit(0.0), F.coalesce("z", F.lit(0.0)))))
+    m = F.count("*").over(Window.partitionBy())  # one row for each change point and feature
+    return u.withColumn("p_value", p).withColumn("alpha_corrected", alpha / m).withColumn("significant", F.col("p_value") < F.col("alpha_corrected"))
+
+
+def effects_with_tests(parts: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Effects and tests of each change point and feature, joined."""
+    t = tested(parts, alpha).select("change_point", "feature", "u", "p_value", "alpha_corrected", "significant")
+    return effects(parts).join(t, ["change_point", "feature"])
+
+
+def significant_effects(full: DataFrame) -> DataFrame:
+    """The significant ones, by change point, the largest effect first; `place` is that order."""
+    place = F.row_number().over(Window.partitionBy("change_point").orderBy(F.desc(F.round("cohens_d", 9)), "feature"))
+    return full.where("significant").withColumn("place", place)
+
+
+def hypotheses(full: DataFrame, contributions: DataFrame, least: float = 30.0) -> DataFrame:
+    """(change_point, driver, contribution, confirmed): is each change point's first feature large enough, and significant?"""
+    first = contributions.where("rank = 1").select("change_point", F.col("feature").alias("driver"), "contribution")
+    t = full.select("change_point", F.col("feature").alias("driver"), "significant")
+    return first.join(t, ["change_point", "driver"]).withColumn("confirmed", (F.col("contribution") >= least) & F.col("significant")).drop("significant")
+
+
+def evidence(contributions: DataFrame, correlations: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """One row: four pieces of evidence for more than one feature at work, their number, and the verdict."""
+    from .labels import verdict
+
+    drivers = contributions.where("rank = 1").agg(F.count_distinct("feature").alias("n_drivers"))
+    apart = correlations.where("(a = 'cv' OR b = 'cv') AND abs(r) < 0.5").agg(F.count("*").alias("n_independent"))
+    spread = entropy(contributions).agg(F.avg("normalized").alias("mean_entropy"))
+    yes = confirmed.agg(F.count_if("confirmed").alias("n_confirmed"))
+    one = drivers.crossJoin(apart).crossJoin(spread).crossJoin(yes)  # one row each
+    hold = ((F.col("n_drivers") > 1), (F.col("n_independent") >= 2), (F.col("mean_entropy") > 0.6), (F.col("n_confirmed") >= 2))
+    return one.withColumn("evidence", sum((h.cast("int") for h in hold), F.lit(0))).withColumn("verdict", verdict(F.col("evidence")))

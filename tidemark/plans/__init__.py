@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import changepoint, cohort, daily, models, posthoc, quality, trajectories
+from ..operators import changepoint, daily, models, posthoc, quality, trajectories
 from ..session import ship
 from ..sources import obs_events, obs_lineitem, obs_orders
+from . import more
 
 CPS = [8, 15, 22]
 
@@ -31,20 +32,6 @@ def _pelt(model: str):
     return lambda s, d: changepoint.detect(_signal(s, d), [model]).drop("posterior")
 
 
-def _lag1(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    x = _signal(s, d).withColumn("y", F.lead("x").over(Window.partitionBy("series_id").orderBy("t")))
-    return x.groupBy("series_id").agg(F.corr("x", "y").alias("r"), (F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))).alias("autocorrelation"))
-
-
-def _rolling(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("series_id").orderBy("t").rowsBetween(-2, 2)
-    return _signal(s, d).select("series_id", "t", F.when(F.count("x").over(w) == 5, F.var_samp("x").over(w)).alias("variance"))
-
-
 def _bh(s: SparkSession, d: str) -> DataFrame:
     return posthoc.bh(s.sql("SELECT * FROM VALUES (1, 0.001D), (2, 0.008D), (3, 0.039D), (4, 0.041D), (5, 0.042D), (6, 0.6D) AS t(id, p_value)"))
 
@@ -77,25 +64,7 @@ def _elbow(s: SparkSession, d: str) -> DataFrame:
     return models.elbow(s.sql("SELECT * FROM VALUES (2, 100D), (3, 60D), (4, 35D), (5, 30D), (6, 27D), (7, 25D) AS t(k, inertia)"))
 
 
-def _stream_cv(s: SparkSession, d: str) -> DataFrame:
-    from .. import streaming
-
-    source = s.read.parquet(f"{d}/events.parquet").schema
-    events = s.readStream.schema(source).option("pathGlobFilter", "events.parquet*").parquet(d)
-    return streaming.drain(streaming.daily_cv(events), "tidemark_daily_cv")
-
-
-def _profile(s: SparkSession, d: str) -> DataFrame:
-    f = daily.daily_features(obs_lineitem(s, d))
-    return models.cluster_profile(f, f.select("day", (F.col("day") % 2).cast("int").alias("label")))
-
-
-def _cohort(s: SparkSession, d: str) -> DataFrame:
-    return cohort.visits(s, cohort.Cohort(relapse="gamma"))
-
-
 _RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "pelt_l2": _pelt("pelt_l2"),
     "daily_cv": lambda s, d: daily.daily_cv(obs_events(s, d)),
     "daily_features": lambda s, d: daily.daily_features(obs_events(s, d)),
     "daily_moments": lambda s, d: daily.daily_moments(obs_events(s, d)),
@@ -115,8 +84,6 @@ _RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "relapses": lambda s, d: trajectories.relapses(obs_orders(s, d)),
     "relapse_summary": lambda s, d: trajectories.relapse_summary(obs_orders(s, d)),
     "daily_trend": lambda s, d: daily.daily_trend(obs_events(s, d)),
-    "rolling_variance": _rolling,
-    "lag1_corr": _lag1,
     "feature_correlation": lambda s, d: daily.feature_correlation(daily.daily_moments(obs_events(s, d)), ["mean", "std", "cv", "median"]),
     "segment_shift": lambda s, d: posthoc.effects(_parts(s, d)),
     "mann_whitney_u": lambda s, d: posthoc.mann_whitney(_parts(s, d)),
@@ -128,21 +95,14 @@ _RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pelt_l1": _pelt("pelt_l1"),
     "pelt_rbf": _pelt("pelt_rbf"),
     "pelt_ar": _pelt("pelt_ar"),
-    "bocpd": lambda s, d: changepoint.detect(_signal(s, d), ["bocpd_student_t", "bocpd_gaussian"]).drop("posterior"),
     "model_agreement": _agreement,
     "model_ranking": _ranking,
     "permutation_bh": lambda s, d: posthoc.bh(posthoc.permutation_exact(_parts(s, d))),
     "detected_agreement": _detected_agreement,
     "kmeans_profile": _kmeans_profile,
-    "dataset_ranking": lambda s, d: models.dataset_scores(obs_events(s, d, by_type=True)),
     "kmeans_days": lambda s, d: models.kmeans_days(daily.daily_features(obs_lineitem(s, d))),
-    "cluster_profile": _profile,
     "elbow_select": _elbow,
     "temporal_cluster": lambda s, d: models.temporal_clusters(daily.daily_features(obs_events(s, d)).withColumn("series_id", F.lit("events"))),
-    "stream_daily_cv": _stream_cv,
-    "simulate_cohort": _cohort,
-    "simulate_summary": lambda s, d: cohort.summary(_cohort(s, d)),
-    "latent_response": lambda s, d: cohort.latent_response(_cohort(s, d)),
     "validation_checks": lambda s, d: quality.checks(obs_orders(s, d)).drop("low", "high"),
 }
 
@@ -151,7 +111,7 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return lambda spark, sf_dir: rounded(f(ship(spark), sf_dir))
 
 
-QUERIES = {k: _query(f) for k, f in _RAW.items()}
+QUERIES = {k: _query(f) for k, f in (_RAW | more.RAW).items()}
 
 _EV = "ob AS (SELECT user_id AS p, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS INT) AS day, least(27.0, avg(value) * 0.27) AS x FROM events GROUP BY 1, 2)"
 _OR = "ob AS (SELECT o_custkey AS p, CAST(floor(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) / 7) + 1 AS INT) AS day, least(27.0, avg(o_totalprice) * 27 / 500000) AS x FROM orders GROUP BY 1, 2)"
@@ -202,8 +162,6 @@ ORACLE: dict[str, str] = {
     "relapses": f"WITH {_STEP} SELECT p AS patient_id, nd AS day, nd - day AS gap, round(nx - x, 9) AS increase FROM st WHERE nd - day BETWEEN 7 AND 30 AND nx - x >= 3",
     "relapse_summary": f"WITH {_STEP}, r AS (SELECT p, count(*) AS c FROM st WHERE nd - day BETWEEN 7 AND 30 AND nx - x >= 3 GROUP BY p), a AS (SELECT count(DISTINCT p) AS n FROM ob) SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS events, count(c) AS patients_with, round(count(c) / any_value(n), 9) AS rate, round(coalesce(sum(c), 0) / any_value(n), 9) AS per_patient FROM a LEFT JOIN r ON true",
     "daily_trend": f"WITH {_EV}, d AS (SELECT day, avg(x) AS m FROM ob GROUP BY day), i AS (SELECT m, row_number() OVER (ORDER BY day) - 1 AS i FROM d) SELECT round(regr_slope(m, i), 9) AS slope, round(regr_intercept(m, i), 9) AS intercept, count(*) AS n_days FROM i",
-    "rolling_variance": f"WITH {_SIG} SELECT series_id, t, round(CASE WHEN count(*) OVER w = 5 THEN var_samp(x) OVER w END, 9) AS variance FROM sg WINDOW w AS (ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)",
-    "lag1_corr": f"WITH {_SIG}, y AS (SELECT x, lead(x) OVER (ORDER BY t) AS y FROM sg) SELECT 'lineitem' AS series_id, round(corr(x, y), 9) AS r, round(sum(x * y) / sum(x * x), 9) AS autocorrelation FROM y",
     "feature_correlation": f"WITH {_MOM} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 9) AS r FROM mo" for a, b in (("mean", "std"), ("mean", "cv"), ("mean", "median"), ("std", "cv"), ("std", "median"), ("cv", "median"))),
     "segment_shift": f"WITH {_EFF} SELECT change_point, feature, n1, n2, {_r('pre_mean', 'post_mean', 'delta')}, round(coalesce(delta * 100 / nullif(pre_mean, 0), 0), 9) AS pct_change, round(cohens_d, 9) AS cohens_d, CASE WHEN abs(cohens_d) < 0.2 THEN 'Trivial' WHEN abs(cohens_d) < 0.5 THEN 'Small' WHEN abs(cohens_d) < 0.8 THEN 'Medium' ELSE 'Large' END AS interpretation FROM ef",
     "mann_whitney_u": f"WITH {_SEG}, r AS (SELECT *, count(*) OVER (PARTITION BY change_point, feature, value) AS t, rank() OVER (PARTITION BY change_point, feature ORDER BY value) AS k FROM pa), g AS (SELECT change_point, feature, count(*) FILTER (NOT post) AS n1, count(*) FILTER (post) AS n2, sum(k + (t - 1) / 2) FILTER (NOT post) AS r1, sum(t * t - 1) AS tie FROM r GROUP BY ALL), u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM g) SELECT change_point, feature, n1, n2, round(u, 9) AS u, round((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / nullif(sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - tie / ((n1 + n2) * (n1 + n2 - 1)))), 0), 9) AS z FROM u",
@@ -212,7 +170,6 @@ ORACLE: dict[str, str] = {
     "bh_correction": "WITH t AS (SELECT * FROM (VALUES (1, 0.001e0), (2, 0.008e0), (3, 0.039e0), (4, 0.041e0), (5, 0.042e0), (6, 0.6e0)) t(id, p_value)), r AS (SELECT *, row_number() OVER (ORDER BY p_value, id) AS i FROM t), b AS (SELECT *, least(1, min(p_value * 6 / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_bh FROM r) SELECT id, round(p_value, 9) AS p_value, round(p_bh, 9) AS p_bh, round(least(1, p_value * 6), 9) AS p_bonferroni, p_bh < 0.05 AS significant FROM b",
     "model_agreement": "WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {c}e0)" for m, c in _POINTS) + ") t(model_id, cp)), e AS (SELECT a.model_id, a.cp, max(exp(-pow((a.cp - b.cp) / 0.02e0, 2))) AS c, avg(exp(-pow((a.cp - b.cp) / 0.02e0, 2))) AS d FROM t a JOIN t b ON a.model_id <> b.model_id GROUP BY ALL) SELECT model_id, round(avg(c), 9) AS consensus, round(avg(d), 9) AS density, count(*) AS n_cp, round((avg(c) + avg(d)) / 2, 9) AS stability FROM e GROUP BY model_id",
     "elbow_select": "WITH t AS (SELECT * FROM (VALUES (2, 100e0), (3, 60e0), (4, 35e0), (5, 30e0), (6, 27e0), (7, 25e0)) t(k, inertia)), s AS (SELECT k, abs((k - 2) / 5e0 + (inertia - 25) / 75e0 - 1) AS d FROM t) SELECT k FROM s ORDER BY round(d, 9) DESC, k LIMIT 1",
-    "cluster_profile": f"WITH {_LI}, f AS (SELECT day, avg(x) AS mean, coalesce(stddev_samp(x), 0) AS std, count(*) AS n FROM ob GROUP BY day), g AS (SELECT CAST(day % 2 AS INT) AS label, count(*) AS n_days, avg(mean) AS avg_score, avg(std) AS std_score_daily, avg(n) AS n_obs_avg, min(mean) AS min_score, max(mean) AS max_score FROM f GROUP BY 1) SELECT label, n_days, {_r('avg_score', 'std_score_daily', 'n_obs_avg', 'min_score', 'max_score')}, CASE WHEN avg_score >= 20 THEN 'Severe' WHEN avg_score >= 15 THEN 'Moderate' WHEN avg_score >= 10 THEN 'Mild' ELSE 'Minimal' END AS severity FROM g",
 }
 
 
@@ -237,3 +194,4 @@ def _checks_sql() -> str:
 
 
 ORACLE["validation_checks"] = _checks_sql()
+ORACLE |= more.oracle(_EV, _OR, _LI, _MOM, _EFF, _SEG, _DOM, _FIT, _r)

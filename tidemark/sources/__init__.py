@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import os
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def wide_csv(spark: SparkSession, path: str) -> DataFrame:
     """A wide matrix (rows Day_<d>, columns Patient_<id>) as long rows; missing and NaN scores are left out."""
-    header = spark.read.option("header", True).csv(path).columns
+    try:
+        header = spark.read.option("header", True).csv(path).columns
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(path) from e
+        raise RuntimeError(f"can't read {path}") from e
     schema = f"`{header[0]}` string, " + ", ".join(f"`{c}` double" for c in header[1:])
     wide = spark.read.option("header", True).schema(schema).csv(path)
     long = wide.unpivot([header[0]], header[1:], "patient", "score").where(F.col("score").isNotNull() & ~F.isnan("score"))
@@ -24,6 +32,28 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(SIDECAR).json(path)
 
 
+def sidecar_of(path: str) -> str:
+    """The sidecar that belongs to a CSV file."""
+    return f"{path.removesuffix('.csv')}.metadata.json"
+
+
+def discover(folder: str, names: list[str], suffix: str = ".csv") -> dict[str, str]:
+    """Of the named datasets those that are there, with their paths."""
+    found = {n: f"{folder.rstrip('/')}/{n}{suffix}" for n in names}
+    return {n: p for n, p in found.items() if os.path.exists(p)}
+
+
+def together(datasets: dict[str, DataFrame]) -> DataFrame:
+    """Several tables of observations as one, with their names in `dataset`."""
+    out = None
+    for name, df in datasets.items():
+        one = df.withColumn("dataset", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no datasets")
+    return out
+
+
 SIDECAR = """generation_timestamp string, random_seed int, config_hash string,
 study_design struct<n_patients:int,total_days:int,min_surveys_per_patient:int,max_surveys_per_patient:int>,
 model_parameters struct<ar_coefficient:double,baseline_mean:double,baseline_std:double,recovery_rate_mean:double,recovery_rate_std:double,noise_std:double>,

@@ -1,15 +1,37 @@
-"""Online variants over a stream of events (ts, user_id, value): daily variation with a watermark, and relapses by patient."""
+"""Online variants over a stream of events (ts, user_id, value): windows with a watermark, and relapses by patient.
+
+Events later than the watermark allows are dropped by the windows; a batch run over the whole table takes them in."""
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _windowed(events: DataFrame, delay: str, *keys: Column) -> DataFrame:
+    g = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(*keys)
+    return g.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("*").alias("n"))
+
+
+def _cv() -> Column:
+    return (F.col("std") / F.nullif(F.col("mean"), F.lit(0.0))).alias("cv")
 
 
 def daily_cv(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    g = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", "1 day")).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("*").alias("n"))
-    return g.select(F.col("window.start").alias("day"), "mean", "std", "n", (F.col("std") / F.nullif(F.col("mean"), F.lit(0.0))).alias("cv"))
+    return _windowed(events, delay, F.window("ts", "1 day")).select(F.col("window.start").alias("day"), "mean", "std", "n", _cv())
+
+
+def sliding_cv(events: DataFrame, size: str = "3 days", slide: str = "1 day", delay: str = "1 day") -> DataFrame:
+    return _windowed(events, delay, F.window("ts", size, slide)).select(F.col("window.start").alias("start"), "mean", "std", "n", _cv())
+
+
+def sessions(events: DataFrame, gap: str = "12 hours", delay: str = "1 day") -> DataFrame:
+    """Visits of a user that are less than the gap apart, as one session."""
+    return _windowed(events, delay, F.session_window("ts", gap), F.col("user_id")).select("user_id", F.col("session_window.start").alias("start"), "n", "mean")
 
 
 def relapses(visits: DataFrame, threshold: float = 3.0, low: int = 7, high: int = 30) -> DataFrame:
@@ -31,8 +53,28 @@ def relapses(visits: DataFrame, threshold: float = 3.0, low: int = 7, high: int
     return visits.groupBy("patient_id").applyInPandasWithState(step, "patient_id long, day int, gap int, increase double", "day int, score double", "append", "NoTimeout")
 
 
-def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now, into a table in memory."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def drain(df: DataFrame, keys: list[str] | None = None, folder: str | None = None) -> DataFrame:
+    """Run a stream of aggregates over what is there now, into a Parquet table of the warehouse (or `folder`), and read it.
+
+    With keys the stream runs in update mode, so that windows which are still open count too, and the last state of each
+    key is what is read. Without (sessions, which have no update mode), in complete mode; the last batch is the table.
+    Nothing passes through the driver."""
+    spark, columns = df.sparkSession, df.columns
+    path = f"{(folder or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = T.StructType([*df.schema.fields, T.StructField("__batch", T.LongType())])
+    last: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("__batch", F.lit(number).cast("long")).write.mode("append").parquet(f"{path}/rows")
+        last[:] = [number]
+
+    query = df.writeStream.outputMode("update" if keys else "complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start()
+    query.awaitTermination()
+    if not last:
+        return spark.createDataFrame([], df.schema)
+    rows = spark.read.schema(schema).parquet(f"{path}/rows")
+    if not keys:
+        return rows.where(F.col("__batch") == last[0]).drop("__batch")
+    rest = [c for c in columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("newest"))
+    return newest.select(*keys, *(F.col(f"newest.{c}").alias(c) for c in rest)).select(*columns)
