@@ -92,6 +92,25 @@ def test_phrases(docs, none):
         gone = [any(c[tuple(w[s : s + 35])] > 1 for s in range(max(0, k - 34), min(k, len(w) - 35) + 1)) for k in range(len(w))]
         assert got[i] == (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest())
     assert phrases.summary(none).count() == 0
+    many = phrases.remove_repeats(docs, shard_bytes=300, stream_bytes=200)
+    assert {r["doc_id"]: tuple(r)[1:] for r in many.collect()} == got
+
+
+def test_phrases_in_pieces():
+    rng = random.Random(8)
+    say = lambda n: [rng.choice("abc") for _ in range(n)]
+    held = [say(5), say(9), say(40), ["a"] * 30]
+    texts = [say(200), [*say(3), *held[2], *say(4), *held[0]], ["a"] * 90, held[1], ["z"] * 5]
+    got = phrases.locate([" ".join(p) for p in held], [" ".join(t) for t in texts], piece=8)
+    parts = [p[i:j] for p in held for i, j in phrases._pieces(len(p), 8)]
+    for text, mark in zip(texts, got, strict=True):
+        want = [False] * len(text)
+        for p in parts:
+            for k in range(len(text) - len(p) + 1):
+                if text[k : k + len(p)] == p:
+                    want[k : k + len(p)] = [True] * len(p)
+        assert mark.tolist() == want
+    assert all(got[3]) and not any(got[4]) and all(got[1][3:43])
 
 
 def test_lines(docs, none):

@@ -1,15 +1,20 @@
 """Removal of passages that recur anywhere in the corpus, down to single words.
 
 1. Anchors: of the 8-word hashes in a window of `length` words the smallest one is its anchor. Equal windows have equal
-   anchors, so only windows whose anchor occurs at two places or more can recur; anchors are few, a fifteenth of the words.
-2. Confirmation: those windows are counted over the corpus by 96 bits of hash; runs of windows that occur twice or more
-   are the recurring passages.
-3. Automata: each shard of documents compiles the passages that its documents hold into an Aho-Corasick automaton over
-   exact word ids, and streams all its documents through it; every word inside an occurrence goes. A passage that a
-   document shares is one of its own runs, so the shard's automaton misses none.
+   anchors, so only windows whose anchor occurs at two places or more can recur. A region is a run of such windows.
+2. Passages: the windows of all regions are counted over the corpus (96 bits of hash); runs of windows that occur twice or
+   more are the recurring passages. One table, shared by all documents, holds each of them once, by its words.
+3. Automata: the table is dealt into shards of bounded size, each compiled into an Aho-Corasick automaton over words. The
+   regions of all documents stream through the shards that hold one of their passages, whichever document a passage came
+   from; every word inside an occurrence goes. Text outside regions can hold no occurrence, so it stays where it is. A
+   shard whose passages are in very many regions is compiled once for each slice of them, so no passage is too frequent.
+
+Long passages are compiled in pieces of 128 words or more. All windows of a piece recur, so its occurrences go too, and
+an automaton is never deeper than two pieces: repetitive texts take time in proportion to their length.
 
 Cases: null text has no words; texts of fewer words than a window lose nothing; rows repeated whole repeat their windows
-like any other copies; an empty table gives no rows; other columns are ignored.
+like any other copies; a very long text is one document of its chunk, which grows by it; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _chunks as C
+from ._shared import materialize
 from ._text import U, Words, buffers, gram_hashes
 
 LENGTH = 35
 ANCHOR = 8
+PIECE = 128
+#: Bytes of passages in a shard, and of regions that stream through one of its automata.
+SHARD_BYTES, STREAM_BYTES = 4 << 20, 8 << 20
+FOUND = pa.schema([("chunk", pa.int32()), ("lo", pa.int32()), ("region", pa.string()), ("passages", pa.list_(pa.string()))])
+HITS = pa.schema([("chunk", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -84,33 +95,64 @@ def _runs(words: Words, starts: np.ndarray, length: int) -> list[tuple[int, int,
     return list(zip(doc[begin].tolist(), starts[begin].tolist(), (starts[last] + length).tolist(), strict=True))
 
 
-def locate(texts: list[bytes], passages: list[tuple[int, int, int]], first: np.ndarray) -> list[tuple[list[bytes], np.ndarray]]:
-    """The words of each text and which of them lie in an occurrence of a passage; passages name words of these texts."""
+def _pieces(n: int, piece: int) -> list[tuple[int, int]]:
+    """Ranges that together cover n words: one if n is below two pieces, else of `piece` words each."""
+    if n < 2 * piece:
+        return [(0, n)]
+    return [(i, i + piece) for i in (*range(0, n - piece, piece), n - piece)]
+
+
+def locate(passages: list[str], regions: list[str], piece: int = PIECE) -> list[np.ndarray]:
+    """Which words of each region lie in an occurrence of a passage; both are words joined by single blanks."""
     import ahocorasick
 
-    ids: dict[bytes, int] = {}
-    split = [t.split() for t in texts]
-    coded = [tuple([ids.setdefault(w, len(ids)) for w in words]) for words in split] if passages else []
-    found = [np.zeros(len(words), bool) for words in split]
-    if not passages:
-        return list(zip(split, found, strict=True))
+    ids: dict[str, int] = {}
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for doc, lo, hi in passages:
-        phrase = coded[doc][lo - int(first[doc]) : hi - int(first[doc])]
-        automaton.add_word(phrase, len(phrase))
+    for passage in passages:
+        words = tuple([ids.setdefault(w, len(ids) + 1) for w in passage.split(" ")])
+        for i, j in _pieces(len(words), piece):
+            automaton.add_word(words[i:j], j - i)
     automaton.make_automaton()
-    for words, mark in zip(coded, found, strict=True):
-        if not words:
-            continue
+    out = []
+    for region in regions:
+        words = tuple([ids.get(w, 0) for w in region.split(" ")])
         edge = np.zeros(len(words) + 1, np.int64)
-        for end, n in automaton.iter(words):
+        for end, n in automaton.iter(words) if passages else ():
             edge[end + 1 - n] += 1
             edge[end + 1] -= 1
-        mark[:] = np.cumsum(edge[:-1]) > 0
-    return list(zip(split, found, strict=True))
+        out.append(np.cumsum(edge[:-1]) > 0)
+    return out
+
+
+def _ranges(mark: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def _occurrences(found: DataFrame, piece: int, shard_bytes: int, stream_bytes: int) -> DataFrame:
+    """chunk, lo, hi: ranges of words of a chunk inside occurrences of a passage of the shared table."""
+    table = materialize(found.select(F.explode("passages").alias("passage")).groupBy("passage").agg(F.count("*").alias("places")), "phrases")
+    total = table.agg(F.sum(F.octet_length("passage").cast("long"))).first()[0] or 0
+    shards = max(1, -(-int(total) // shard_bytes))
 
+    def shard(passage):
+        return F.pmod(F.xxhash64(passage), F.lit(shards))
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
+    routed = found.select("chunk", "lo", "region", F.explode(F.array_distinct(F.transform("passages", shard))).alias("shard"))
+    sizes = routed.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("region").cast("long")) / stream_bytes).cast("int").alias("slices"))
+    streams = routed.join(sizes, "shard").select("shard", F.pmod(F.hash("chunk", "lo"), "slices").alias("slice"), "chunk", "lo", "region")
+    compiled = table.select(shard(F.col("passage")).alias("shard"), "passage").join(sizes, "shard")
+    compiled = compiled.select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "passage")
+
+    def stream(phrases: pa.Table, regions: pa.Table) -> pa.Table:
+        chunk, lo = (regions.column(k).to_pylist() for k in ("chunk", "lo"))
+        marks = locate(phrases.column("passage").to_pylist(), regions.column("region").to_pylist(), piece)
+        return C.rows([(c, at + i, at + j) for c, at, mark in zip(chunk, lo, marks, strict=True) for i, j in _ranges(mark)], HITS)
+
+    return compiled.groupBy("shard", "slice").cogroup(streams.groupBy("shard", "slice")).applyInArrow(stream, "chunk int, lo int, hi int")
+
+
+def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = False, shard_bytes: int = SHARD_BYTES, stream_bytes: int = STREAM_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and with_text the kept words joined by blanks."""
     plan = C.layout(documents)
     docs = C.dealt(documents, plan)
@@ -136,31 +178,48 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int = ANC
         plan.keep(chunk, 1, np.packbits(maybe).tobytes(), out)
         return out
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-
-    def finish(table: pa.Table, replies: C.Replies) -> pa.Table:
-        text = table.column("text")
-        words, starts, _, _ = _windows(text, length, anchor)
+    def passages(table: pa.Table, replies: C.Replies) -> pa.Table:
+        words, starts, _, _ = _windows(table.column("text"), length, anchor)
         maybe = np.unpackbits(np.frombuffer(b"".join(x for _, x in replies.raw(-1)), np.uint8), count=len(starts)).astype(bool) if len(starts) else np.zeros(0, bool)
         starts = starts[maybe]
         order, group, _ = _distinct(*_hashes(words, starts, length))
         again = np.zeros(len(starts), bool)
         if len(starts):
             again[order] = (replies.counts(2) > 1)[group]
-        raw = [x or b"" for x in text.cast(pa.large_binary()).to_pylist()]
-        done = locate(raw, _runs(words, starts[again], length), words.first)
-        kept = [b" ".join([w for w, m in zip(ws, mark.tolist(), strict=True) if not m]) if mark.any() else b" ".join(ws) for ws, mark in done]
-        cols = [table.column("doc_id"), pa.array([len(w) for w, _ in done], pa.int64()), pa.array([int(m.sum()) for _, m in done], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+        regions, raw = _runs(words, starts, length), words.buf.tobytes()
+
+        def text(lo: int, hi: int) -> str:
+            return b" ".join(raw[words.start[lo] : words.end[hi - 1]].split()).decode()
+
+        inside: dict[int, list[str]] = {}
+        begin = np.array([lo for _, lo, _ in regions], np.int64)
+        for _, lo, hi in _runs(words, starts[again], length):
+            inside.setdefault(int(np.searchsorted(begin, lo, "right")) - 1, []).append(text(lo, hi))
+        chunk = table.column("chunk")[0].as_py()
+        return C.rows([(chunk, regions[r][1], text(*regions[r][1:]), held) for r, held in inside.items()], FOUND)
+
+    def finish(table: pa.Table, hits: pa.Table) -> pa.Table:
+        table = C.ordered(table)
+        split = [(x or b"").split() for x in table.column("text").cast(pa.large_binary()).to_pylist()]
+        first = np.concatenate([[0], np.cumsum([len(ws) for ws in split], dtype=np.int64)])
+        edge = np.zeros(first[-1] + 1, np.int64)
+        np.add.at(edge, hits.column("lo").to_numpy(), 1)
+        np.add.at(edge, hits.column("hi").to_numpy(), -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        marks = [gone[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
+        kept = [b" ".join([w for w, m in zip(ws, mark.tolist(), strict=True) if not m]) if mark.any() else b" ".join(ws) for ws, mark in zip(split, marks, strict=True)]
+        cols = [table.column("doc_id"), pa.array([len(ws) for ws in split], pa.int64()), pa.array([int(m.sum()) for m in marks], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
         if with_text:
             cols.append(pa.array([k.decode() for k in kept], pa.string()))
-            names.append("kept")
-        return pa.table(cols, names)
+        return pa.table(cols, empty.names)
 
     second = C.ask(docs, candidates, C.ask(docs, anchors))
+    found = materialize(C.answer(docs, second, passages, "chunk int, lo int, region string, passages array<string>", FOUND), "regions")
+    hits = _occurrences(found, max(PIECE, length), shard_bytes, stream_bytes)
+    kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     empty = pa.schema([("doc_id", _arrow(documents)), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * with_text)
-    return C.answer(docs, second, finish, schema, empty)
+    return docs.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(lambda t, h: finish(t, h) if t.num_rows else empty.empty_table(), schema)
 
 
 def _arrow(documents: DataFrame) -> pa.DataType:
