@@ -109,3 +109,29 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         sources.wide_csv(spark, str(tmp_path / "missing.csv"))
     assert sources.discover(str(tmp_path), ["a", "wide"], "") == {"wide": str(tmp_path / "wide")}
+
+
+def test_plot_data_and_predictive_hazard(spark):
+    from tidemark.operators import daily, detect, plotdata
+
+    cases = spark.createDataFrame([([3.0, 7.0], 10), ([0.25, 0.5], 10), ([0.5, 3.0], 10), ([], 10)], "c array<double>, n int")
+    assert [r[0] for r in cases.select(plotdata.point_index(F.col("c"), F.col("n"))).collect()] == [[3, 7], [2, 5], None, []]
+    x = np.random.default_rng(2).normal(1, 0.1, 60)
+    rows = [("a", i, float(v)) for i, v in enumerate(x)] + [("b", i, float(v)) for i, v in enumerate(x[:22])]
+    s = spark.createDataFrame(rows, "series_id string, t int, x double")
+    marked = plotdata.marked_signal(s, spark.createDataFrame([("a", [5, 9])], "series_id string, cps array<int>")).orderBy("series_id", "t").collect()
+    assert [(r["segment"], r["starts"]) for r in marked[:10]] == [(0, False)] * 5 + [(1, True)] + [(1, False)] * 3 + [(2, True)]
+    assert {(r["segment"], r["starts"]) for r in marked[60:]} == {(0, False)}
+    got = detect.predictive_hazard(s).collect()
+    mine = sorted((r for r in got if r["series_id"] == "a"), key=lambda r: r["hazard_lambda"])
+    want = []
+    for k in range(3):
+        end = int(60 * (0.7 + 0.05 * k))
+        if end < 50:
+            v = np.var(x[:end]) + 1e-8
+            want.append(-0.5 * np.sum((x[end : end + 10] - np.mean(x[:end])) ** 2 / v) - 5 * np.log(2 * np.pi * v))
+    assert len(mine) == 20 and mine[0]["chosen"] and not mine[1]["chosen"] and mine[0]["hazard_lambda"] == pytest.approx(30) and mine[-1]["hazard_lambda"] == pytest.approx(300)
+    assert mine[7]["score"] == pytest.approx(np.mean(want))
+    assert [(r["score"], r["chosen"]) for r in got if r["series_id"] == "b"] == [(None, True)]
+    obs = spark.createDataFrame([(1, 1, 5.0), (1, 2, 6.0), (2, 4, 1.0)], "patient_id int, day int, score double")
+    assert tuple(daily.patient_missingness(obs, 4).first()) == pytest.approx((2, 0.625, 0.1767766953, 0.5, 0.75))

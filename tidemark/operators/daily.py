@@ -88,6 +88,13 @@ def missingness(obs: DataFrame, n_days: int | None = None, surveys: float = 15.0
     return g.withColumn("interpretation", word)
 
 
+def patient_missingness(obs: DataFrame, n_days: int | None = None) -> DataFrame:
+    """(n_patients, mean, std, min, max) of the shares of days without a score, over the patients with a visit."""
+    days = obs.agg((F.lit(n_days) if n_days else F.count_distinct("day")).alias("n_days"))  # one row
+    each = obs.groupBy("patient_id").agg(F.count("score").alias("n")).crossJoin(F.broadcast(days)).select((1 - F.col("n") / F.col("n_days")).alias("rate"))
+    return each.agg(F.count("*").alias("n_patients"), F.avg("rate").alias("mean"), F.stddev_samp("rate").alias("std"), F.min("rate").alias("min"), F.max("rate").alias("max"))
+
+
 def daily_trend(obs: DataFrame) -> DataFrame:
     """Line through daily means over the position of the day; the days are few, so one window orders them."""
     d = obs.groupBy("day").agg(F.avg("score").alias("mean"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, daily, detect, labels, models, posthoc, sequence, trajectories
+from ..operators import compare, daily, detect, labels, models, plotdata, posthoc, sequence, trajectories
 from ..sources import obs_events, obs_lineitem, obs_orders
 
 CPS = [8, 15, 22]
@@ -136,6 +136,11 @@ RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "observation_days": lambda s, d: sequence.observation_days(obs_orders(s, d)),
     "score_histogram": lambda s, d: sequence.histogram(obs_events(s, d), "score", 0.0, 27.0, 20),
     "sample_trajectories": _samples,
+    "hazard_predictive": lambda s, d: detect.predictive_hazard(signals(s, d)),
+    "patient_missingness": lambda s, d: daily.patient_missingness(obs_orders(s, d)),
+    "plot_daily_line": lambda s, d: plotdata.daily_line(obs_events(s, d)),
+    "plot_relapses_by_gap": lambda s, d: plotdata.relapses_by_gap(obs_orders(s, d)),
+    "plot_marked_signal": lambda s, d: plotdata.marked_signal(signals(s, d), detect.pelt_l2(signals(s, d))),
     "stream_daily_cv": _stream("daily_cv", ["day"]),
     "stream_sliding_cv": _stream("sliding_cv", ["start"]),
     "stream_sessions": _stream("sessions", None),
@@ -155,7 +160,7 @@ def oracle(ev: str, orders: str, li: str, mom: str, eff: str, seg: str, dom: str
     types = "eo AS (SELECT event_type AS ds, user_id AS p, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS INT) AS day, least(27.0, avg(value) * 0.27) AS x FROM events GROUP BY 1, 2, 3)"
     split = "d1 AS (SELECT ds, day, avg(x) AS m FROM {o} GROUP BY ALL), d2 AS (SELECT *, row_number() OVER w AS i, sum(m) OVER (PARTITION BY ds ORDER BY m, day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s, count(*) OVER (PARTITION BY ds) AS n, sum(m) OVER (PARTITION BY ds) AS st FROM d1 WINDOW w AS (PARTITION BY ds ORDER BY m, day)), d3 AS (SELECT ds, i, row_number() OVER (PARTITION BY ds ORDER BY round(s * s / i + (st - s) * (st - s) / (n - i), 9) DESC, i) AS k FROM d2 WHERE i < n), lb AS (SELECT d2.ds, day, m, CAST(d2.i > d3.i AS INT) AS label FROM d2 JOIN d3 ON d3.ds = d2.ds AND k = 1)"
     levels = li + ", ol AS (SELECT 'lineitem' AS ds, * FROM ob), " + split.format(o="ol")
-    return {
+    out = {
         "pelt_l2": f"WITH RECURSIVE {rg}, ar AS (SELECT series_id, list(x ORDER BY t) AS x, CAST(count(*) AS INT) AS n FROM sg GROUP BY 1 HAVING count(*) >= 10), pr AS (SELECT series_id, n, list_transform(range(0, n + 1), lambda i: coalesce(list_sum(x[1:i]), 0.0)) AS p, list_transform(range(0, n + 1), lambda i: coalesce(list_sum(list_transform(x[1:i], lambda v: v * v)), 0.0)) AS q FROM ar), "
         "pn AS (SELECT pow(10.0, -2 + 3 * unnest(range(0, 50)) / 49.0) AS pen), f AS (SELECT series_id, n, pen, 0 AS j, [-pen] AS best, [0] AS back FROM pr, pn UNION ALL SELECT f.series_id, f.n, pen, j + 1, list_append(best, m.c), list_append(back, m.i) FROM (SELECT f.*, CASE WHEN j + 1 < 5 THEN {'c': CAST('inf' AS DOUBLE), 'i': 0} ELSE list_min(list_transform(range(0, j - 3), lambda i: {'c': best[i + 1] + (q[j + 2] - q[i + 1]) - (p[j + 2] - p[i + 1]) * (p[j + 2] - p[i + 1]) / (j + 1 - i) + pen, 'i': CAST(i AS INT)})) END AS m FROM f JOIN pr USING (series_id) WHERE j < f.n) f), "
         "en AS (SELECT series_id, n, pen, back FROM f WHERE j = n), b AS (SELECT series_id, n, pen, back, n AS pos, CAST([] AS INT[]) AS cps FROM en UNION ALL SELECT series_id, n, pen, back, back[pos + 1], CASE WHEN back[pos + 1] > 0 THEN list_prepend(back[pos + 1], cps) ELSE cps END FROM b WHERE pos > 0), "
@@ -186,3 +191,18 @@ def oracle(ev: str, orders: str, li: str, mom: str, eff: str, seg: str, dom: str
         "stream_sessions": "WITH a AS (SELECT user_id, ts, value, coalesce(ts >= lag(ts) OVER w + INTERVAL 12 HOUR, true) AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(CAST(first AS INT)) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM a) SELECT user_id, min(ts) AS start, count(*) AS n, round(avg(value), 9) AS mean FROM b GROUP BY user_id, k",
         "stream_sliding_cv": f"SELECT CAST(CAST(ts AS DATE) - k AS TIMESTAMP) AS start, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS std, count(*) AS n, round(stddev_samp(value) / nullif(avg(value), 0), 9) AS cv FROM events, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1",
     }
+    step = orders + ", st AS (SELECT *, lead(day) OVER (PARTITION BY p ORDER BY day) AS nd, lead(x) OVER (PARTITION BY p ORDER BY day) AS nx FROM ob)"
+    out["hazard_predictive"] = (
+        f"WITH {rg}, nm AS (SELECT series_id, x, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM sg), fo AS (SELECT unnest([0.7e0, 0.7e0 + 0.05e0 * 1, 0.7e0 + 0.05e0 * 2]) AS share), "
+        "fr AS (SELECT *, floor(n * share) AS e FROM nm, fo WHERE floor(n * share) < n - 10 AND floor(n * share) >= 5), tr AS (SELECT series_id, n, share, e, avg(x) AS mu, var_pop(x) + 1e-8 AS v FROM fr WHERE i < e GROUP BY ALL), "
+        "te AS (SELECT tr.series_id, tr.n, tr.share, sum(-0.5 * (x - mu) * (x - mu) / v - 0.5 * ln(2 * pi() * v)) AS ll FROM tr JOIN fr USING (series_id, share) WHERE i >= fr.e AND i < fr.e + 10 GROUP BY ALL), sc AS (SELECT series_id, n, avg(ll) AS score FROM te GROUP BY ALL) "
+        "SELECT series_id, CAST(n AS INT) AS n, round(pow(10e0, log10(30e0) + k * log10(10e0) / 19), 9) AS hazard_lambda, round(score, 9) AS score, k = 0 AS chosen FROM sc, (SELECT unnest(range(0, 20)) AS k)"
+    )
+    out["patient_missingness"] = f"WITH {orders}, c AS (SELECT 1 - count(*) / (SELECT count(DISTINCT day) FROM ob) AS rate FROM ob GROUP BY p) SELECT count(*) AS n_patients, round(avg(rate), 9) AS mean, round(stddev_samp(rate), 9) AS std, round(min(rate), 9) AS \"min\", round(max(rate), 9) AS \"max\" FROM c"
+    out["plot_daily_line"] = f"WITH {ev}, d AS (SELECT day, avg(x) AS m, CAST(row_number() OVER (ORDER BY day) - 1 AS INT) AS i FROM ob GROUP BY day), l AS (SELECT regr_slope(m, i) AS b, regr_intercept(m, i) AS a FROM d) SELECT day, i, round(m, 9) AS mean, round(a + b * i, 9) AS fitted FROM d, l"
+    out["plot_relapses_by_gap"] = f"WITH {step} SELECT nd - day AS gap, count(*) AS n, round(avg(nx - x), 9) AS mean_increase, round(max(nx - x), 9) AS largest FROM st WHERE nd - day BETWEEN 7 AND 30 AND nx - x >= 3 GROUP BY 1"
+    out["plot_marked_signal"] = (
+        f"WITH {rg}, se AS (SELECT series_id, list_transform(list_filter(string_split(cps, ','), lambda c: c <> ''), lambda c: CAST(c AS INT)) AS c FROM ({out['pelt_l2']})), nm AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i FROM sg) "
+        "SELECT series_id, t, round(nm.x, 9) AS x, CAST(coalesce(len(list_filter(c, lambda v: v <= i)), 0) AS INT) AS segment, coalesce(list_contains(c, CAST(i AS INT)), false) AS starts FROM nm LEFT JOIN se USING (series_id)"
+    )
+    return out
