@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import ann, decontam, langid, lines, lm, ngram_join, packing, phrases, quality, sharding, suffixes
+from . import ann, decontam, langid, lines, lm, ngram_join, packing, phrases, quality, sharding, suffixes, tries
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -69,6 +69,10 @@ def op12_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_prefix_filtered_decontamination,
         op10_cutting_stock_packing,
         op12_suffix_array,
+        op13_conversation_trie,
     )
 }
 
