@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import ann, decontam, langid, lines, lm, ngram_join, packing, phrases, quality, sharding, suffixes, tries
+from . import ann, decontam, langid, lines, lm, ngram_join, packing, phrases, quality, sharding, spelling, suffixes, tries
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -65,6 +65,10 @@ def op10_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 def op12_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_repeated_phrases,
         op9_prefix_filtered_decontamination,
         op10_cutting_stock_packing,
+        op11_spelling_variants,
         op12_suffix_array,
         op13_conversation_trie,
     )
