@@ -99,6 +99,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: The 256 steps of crc32, and crc32 of a string whose code points are below U+0100.
+_CRC_TABLE = """tb AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def _crc(s: str) -> str:
+    points = f"flatten(list_transform(string_split({s}, ''), lambda k: CASE WHEN ord(k) < 128 THEN [ord(k)] ELSE [195, ord(k) - 64] END))"
+    return f"xor(list_reduce(list_prepend(4294967295, {points}), lambda x, y: xor(x >> 8, t[1 + (xor(x, y) & 255)])), 4294967295)"
+
+
 ORACLE: dict[str, str] = {
     "op2_signature_tree_join": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_AZ}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -151,4 +160,42 @@ q AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)""",
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({_AZ}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents) WHERE length(w) >= 6 GROUP BY doc_id, w),
+h AS (SELECT w, k, {_crc("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w")} AS h FROM r, tb),
+v AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS w, k FROM h),
+c AS (SELECT w, CAST(sum(k) AS BIGINT) AS n FROM v WHERE length(w) >= 6 GROUP BY w HAVING sum(k) >= 5),
+g AS (SELECT w, n, substr(w, 1, CAST(i AS BIGINT)) || '*' || substr(w, CAST(i AS BIGINT) + 2) AS g FROM (SELECT w, n, unnest(range(0, length(w))) AS i FROM c)),
+u AS (SELECT w, n, substr(w, 1, CAST(i AS BIGINT)) || substr(w, CAST(i AS BIGINT) + 2) AS g FROM (SELECT w, n, unnest(range(0, length(w))) AS i FROM c)),
+e AS (SELECT a.w, b.w AS o, b.n FROM g a JOIN g b ON a.g = b.g AND a.w <> b.w UNION SELECT a.w, b.w, b.n FROM c a JOIN u b ON b.g = a.w UNION SELECT b.w, a.w, a.n FROM c a JOIN u b ON b.g = a.w),
+m AS (SELECT w, count(*) AS k, min({{'n': -n, 'o': o}}) AS t FROM e GROUP BY w),
+f AS (SELECT c.w, c.n, coalesce(m.k, 0) AS k, CASE WHEN -m.t.n >= 5 * c.n THEN m.t.o END AS form, CASE WHEN -m.t.n >= 5 * c.n THEN -m.t.n END AS form_n FROM c LEFT JOIN m USING (w)),
+z AS (SELECT w, w AS root FROM f WHERE form IS NULL UNION ALL SELECT f.w, z.root FROM f JOIN z ON f.form = z.w)
+SELECT f.w AS word, f.form, z.root, f.n, f.k AS n_near, f.form_n FROM f JOIN z USING (w)""",
+    "op12_suffix_array": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT r, b, substr(x, CAST(2 * b + 1 AS BIGINT), 2846) AS x FROM (SELECT r, x, unnest(range(0, length(x) // 2, 1024)) AS b FROM d)),
+p AS (SELECT r, b + i AS i, md5(substr(x, CAST(2 * i + 1 AS BIGINT), 800)) AS g FROM (SELECT r, b, x, unnest(range(0, greatest(0, length(x) // 2 - 399))) AS i FROM c)),
+q AS (SELECT r, i FROM p WHERE g IN (SELECT g FROM p GROUP BY g HAVING count(*) > 1)),
+s AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM q),
+t AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM s),
+v AS (SELECT r, k, min(i) AS lo, max(i) + 400 AS hi FROM t GROUP BY r, k),
+y AS (SELECT r, sum(hi - lo) AS gone, count(*) AS n, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM v GROUP BY r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+sha256(unhex(CASE WHEN n IS NULL THEN x ELSE array_to_string(list_transform(list_zip(list_prepend(CAST(0 AS BIGINT), his), list_append(los, CAST(length(x) // 2 AS BIGINT))), lambda c: substr(x, CAST(2 * c[1] + 1 AS BIGINT), CAST(2 * (c[2] - c[1]) AS BIGINT))), '') END)) AS kept_sha256
+FROM d LEFT JOIN y USING (r)""",
+    "op13_conversation_trie": f"""
+WITH {_CRC_TABLE},
+o AS (SELECT conv_id, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS w FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, w, {_crc("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM o, tb),
+b AS (SELECT h.conv_id, list_concat(coalesce(o.w[1:h], []), h.w[h + 1:]) AS w FROM h LEFT JOIN o ON o.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, d, d = len(w) AS last, CASE WHEN d > 0 THEN strlen(w[d].x) ELSE 0 END AS z, sha256(CAST(w[1:d] AS VARCHAR)) AS k FROM (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM b)),
+n AS (SELECT k, d, min(conv_id) AS c, count(*) AS m, min(z) AS z, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS e FROM p GROUP BY k, d),
+q AS (SELECT p.conv_id, p.d, n.c FROM p JOIN n USING (k, d)),
+a AS (SELECT n.c, n.d, n.m, n.z, n.e, q.c AS up FROM n LEFT JOIN q ON q.conv_id = n.c AND q.d = n.d - 1),
+f AS (SELECT a.*, (SELECT count(*) FROM a y WHERE y.up = a.c AND y.d = a.d + 1) AS kids FROM a),
+s AS (SELECT q.c, q.d, sum(CASE WHEN f.kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((f.m - 1) * f.z) AS saved FROM f JOIN q ON q.conv_id = f.c AND q.d <= f.d GROUP BY q.c, q.d)
+SELECT f.c AS conv_id, CAST(f.d AS BIGINT) AS depth, f.up AS parent_conv_id, f.m AS n_convs, f.kids AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, f.e AS ends_sha256
+FROM f JOIN s USING (c, d)""",
 }
