@@ -5,9 +5,9 @@
    stays whole. So each word stands in the forward dictionary by its first half and in the reversed one by its last half,
    once for each length that the shorter word of a pair can have. A block is a range of a dictionary with one shared half. A
    block of more than BLOCK words is subdivided: of the part between what is shared, again the first or the last half stays
-   whole. With one code point left between, a block holds only words that are near each other.
-3. Pairs. Blocks are range-partitioned and sorted, read as a stream, and compared within; a pair is verified, and reported by
-   the one block that its first difference belongs to, so no pair comes twice.
+   whole. With one code point of the shorter word left between, the alphabet bounds a block.
+3. Pairs. The dictionaries are range-partitioned by block and sorted; each block is compared within; a pair is verified, and
+   reported by the one block that its first difference belongs to, so no pair comes twice.
 4. Forms. The near word of largest count, if far more frequent, is a word's form; roots are found by pointer doubling.
 
 Cases: null text has no words; empty and very long texts are whole slices; rows repeated whole count each time; null doc_id is

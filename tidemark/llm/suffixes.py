@@ -256,7 +256,7 @@ def _solve(length: int, width: int, alone: bool):
 
     def halves(low: int, name: bytes, suffix: bytes, lo: int, hi: int, w: int) -> Iterator[tuple]:
         top = low + width - 1
-        right_end = lead + top - lo - 0
+        right_end = lead + top - lo
         right = suffix[2 : 2 + length - top] + suffix[lead:right_end]
         left = suffix[2 + length - top : lead] + suffix[right_end:]
         for first in (low, low + width // 2):
@@ -267,9 +267,10 @@ def _solve(length: int, width: int, alone: bool):
                 yield name, a, b, _name(first, a, b, body), first.to_bytes(2, "big") + body, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
+        found = [b for b in batches if b.num_rows]
+        if not found:
             return
+        table = pa.Table.from_batches(found)
         name, suffix = table.column("name").to_pylist(), table.column("suffix").to_pylist()
         lo, hi, w = (table.column(k).to_numpy() for k in ("lo", "hi", "w"))
         whole = np.flatnonzero(w > 1)
@@ -325,7 +326,8 @@ def hits(texts: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTE
     """(h1, h2, first, last): ranges of starts of recurring strings in texts (h1, h2, m, text), m the number of equal texts."""
     reach, _ = shape(length)
     places = materialize(texts.mapInArrow(_places(length), _ddl(_PLACES)), "places")
-    recurring = places.groupBy("core").agg(F.sum("m").alias("n")).where("n > 1").select("core")
+    # written, so that a join with a core of very many places can be split
+    recurring = materialize(places.groupBy("core").agg(F.sum("m").alias("n")).where("n > 1").select("core"), "recurring")
     listed = places.join(recurring, "core", "left_semi").groupBy("h1", "h2").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("listed"))
     cut = materialize(texts.join(listed, ["h1", "h2"]).mapInArrow(_cut(length), _ddl(_CUT)), "suffixes")
     at, suffixes = cut.select("h1", "h2", "at", "lo", "hi", "name"), cut.where("suffix IS NOT NULL").select("name", "suffix", "lo", "hi", "w")
