@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_folder
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all machines of a cluster share. Where it is unset, a temporary folder does on one
-    machine (a local master); on a cluster that is an error, for a lost machine would take its tables along."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return shared_folder(spark)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
