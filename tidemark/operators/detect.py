@@ -146,14 +146,17 @@ def predictive_hazard(signals: DataFrame, low: float = 30.0, high: float = 300.0
     return grid.unionByName(other.withColumns({"score": F.lit(None).cast("double"), "chosen": F.lit(True)}))
 
 
-def run_length_posterior(signals: DataFrame, hazards: DataFrame, likelihood: str = "student_t") -> DataFrame:
-    """(series_id, t, p): the probability that a run begins at position t (from 0; 0 at t = 0), with a prior from the whole
-    series. Series of fewer than five values have no rows."""
+def run_length_posterior(signals: DataFrame, hazards: DataFrame, likelihood: str = "student_t", prior: tuple[float, float] | None = None) -> DataFrame:
+    """(series_id, t, p): the probability that a run begins at position t (from 0; 0 at t = 0), with a prior (mean, variance)
+    that is given or from the whole series. Series of fewer than five values have no rows."""
     if likelihood not in ("student_t", "gaussian"):
         raise ValueError(f"unknown likelihood {likelihood}")
     a = arrays(signals).where("n >= 5").join(hazards.select("series_id", "hazard_lambda"), "series_id")
     m0 = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.col("n")
-    a = a.withColumn("m0", m0).withColumn("v0", F.greatest(F.lit(1e-8), F.aggregate("x", F.lit(0.0), lambda s, v: s + (v - F.col("m0")) * (v - F.col("m0"))) / F.col("n")))
+    if prior:
+        a = a.withColumn("m0", F.lit(float(prior[0]))).withColumn("v0", F.lit(max(1e-8, float(prior[1]))))
+    else:
+        a = a.withColumn("m0", m0).withColumn("v0", F.greatest(F.lit(1e-8), F.aggregate("x", F.lit(0.0), lambda s, v: s + (v - F.col("m0")) * (v - F.col("m0"))) / F.col("n")))
     a = _spread(a.withColumn("h", F.least(F.lit(0.99), 1 / F.col("hazard_lambda"))), "series_id")
 
     def predictive(v: Column, m: Column, s2: Column, c: Column) -> Column:

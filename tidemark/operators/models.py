@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,19 +97,3 @@ def linkage(distance: np.ndarray, k: int, method: str = "average") -> np.ndarray
         size[i] += b
         label[label == j] = i
     return np.unique(label, return_inverse=True)[1]
-
-
-def temporal_clusters(features: DataFrame, k: int = 3, weight: float = 0.3, method: str = "average") -> DataFrame:
-    """(series_id, day, label): agglomerative clusters of a series' days, distance in features and in time mixed."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        x = pdf[["mean", "std", "cv", "n_obs", "pct_severe"]].to_numpy(float)
-        sd = x.std(axis=0)
-        x = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1)
-        e = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-        t = np.abs(np.subtract.outer(np.arange(len(x)), np.arange(len(x))))
-        d = (1 - weight) * e + weight * t / max(1, t.max())
-        return pd.DataFrame({"series_id": pdf.series_id, "day": pdf.day, "label": linkage(d, min(k, len(x)), method).astype("int32")})
-
-    return features.groupBy("series_id").applyInPandas(one, "series_id string, day int, label int")

@@ -102,7 +102,6 @@ _RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmeans_profile": _kmeans_profile,
     "kmeans_days": lambda s, d: models.kmeans_days(daily.daily_features(obs_lineitem(s, d))),
     "elbow_select": _elbow,
-    "temporal_cluster": lambda s, d: models.temporal_clusters(daily.daily_features(obs_events(s, d)).withColumn("series_id", F.lit("events"))),
     "validation_checks": lambda s, d: quality.checks(obs_orders(s, d)).drop("low", "high"),
 }
 

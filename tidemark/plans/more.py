@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import compare, daily, detect, labels, models, plotdata, posthoc, sequence, trajectories
+from ..operators import compare, daily, detect, labels, linkage, models, plotdata, posthoc, sequence, trajectories
 from ..sources import obs_events, obs_lineitem, obs_orders
 
 CPS = [8, 15, 22]
@@ -115,6 +115,41 @@ def _stream(which: str, keys: list[str] | None) -> Callable[[SparkSession, str],
     return run
 
 
+def _days_by_type(s: SparkSession, d: str) -> DataFrame:
+    g = obs_events(s, d, by_type=True).groupBy("dataset", "day")
+    return g.agg(F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("std"))
+
+
+def _heights(s: SparkSession, d: str) -> DataFrame:
+    merges = linkage.agglomerate(linkage.temporal_distances(_days_by_type(s, d), ["mean", "std"]), "average")
+    place = F.row_number().over(Window.partitionBy("dataset").orderBy("height"))
+    return merges.select("dataset", place.alias("place"), "height")
+
+
+def _temporal(s: SparkSession, d: str) -> DataFrame:
+    return linkage.temporal_clusters(_days_by_type(s, d), ["mean", "std"]).withColumnRenamed("dataset", "series_id")
+
+
+def _events(s: SparkSession, d: str, series: str) -> DataFrame:
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    events = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d)
+    return events.select(F.col(series).cast("string").alias("series_id"), "ts", F.col("value").alias("x"))
+
+
+def _online_runs(s: SparkSession, d: str) -> DataFrame:
+    from ..streaming import online
+
+    out = online.drained(online.run_lengths(_events(s, d, "event_type"), 50.0, 30.0, 900.0, longest=32))
+    return out.where("NOT late").select("series_id", "t", F.round("p", 8).alias("p"), "run")
+
+
+def _online_relapses(s: SparkSession, d: str) -> DataFrame:
+    from ..streaming import online
+
+    out = online.drained(online.relapses(_events(s, d, "user_id"), threshold=20.0, low=1, high=5))
+    return out.where("NOT late").select("series_id", F.timestamp_micros("at").alias("ts"), "gap", F.round("increase", 6).alias("increase"))
+
+
 RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pelt_l2": _pelt,
     "bocpd": _bocpd,
@@ -144,6 +179,10 @@ RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_daily_cv": _stream("daily_cv", ["day"]),
     "stream_sliding_cv": _stream("sliding_cv", ["start"]),
     "stream_sessions": _stream("sessions", None),
+    "temporal_cluster": _temporal,
+    "linkage_heights": _heights,
+    "online_run_lengths": _online_runs,
+    "online_relapses": _online_relapses,
 }
 
 
@@ -187,6 +226,30 @@ def oracle(ev: str, orders: str, li: str, mom: str, eff: str, seg: str, dom: str
         "observation_days": f"WITH {orders} SELECT day, count(DISTINCT p) AS n_patients, CAST(row_number() OVER (ORDER BY day) - 1 AS INT) AS day_idx FROM ob GROUP BY day",
         "score_histogram": f"WITH {ev} SELECT CAST(least(floor(x / 1.35), 19) AS INT) AS bin, round(least(floor(x / 1.35), 19) * 1.35, 9) AS low, count(*) AS count FROM ob WHERE x BETWEEN 0 AND 27 GROUP BY ALL",
         "sample_trajectories": f"WITH {fit}, pa AS (SELECT patient_id, CASE WHEN pct < 0.2 OR slope > -0.02 THEN 'non_responder' WHEN slope <= -0.08 THEN 'early_responder' WHEN slope <= -0.04 THEN 'gradual_responder' ELSE 'late_responder' END AS pattern FROM ft), pk AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY patient_id) AS i FROM pa) SELECT patient_id, day, round(x, 9) AS score, pattern FROM ob JOIN pk ON patient_id = p WHERE i <= 5",
+        "linkage_heights": """WITH RECURSIVE ob AS (SELECT event_type AS ds, user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS INT) AS day, least(27.0, avg(value) * 0.27) AS x FROM events GROUP BY 1, 2, 3),
+f AS (SELECT ds, day, avg(x) AS mean, coalesce(stddev_samp(x), 0) AS std FROM ob GROUP BY ds, day),
+z AS (SELECT ds, row_number() OVER (PARTITION BY ds ORDER BY day) - 1 AS i, count(*) OVER p - 1 AS last, (mean - avg(mean) OVER p) / coalesce(nullif(stddev_pop(mean) OVER p, 0), 1) AS a, (std - avg(std) OVER p) / coalesce(nullif(stddev_pop(std) OVER p, 0), 1) AS b FROM f WINDOW p AS (PARTITION BY ds)),
+m AS (SELECT x.ds, list({'h': 0.7 * sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)) + 0.3 * (y.i - x.i) / greatest(x.last, 1), 'i': x.i, 'j': y.i, 'ni': 1, 'nj': 1}) AS m FROM z x JOIN z y ON x.ds = y.ds AND x.i < y.i GROUP BY x.ds),
+r AS (SELECT ds, 0 AS k, 0e0 AS h, m FROM m UNION ALL SELECT ds, k + 1, c.h, list_transform(list_filter(m, lambda x: x.i <> c.j AND x.j <> c.j), lambda x: CASE
+WHEN x.i = c.i THEN {'h': (c.ni * x.h + c.nj * list_filter(m, lambda y: (y.i = c.j AND y.j = x.j) OR (y.j = c.j AND y.i = x.j))[1].h) / (c.ni + c.nj), 'i': x.i, 'j': x.j, 'ni': c.ni + c.nj, 'nj': x.nj}
+WHEN x.j = c.i THEN {'h': (c.ni * x.h + c.nj * list_filter(m, lambda y: (y.i = c.j AND y.j = x.i) OR (y.j = c.j AND y.i = x.i))[1].h) / (c.ni + c.nj), 'i': x.i, 'j': x.j, 'ni': x.ni, 'nj': c.ni + c.nj} ELSE x END)
+FROM (SELECT *, list_min(m) AS c FROM r WHERE len(m) > 0))
+SELECT ds AS dataset, CAST(row_number() OVER (PARTITION BY ds ORDER BY h) AS INT) AS place, round(h, 9) AS height FROM r WHERE k > 0""",
+        # the recursion as a step over all series at once; lists of log probabilities, means, variances and counts, the youngest run first
+        "online_run_lengths": """WITH RECURSIVE e AS (SELECT event_type AS s, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) - 1 AS t FROM events WHERE value IS NOT NULL AND ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY),
+r AS (SELECT s, CAST(0 AS BIGINT) AS t, [0e0] AS l, [30e0] AS m, [900e0] AS v, [1e0] AS c, 0e0 AS p FROM e WHERE t = 0
+UNION ALL
+SELECT s, t, list_transform(l, lambda y: y - z), m, v, c, exp(l[1] - z) FROM (SELECT *, list_max(l) + ln(list_sum(list_transform(l, lambda y: exp(y - list_max(l))))) AS z FROM (
+SELECT r.s, e.t,
+list_prepend(ln(1 / 50e0) + lgamma(2e0) - lgamma(1.5e0) - 0.5 * ln(3 * pi()) - 0.5 * ln(1800 + 1e-8) - 2 * ln(1 + (x - 30) * (x - 30) / (1800 + 1e-8) / 3),
+  list_transform(range(1, least(31, len(l)) + 1), lambda i: l[i] + ln(1 - 1 / 50e0) + lgamma(2e0) - lgamma(1.5e0) - 0.5 * ln(3 * pi()) - 0.5 * ln(v[i] * (1 + 1 / c[i]) + 1e-8) - 2 * ln(1 + (x - m[i]) * (x - m[i]) / (v[i] * (1 + 1 / c[i]) + 1e-8) / 3))) AS l,
+list_prepend(30e0, list_transform(range(1, least(31, len(l)) + 1), lambda i: m[i] + (x - m[i]) / (c[i] + 1))) AS m,
+list_prepend(900e0, list_transform(range(1, least(31, len(l)) + 1), lambda i: greatest(1e-8, (c[i] * v[i] + (x - m[i]) * (x - m[i] - (x - m[i]) / (c[i] + 1))) / (c[i] + 1)))) AS v,
+list_prepend(1e0, list_transform(range(1, least(31, len(l)) + 1), lambda i: c[i] + 1)) AS c
+FROM r JOIN e ON e.s = r.s AND e.t = r.t + 1)))
+SELECT s AS series_id, t, round(p, 8) AS p, CAST(list_position(l, list_max(l)) - 1 AS BIGINT) AS run FROM r""",
+        "online_relapses": """WITH e AS (SELECT user_id, ts, value, lag(ts) OVER w AS ts0, lag(value) OVER w AS x0 FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL AND ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY WINDOW w AS (PARTITION BY user_id ORDER BY ts, value))
+SELECT CAST(user_id AS VARCHAR) AS series_id, ts, (epoch_us(ts) - epoch_us(ts0)) // 86400000000 AS gap, round(value - x0, 6) AS increase FROM e WHERE (epoch_us(ts) - epoch_us(ts0)) // 86400000000 BETWEEN 1 AND 5 AND value - x0 >= 20""",
         "stream_daily_cv": f"SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS std, count(*) AS n, round(stddev_samp(value) / nullif(avg(value), 0), 9) AS cv FROM events GROUP BY 1",
         "stream_sessions": "WITH a AS (SELECT user_id, ts, value, coalesce(ts >= lag(ts) OVER w + INTERVAL 12 HOUR, true) AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(CAST(first AS INT)) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM a) SELECT user_id, min(ts) AS start, count(*) AS n, round(avg(value), 9) AS mean FROM b GROUP BY user_id, k",
         "stream_sliding_cv": f"SELECT CAST(CAST(ts AS DATE) - k AS TIMESTAMP) AS start, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS std, count(*) AS n, round(stddev_samp(value) / nullif(avg(value), 0), 9) AS cv FROM events, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1",

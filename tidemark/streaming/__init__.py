@@ -1,4 +1,4 @@
-"""Online variants over a stream of events (ts, user_id, value): windows with a watermark, and relapses by patient.
+"""Online variants over a stream of events (ts, user_id, value): windows with a watermark. State by series is in `online`.
 
 Events later than the watermark allows are dropped by the windows; a batch run over the whole table takes them in."""
 
@@ -6,11 +6,12 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_folder
+
 
 def _windowed(events: DataFrame, delay: str, *keys: Column) -> DataFrame:
     g = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(*keys)
@@ -34,38 +35,19 @@ def sessions(events: DataFrame, gap: str = "12 hours", delay: str = "1 day") ->
     return _windowed(events, delay, F.session_window("ts", gap), F.col("user_id")).select("user_id", F.col("session_window.start").alias("start"), "n", "mean")
 
 
-def relapses(visits: DataFrame, threshold: float = 3.0, low: int = 7, high: int = 30) -> DataFrame:
-    """visits: (patient_id, day, score); the state of a patient is the last visit."""
-
-    def step(key, batches, state):
-        last_day, last = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values("day")
-        out = []
-        for d, s in zip(rows["day"].tolist(), rows["score"].tolist(), strict=True):
-            if last_day is not None and d <= last_day:
-                continue  # late: its neighbours were settled
-            if last_day is not None and low <= d - last_day <= high and s - last >= threshold:
-                out.append((key[0], d, d - last_day, s - last))
-            last_day, last = d, s
-        state.update((last_day, last))
-        yield pd.DataFrame(out, columns=["patient_id", "day", "gap", "increase"])
-
-    return visits.groupBy("patient_id").applyInPandasWithState(step, "patient_id long, day int, gap int, increase double", "day int, score double", "append", "NoTimeout")
-
-
 def drain(df: DataFrame, keys: list[str] | None = None, folder: str | None = None) -> DataFrame:
-    """Run a stream of aggregates over what is there now, into a Parquet table of the warehouse (or `folder`), and read it.
+    """Run a stream of aggregates over what is there now, into Parquet in the shared folder (or `folder`), and read it.
 
     With keys the stream runs in update mode, so that windows which are still open count too, and the last state of each
     key is what is read. Without (sessions, which have no update mode), in complete mode; the last batch is the table.
-    Nothing passes through the driver."""
+    Each batch writes a path of its own, so one that is tried again replaces its rows. Nothing passes through the driver."""
     spark, columns = df.sparkSession, df.columns
-    path = f"{(folder or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{(folder or shared_folder(spark)).rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = T.StructType([*df.schema.fields, T.StructField("__batch", T.LongType())])
     last: list[int] = []
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("__batch", F.lit(number).cast("long")).write.mode("append").parquet(f"{path}/rows")
+        batch.write.mode("overwrite").parquet(f"{path}/rows/__batch={number}")
         last[:] = [number]
 
     query = df.writeStream.outputMode("update" if keys else "complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start()
