@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import changepoint, daily, segmentation
+from tidemark.operators import changepoint, daily, models, segmentation, selection
+from tidemark.session import stored
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +66,18 @@ def test_published_change_points(signal, cost, points):
 def test_unknown_cost(signal):
     with pytest.raises(ValueError):
         segmentation.pelt(signal, "l3")
+
+
+def test_published_scores_of_models(signal):
+    """The two published run-length models have the same change points; a second series must not move the first one's scores."""
+    found = stored(segmentation.detected(signal, likelihoods=("student_t",)), "found")
+    twin = found.where("model_id = 'bocpd_student_t'").withColumn("model_id", F.lit("bocpd_student_t_2"))
+    both = found.unionAll(twin)
+    other = both.withColumn("series_id", F.lit("other")).where("model_id <> 'pelt_l1'").withColumn("position", F.col("position") / 2)
+    scored = models.rank_models(models.score_models(both.unionAll(other))).where("series_id = 'cv'").collect()
+    want = {"pelt_l1": 0.94838103604059, "pelt_rbf": 0.94838103604059, "pelt_l2": 0.7578946415070144, "pelt_ar": 0.5911212118756308, "bocpd_student_t": 0.3404190084154493, "bocpd_student_t_2": 0.3404190084154493}
+    assert {r["model_id"]: pytest.approx(r["score"], abs=1e-6) for r in scored} == want
+    assert [r["model_id"] for r in sorted(scored, key=lambda r: r["rank"])][:4] == ["pelt_l1", "pelt_rbf", "pelt_l2", "pelt_ar"]
+    chosen = {r["series_id"]: r for r in selection.select(both.unionAll(other)).collect()}
+    assert chosen["cv"]["best_model"] == "pelt_l1" and chosen["cv"]["n_valid"] == 6 and "6.58%, 15.62%, 36.44%" in chosen["cv"]["explanation"]
+    assert chosen["other"]["n_candidates"] == 5 and "pelt_l1" not in chosen["other"]["ranking"]

@@ -7,44 +7,61 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _by_series(df: DataFrame) -> tuple[DataFrame, bool]:
+    """With a series_id, and whether it had one: a table without is one series."""
+    return (df, True) if "series_id" in df.columns else (df.withColumn("series_id", F.lit("")), False)
+
+
 def agreement(points: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """Per model: consensus (nearest change point of any other model) and density of others' change points, and their mean."""
-    o = points.select(F.col("model_id").alias("other"), F.col("cp").alias("q"))
+    """(series_id, model_id, consensus, density, n_cp, stability) of change points (series_id, model_id, cp as a share of the
+    series): nearness of the nearest change point of any other model of the series, mean nearness of all of theirs, and the
+    mean of both. Only points of one series meet, and a series has few."""
+    points, had = _by_series(points)
+    o = points.select("series_id", F.col("model_id").alias("other"), F.col("cp").alias("q"))
     near = F.exp(-F.pow((F.col("cp") - F.col("q")) / tolerance, 2))
-    each = points.join(F.broadcast(o), F.col("model_id") != F.col("other")).groupBy("model_id", "cp").agg(F.max(near).alias("c"), F.avg(near).alias("d"))
-    m = each.groupBy("model_id").agg(F.avg("c").alias("consensus"), F.avg("d").alias("density"), F.count("*").alias("n_cp"))
-    return m.withColumn("stability", (F.col("consensus") + F.col("density")) / 2)
+    each = points.join(o, "series_id").where(F.col("model_id") != F.col("other")).groupBy("series_id", "model_id", "cp").agg(F.max(near).alias("c"), F.avg(near).alias("d"))
+    m = each.groupBy("series_id", "model_id").agg(F.avg("c").alias("consensus"), F.avg("d").alias("density"), F.count("*").alias("n_cp"))
+    out = m.withColumn("stability", (F.col("consensus") + F.col("density")) / 2)
+    return out if had else out.drop("series_id")
 
 
 def score_models(detected: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """(model_id, n_cp, n_significant, effect, mass, stability, score) of the models of one series that have a significant
+    """(series_id, model_id, n_cp, n_significant, effect, mass, stability, score) of each series' models that have a significant
     change point: metrics normalised over these models and weighted, and a quarter of the stability; one model has score 1."""
-    tested = F.col("p_value").isNotNull()
-    g = detected.groupBy("model_id").agg(F.count("*").alias("n_cp"), F.count_if("significant").alias("n_valid"), F.count_if(tested & F.col("significant")).alias("n_significant"), F.coalesce(F.avg(F.when(tested, F.col("cohens_d"))), F.lit(0.0)).alias("effect"), F.coalesce(F.avg("posterior"), F.lit(0.0)).alias("mass"))
+    detected, had = _by_series(detected)
+    key, tested = ["series_id", "model_id"], F.col("p_value").isNotNull()
+    g = detected.groupBy(*key).agg(F.count("*").alias("n_cp"), F.count_if("significant").alias("n_valid"), F.count_if(tested & F.col("significant")).alias("n_significant"), F.coalesce(F.avg(F.when(tested, F.col("cohens_d"))), F.lit(0.0)).alias("effect"), F.coalesce(F.avg("posterior"), F.lit(0.0)).alias("mass"))
     valid = g.where("n_valid > 0").drop("n_valid")
-    points = detected.join(valid.select("model_id"), "model_id", "left_semi").select("model_id", F.col("position").alias("cp"))
-    out = valid.join(agreement(points, tolerance).select("model_id", "stability"), "model_id", "left").withColumn("stability", F.coalesce("stability", F.lit(0.0)))
+    points = detected.join(valid.select(*key), key, "left_semi").select(*key, F.col("position").alias("cp"))
+    out = valid.join(agreement(points, tolerance).select(*key, "stability"), key, "left").withColumn("stability", F.coalesce("stability", F.lit(0.0)))
     total = 0.25 * F.col("stability")
     for metric, weight in (("n_significant", 0.30), ("effect", 0.30), ("stability", 0.20), ("mass", 0.20)):
         out = normalize(out.withColumn(f"{metric}_scaled", F.col(metric).cast("double")), f"{metric}_scaled")
         total = total + weight * F.col(f"{metric}_scaled")
-    score = F.when(F.count("*").over(Window.partitionBy()) == 1, 1.0).otherwise(total)
-    return out.select("model_id", "n_cp", "n_significant", "effect", "mass", "stability", score.alias("score"))
+    score = F.when(F.count("*").over(Window.partitionBy("series_id")) == 1, 1.0).otherwise(total)
+    return out.select(*(["series_id"] if had else []), "model_id", "n_cp", "n_significant", "effect", "mass", "stability", score.alias("score"))
 
 
 def rank_models(scored: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Scores within the tolerance of the best tie; ties go to fewer change points, then effect size, then stability."""
-    top = F.max("score").over(Window.partitionBy())
-    tied = F.col("score") >= top - tolerance
-    order = Window.orderBy(F.desc("tied"), F.when(F.col("tied"), F.col("n_cp")).otherwise(0), F.when(F.col("tied"), -F.abs("effect")).otherwise(-F.col("score")), F.desc("stability"), "model_id")
-    return scored.withColumn("tied", tied).withColumn("rank", F.row_number().over(order))
+    """Ranks within each series. Scores within the tolerance of the best tie; ties go to fewer change points, then effect size,
+    then stability."""
+    scored, had = _by_series(scored)
+    own = Window.partitionBy("series_id")
+    tied = F.col("score") >= F.max("score").over(own) - tolerance
+    even = lambda c: F.round(c, 12)
+    order = own.orderBy(F.desc("tied"), F.when(F.col("tied"), F.col("n_cp")).otherwise(0), F.when(F.col("tied"), -even(F.abs("effect"))).otherwise(-even(F.col("score"))), F.desc(even(F.col("stability"))), "model_id")
+    out = scored.withColumn("tied", tied).withColumn("rank", F.row_number().over(order))
+    return out if had else out.drop("series_id")
 
 
 def normalize(df: DataFrame, column: str) -> DataFrame:
-    """Robust min-max on the 5th to 95th percentile, clipped; 0.5 when there is no spread."""
-    q = df.agg(F.percentile(column, F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
-    lo, hi = F.col("q")[0], F.col("q")[1]
-    return df.crossJoin(F.broadcast(q)).withColumn(column, F.when(hi - lo < 1e-9, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(column) - lo) / F.nullif(hi - lo, F.lit(0.0)))))).drop("q")
+    """Robust min-max on the 5th to 95th percentile of each series, clipped; 0.5 when there is no spread."""
+    w = Window.partitionBy("series_id") if "series_id" in df.columns else Window.partitionBy()
+    lo, hi = (F.percentile(column, F.lit(q)).over(w) for q in (0.05, 0.95))
+    out = df.withColumns({"__lo": lo, "__hi": hi})
+    lo, hi = F.col("__lo"), F.col("__hi")
+    share = (F.col(column) - lo) / F.nullif(hi - lo, F.lit(0.0))
+    return out.withColumn(column, F.when(hi - lo < 1e-9, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))).drop("__lo", "__hi")
 
 
 def kmeans_days(features: DataFrame, k: int = 2, restarts: int = 10, seed: int = 1234) -> DataFrame:

@@ -26,11 +26,11 @@ def eligible(rows: DataFrame, families: tuple[str, ...] = ("pelt", "bocpd"), mod
 
 def normalized(df: DataFrame, column: str, method: str = "robust") -> DataFrame:
     """robust: from the 5th to the 95th percentile, clipped; minmax; zscore; rank (0 the least, ties by the first place).
-    Without spread every value is 0.5, or 0 for zscore. One row a model, so one window holds them."""
-    w, c = Window.partitionBy(), F.col(column).cast("double")
+    Without spread every value is 0.5, or 0 for zscore. Within each series, if there is a series_id."""
+    w, c = Window.partitionBy("series_id") if "series_id" in df.columns else Window.partitionBy(), F.col(column).cast("double")
     if method == "rank":
         n = F.count("*").over(w)
-        return df.withColumn(column, F.when(n > 1, (F.rank().over(Window.orderBy(column)) - 1) / (n - 1)).otherwise(0.5))
+        return df.withColumn(column, F.when(n > 1, (F.rank().over(w.orderBy(column)) - 1) / (n - 1)).otherwise(0.5))
     if method == "zscore":
         return df.withColumn(column, F.coalesce((c - F.avg(c).over(w)) / F.nullif(F.stddev_pop(c).over(w), F.lit(0.0)), F.lit(0.0)))
     if method == "robust":
@@ -44,21 +44,23 @@ def normalized(df: DataFrame, column: str, method: str = "robust") -> DataFrame:
 
 
 def select(detected: DataFrame, families: tuple[str, ...] = ("pelt", "bocpd"), model_ids: tuple[str, ...] | None = None, strategy: str = "agreement_first") -> DataFrame:
-    """One row: best_model, ranking, n_candidates, n_valid, explanation; with no eligible or no valid model the first two are
-    null and empty, and the explanation says which; a single valid model has score 1."""
+    """(series_id, best_model, ranking, n_candidates, n_valid, explanation), a row for each series: with no eligible or no valid
+    model the first two are null and empty, and the explanation says which; a single valid model has score 1."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
-    rows = eligible(canonical(detected), families, model_ids)
-    n = rows.agg(F.count_distinct("model_id").alias("n_candidates"))
-    ranked = rank_models(score_models(rows)).join(rows.select("model_id", "family").distinct(), "model_id")
+    rows, key = eligible(canonical(detected), families, model_ids), ["series_id", "model_id"]
+    n = rows.groupBy("series_id").agg(F.count_distinct("model_id").alias("n_candidates"))
+    ranked = rank_models(score_models(rows)).join(rows.select(*key, "family").distinct(), key)
     places = F.transform(F.array_sort(F.collect_list(F.struct(F.col("position")))), lambda s: F.format_string("%.2f%%", s["position"] * 100))
-    points = rows.groupBy("model_id").agg(F.slice(places, 1, 5).alias("places"))
+    points = rows.groupBy(*key).agg(F.slice(places, 1, 5).alias("places"))
     why = F.when(F.col("family") == "pelt", F.format_string("effect size %.2f, %d significant change points", F.col("effect"), F.col("n_significant"))).otherwise(F.format_string("posterior mass %.2f", F.col("mass")))
     line = F.struct("rank", "model_id", "score", "stability", "n_cp", why.alias("why"), "places")
-    all_of = ranked.join(points, "model_id").agg(F.array_sort(F.collect_list(line)).alias("r"), F.count("*").alias("n_valid"))
-    first, second = F.col("r")[0], F.get("r", F.lit(1))
+    all_of = ranked.join(points, key).groupBy("series_id").agg(F.array_sort(F.collect_list(line)).alias("r"), F.count("*").alias("n_valid"))
+    first, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
     words = F.format_string("%s has the highest score (%.3f), stability %.2f, %s, and %d change points at %s", first["model_id"], first["score"], first["stability"], first["why"], first["n_cp"], F.concat_ws(", ", first["places"]))
     words = F.when(F.col("n_valid") > 1, F.concat(words, F.format_string("; %.3f ahead of %s", first["score"] - second["score"], second["model_id"]))).otherwise(F.concat(F.lit("the only valid model: "), words))
     reason = F.when(F.col("n_candidates") == 0, "no eligible models").when(F.col("n_valid") == 0, F.format_string("none of %d models is valid", F.col("n_candidates"))).otherwise(words)
-    one = n.crossJoin(all_of)  # one row each
-    return one.select(F.when(F.col("n_valid") > 0, F.get("r", F.lit(0))["model_id"]).alias("best_model"), F.transform("r", lambda x: x["model_id"]).alias("ranking"), "n_candidates", "n_valid", reason.alias("explanation"))
+    zero = F.lit(0).cast("long")
+    each = detected.select("series_id").distinct().join(n, "series_id", "left").join(all_of, "series_id", "left").withColumns({"n_candidates": F.coalesce("n_candidates", zero), "n_valid": F.coalesce("n_valid", zero)})
+    ranking = F.coalesce(F.transform("r", lambda x: x["model_id"]), F.array().cast("array<string>"))
+    return each.select("series_id", F.when(F.col("n_valid") > 0, first["model_id"]).alias("best_model"), ranking.alias("ranking"), "n_candidates", "n_valid", reason.alias("explanation"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import changepoint, daily, models, posthoc, quality, trajectories
-from ..session import ship
+from ..operators import daily, models, posthoc, quality, segmentation, trajectories
+from ..session import ship, stored
 from ..sources import obs_events, obs_lineitem, obs_orders
 from . import more
 
@@ -23,36 +23,40 @@ def _parts(s: SparkSession, d: str) -> DataFrame:
     return posthoc.segments(daily.daily_moments(obs_events(s, d)), CPS, 5)
 
 
-def _signal(s: SparkSession, d: str) -> DataFrame:
-    cv = daily.daily_cv(obs_lineitem(s, d))
-    return cv.select(F.lit("lineitem").alias("series_id"), F.col("day").alias("t"), F.col("cv").alias("x"))
+def _pelt(cost: str):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        found = segmentation.pelt(more.signals(s, d), cost)
+        return found.select("series_id", "n", F.size("cps").alias("n_cp"), F.array_join(F.transform("cps", lambda c: c.cast("string")), ",").alias("cps"), F.round("penalty", 8).alias("penalty"), F.round("bic", 4).alias("bic"))
 
+    return run
 
-def _pelt(model: str):
-    return lambda s, d: changepoint.detect(_signal(s, d), [model]).drop("posterior")
 
-
-def _bh(s: SparkSession, d: str) -> DataFrame:
-    return posthoc.bh(s.sql("SELECT * FROM VALUES (1, 0.001D), (2, 0.008D), (3, 0.039D), (4, 0.041D), (5, 0.042D), (6, 0.6D) AS t(id, p_value)"))
+def _curve(s: SparkSession, d: str) -> DataFrame:
+    return segmentation.tuning_curve(more.signals(s, d), "l2").select("series_id", F.round("penalty", 8).alias("penalty"), F.size("cps").alias("n_cp"), F.round("bic", 4).alias("bic"))
 
 
-_POINTS = [("a", 0.1), ("a", 0.3), ("a", 0.6), ("b", 0.11), ("b", 0.31), ("c", 0.6), ("c", 0.9)]
+def _bh(s: SparkSession, d: str) -> DataFrame:
+    """The rank tests' p values of all change points and features, corrected together."""
+    return posthoc.bh(posthoc.tested(_parts(s, d)).select("change_point", "feature", F.round("p_value", 9).alias("p_value")))
 
 
 def _agreement(s: SparkSession, d: str) -> DataFrame:
-    return models.agreement(s.sql("SELECT * FROM VALUES " + ", ".join(f"('{m}', {c}D)" for m, c in _POINTS) + " AS t(model_id, cp)"))
-
-
-def _detected(s: SparkSession, d: str) -> DataFrame:
-    return changepoint.detect(_signal(s, d)).cache()
+    """How well each type's days of largest mean and of largest deviation agree, as change points of two models."""
+    days = more._days_by_type(s, d)
+    whole = Window.partitionBy("dataset")
+    at = days.withColumn("at", F.row_number().over(whole.orderBy("day")) / F.count("*").over(whole))
+    points = at.unpivot(["dataset", "day", "at"], ["mean", "std"], "model_id", "value")
+    top = F.row_number().over(Window.partitionBy("dataset", "model_id").orderBy(F.desc(F.round("value", 9)), "day"))
+    return models.agreement(points.withColumn("k", top).where("k <= 5").select(F.col("dataset").alias("series_id"), "model_id", F.col("at").alias("cp")))
 
 
 def _ranking(s: SparkSession, d: str) -> DataFrame:
-    return models.rank_models(models.score_models(_detected(s, d)))
+    found = stored(segmentation.detected(more.signals(s, d)), "detected")
+    return models.rank_models(models.score_models(found))
 
 
 def _detected_agreement(s: SparkSession, d: str) -> DataFrame:
-    return models.agreement(_detected(s, d).select("model_id", F.col("position").alias("cp")))
+    return models.agreement(segmentation.detected(more.signals(s, d), costs=("l2",)).select("series_id", "model_id", F.col("position").alias("cp")))
 
 
 def _kmeans_profile(s: SparkSession, d: str) -> DataFrame:
@@ -92,9 +96,10 @@ _RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dominant_features": lambda s, d: posthoc.dominant(posthoc.effects(_parts(s, d))),
     "contribution_entropy": lambda s, d: posthoc.entropy(posthoc.dominant(posthoc.effects(_parts(s, d)))),
     "mahalanobis": lambda s, d: posthoc.mahalanobis(_parts(s, d)),
-    "pelt_l1": _pelt("pelt_l1"),
-    "pelt_rbf": _pelt("pelt_rbf"),
-    "pelt_ar": _pelt("pelt_ar"),
+    "pelt_l1": _pelt("l1"),
+    "tuning_curve": _curve,
+    "pelt_rbf": _pelt("rbf"),
+    "pelt_ar": _pelt("ar"),
     "model_agreement": _agreement,
     "model_ranking": _ranking,
     "permutation_bh": lambda s, d: posthoc.bh(posthoc.permutation_exact(_parts(s, d))),
@@ -166,8 +171,6 @@ ORACLE: dict[str, str] = {
     "mann_whitney_u": f"WITH {_SEG}, r AS (SELECT *, count(*) OVER (PARTITION BY change_point, feature, value) AS t, rank() OVER (PARTITION BY change_point, feature ORDER BY value) AS k FROM pa), g AS (SELECT change_point, feature, count(*) FILTER (NOT post) AS n1, count(*) FILTER (post) AS n2, sum(k + (t - 1) / 2) FILTER (NOT post) AS r1, sum(t * t - 1) AS tie FROM r GROUP BY ALL), u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM g) SELECT change_point, feature, n1, n2, round(u, 9) AS u, round((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / nullif(sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - tie / ((n1 + n2) * (n1 + n2 - 1)))), 0), 9) AS z FROM u",
     "dominant_features": f"WITH {_DOM} SELECT change_point, feature, {_r('cohens_d', 'contribution')}, CAST(row_number() OVER (PARTITION BY change_point ORDER BY contribution DESC, feature) AS INT) AS rank, contribution >= 25 AS is_dominant FROM dm",
     "contribution_entropy": f"WITH {_DOM}, g AS (SELECT change_point, sum(CASE WHEN contribution > 0 THEN -contribution / 100 * ln(contribution / 100) ELSE 0 END) AS entropy, count(*) AS k FROM dm GROUP BY change_point) SELECT change_point, round(entropy, 9) AS entropy, round(entropy / ln(k), 9) AS normalized FROM g",
-    "bh_correction": "WITH t AS (SELECT * FROM (VALUES (1, 0.001e0), (2, 0.008e0), (3, 0.039e0), (4, 0.041e0), (5, 0.042e0), (6, 0.6e0)) t(id, p_value)), r AS (SELECT *, row_number() OVER (ORDER BY p_value, id) AS i FROM t), b AS (SELECT *, least(1, min(p_value * 6 / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_bh FROM r) SELECT id, round(p_value, 9) AS p_value, round(p_bh, 9) AS p_bh, round(least(1, p_value * 6), 9) AS p_bonferroni, p_bh < 0.05 AS significant FROM b",
-    "model_agreement": "WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {c}e0)" for m, c in _POINTS) + ") t(model_id, cp)), e AS (SELECT a.model_id, a.cp, max(exp(-pow((a.cp - b.cp) / 0.02e0, 2))) AS c, avg(exp(-pow((a.cp - b.cp) / 0.02e0, 2))) AS d FROM t a JOIN t b ON a.model_id <> b.model_id GROUP BY ALL) SELECT model_id, round(avg(c), 9) AS consensus, round(avg(d), 9) AS density, count(*) AS n_cp, round((avg(c) + avg(d)) / 2, 9) AS stability FROM e GROUP BY model_id",
     "elbow_select": "WITH t AS (SELECT * FROM (VALUES (2, 100e0), (3, 60e0), (4, 35e0), (5, 30e0), (6, 27e0), (7, 25e0)) t(k, inertia)), s AS (SELECT k, abs((k - 2) / 5e0 + (inertia - 25) / 75e0 - 1) AS d FROM t) SELECT k FROM s ORDER BY round(d, 9) DESC, k LIMIT 1",
 }
 
@@ -194,3 +197,14 @@ def _checks_sql() -> str:
 
 ORACLE["validation_checks"] = _checks_sql()
 ORACLE |= more.oracle(_EV, _OR, _LI, _MOM, _EFF, _SEG, _DOM, _FIT, _r)
+
+
+ORACLE["tuning_curve"] = ORACLE["pelt_l2"][: ORACLE["pelt_l2"].index(", ch AS (")] + " SELECT series_id, round(pen, 8) AS penalty, CAST(len(cps) AS INT) AS n_cp, round(bic, 4) AS bic FROM bi"
+ORACLE["model_agreement"] = """WITH ob AS (SELECT event_type AS ds, user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS INT) AS day, least(27.0, avg(value) * 0.27) AS x FROM events GROUP BY 1, 2, 3),
+f AS (SELECT ds, day, avg(x) AS mean, coalesce(stddev_samp(x), 0) AS std FROM ob GROUP BY ds, day), a AS (SELECT *, row_number() OVER (PARTITION BY ds ORDER BY day) / count(*) OVER (PARTITION BY ds) AS cp FROM f),
+p AS (SELECT ds, day, cp, 'mean' AS m, mean AS v FROM a UNION ALL SELECT ds, day, cp, 'std', std FROM a), t AS (SELECT ds, m, cp FROM p QUALIFY row_number() OVER (PARTITION BY ds, m ORDER BY round(v, 9) DESC, day) <= 5),
+e AS (SELECT a.ds, a.m, a.cp, max(exp(-pow((a.cp - b.cp) / 0.02e0, 2))) AS c, avg(exp(-pow((a.cp - b.cp) / 0.02e0, 2))) AS d FROM t a JOIN t b ON a.ds = b.ds AND a.m <> b.m GROUP BY ALL)
+SELECT ds AS series_id, m AS model_id, round(avg(c), 9) AS consensus, round(avg(d), 9) AS density, count(*) AS n_cp, round((avg(c) + avg(d)) / 2, 9) AS stability FROM e GROUP BY 1, 2"""
+ORACLE["bh_correction"] = f"""WITH t AS (SELECT change_point, feature, round(p_value, 9) AS p_value FROM ({ORACLE['effects_with_tests']})), r AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value, change_point, feature) AS i FROM t)
+SELECT change_point, feature, p_value, round(least(1, min(p_value * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS p_bh, round(least(1, p_value * m), 9) AS p_bonferroni,
+least(1, min(p_value * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) < 0.05 AS significant FROM r"""
