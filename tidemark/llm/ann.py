@@ -10,8 +10,9 @@ the k nearest. Buckets beyond BLOCK vectors are split into parts that each query
 vectors are searched again over all vectors, so that a result is short only if there are too few vectors.
 
 Cases: vectors that are null, empty, zero, hold null or non-finite components, or have another length than most, take no
-part; ties go to the smaller id; a null id takes no part; rows repeated whole count as one vector; empty tables give no
-rows; other columns are ignored.
+part; ties go to the smaller id; a null id takes no part; rows repeated whole count as one vector; an id with several vectors
+is as near as the nearest of them, asked or found, and comes once in a result; empty tables give no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -92,6 +93,11 @@ def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(raw, "<f8").reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal values as equal numbers from 0."""
+    return column.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _meet(k: int):
     """Vectors and queries of a group of buckets: for each query the k nearest of all that share a bucket with it."""
 
@@ -100,17 +106,27 @@ def _meet(k: int):
             return _META.empty_table()
         bucket, ids, v = index.column("bucket").to_numpy(), index.column("id").to_numpy(), _vectors(index.column("v"))
         order = np.argsort(bucket, kind="stable")
+        vector = _numbers(index.column("v"))[order]
         bucket, ids, v = bucket[order], ids[order], v[order]
+        place = np.unique(ids, return_inverse=True)[1]
+        row = vector * len(ids) + place  # one number for each id and vector
+        asked = _numbers(queries.column("v"))
         qb, qid, qv = queries.column("bucket").to_numpy(), queries.column("id").to_numpy(), _vectors(queries.column("v"))
         lo, hi = np.searchsorted(bucket, qb, "left"), np.searchsorted(bucket, qb, "right")
-        by: dict[int, list[int]] = {}
+        by: dict[tuple[int, int], list[int]] = {}
         for r in np.flatnonzero(lo < hi).tolist():
-            by.setdefault(int(qid[r]), []).append(r)
+            by.setdefault((int(qid[r]), int(asked[r])), []).append(r)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for q, rows in by.items():
+        for (q, _), rows in by.items():
             at = np.concatenate([np.arange(lo[r], hi[r]) for r in rows])
-            found, first = np.unique(ids[at], return_index=True)
-            got, d = nearest(qv[rows[0]], found, v[at[first]], q, k)
+            at = at[np.unique(row[at], return_index=True)[1]]
+            at = at[np.argsort(ids[at], kind="stable")]
+            found = ids[at]
+            several = len(found) > 1 and bool((found[1:] == found[:-1]).any())
+            got, d = nearest(qv[rows[0]], found, v[at], q, len(at) if several else k)
+            if several:  # an id with several vectors counts once, by its nearest
+                near = np.sort(np.unique(got, return_index=True)[1])[:k]
+                got, d = got[near], d[near]
             out.append((np.full(len(got), q), got, d))
         if not out:
             return _META.empty_table()
@@ -167,7 +183,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TA
     left = grouped(indexed, F.pmod(F.xxhash64("id"), parts))
     right = grouped(visits, F.explode(F.sequence(F.lit(0), parts - 1)))
     met = left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(_meet(k), "query_id long, vec_id long, score double")
-    met = materialize(met.distinct(), "met")
+    met = materialize(met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), "met")
     found = met.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))
     short = asked.join(found, "id", "left_anti").select(F.lit(0).cast("long").alias("bucket"), "id", F.col("v"))
     if not short.isEmpty():  # too few met: these queries go past all vectors, block by block
@@ -179,7 +195,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TA
         g = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g")
         all_rows = rows.select(F.lit(0).cast("long").alias("bucket"), "id", "v").mapInArrow(raw, kind).select(g, "bucket", "id", "v")
         all_short = short.mapInArrow(raw, kind).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "bucket", "id", "v")
-        met = met.unionAll(all_rows.groupBy("g").cogroup(all_short.groupBy("g")).applyInArrow(_meet(k), "query_id long, vec_id long, score double")).distinct()
+        met = met.unionAll(all_rows.groupBy("g").cogroup(all_short.groupBy("g")).applyInArrow(_meet(k), "query_id long, vec_id long, score double")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

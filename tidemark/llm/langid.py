@@ -93,8 +93,8 @@ def classify(text: str | None, models) -> tuple[str, float]:
     return sizes[0][1], (sizes[1][0] - sizes[0][0]) / sizes[1][0]
 
 
-def predict(documents: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL, min_margin: float = MIN_MARGIN, text: str = "text") -> DataFrame:
-    """All columns of the documents, with __lang_pred, __score and __rejected."""
+def _predicted(documents: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL, min_margin: float = MIN_MARGIN, text: str = "text") -> DataFrame:
+    """The columns of the documents as c0, c1, ..., so that none clashes, with __lang_pred, __score and __rejected."""
     items, at = tuple(sorted(dictionaries.items())), documents.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +106,12 @@ def predict(documents: DataFrame, dictionaries: dict[str, bytes], level: int = L
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*batch.schema.names, "__lang_pred", "__score", "__rejected"])
 
     rows = numbered(documents)
-    done = rows.mapInArrow(run, extended(rows.schema, __lang_pred="string", __score="double", __rejected="boolean"))
-    return done.toDF(*documents.columns, "__lang_pred", "__score", "__rejected")
+    return rows.mapInArrow(run, extended(rows.schema, __lang_pred="string", __score="double", __rejected="boolean"))
+
+
+def predict(documents: DataFrame, dictionaries: dict[str, bytes], **options) -> DataFrame:
+    """All columns of the documents, with __lang_pred, __score and __rejected."""
+    return _predicted(documents, dictionaries, **options).toDF(*documents.columns, "__lang_pred", "__score", "__rejected")
 
 
 def remainder():
@@ -125,4 +129,4 @@ def identify(documents: DataFrame, **options) -> DataFrame:
 def keep_known(documents: DataFrame, **options) -> DataFrame:
     """The documents whose language is clear, with the columns they had."""
     learned = fit(documents.where(remainder() != 2).select("text", "lang"))
-    return predict(documents, learned, **options).where(~F.col("__rejected")).drop("__lang_pred", "__score", "__rejected")
+    return _predicted(documents, learned, **options).where(~F.col("__rejected")).drop("__lang_pred", "__score", "__rejected").toDF(*documents.columns)

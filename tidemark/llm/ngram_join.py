@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _chunks as C
-from ._shared import components, materialize, roots
+from ._shared import components, materialize, numbered, roots
 from ._text import U, Words, buffers, mix, shingle_sets
 
 SIZE = 5
@@ -360,7 +360,8 @@ def one_of_each(documents: DataFrame, size: int = SIZE, percent: int = PERCENT)
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
     marks = each.join(first, "label").select(F.col("doc_id").alias("__one_id"), F.col("th").alias("__one_text"), kept.alias("__one_kept"), "rows").where("NOT __one_kept OR rows > 1").drop("rows")
     marks = materialize(marks, "marks")
-    same = documents["doc_id"].eqNullSafe(marks["__one_id"]) & (F.xxhash64(documents["text"]) == marks["__one_text"])
-    marked = documents.join(marks, same, "left").where("__one_kept IS NULL OR __one_kept")
+    plain = numbered(documents)  # no name of the input clashes with a mark
+    own_id, own_text = (F.col(f"c{documents.columns.index(c)}") for c in ("doc_id", "text"))
+    marked = plain.join(marks, own_id.eqNullSafe(F.col("__one_id")) & (F.xxhash64(own_text) == F.col("__one_text")), "left").where("__one_kept IS NULL OR __one_kept")
     once = marked.where("__one_kept").dropDuplicates(["__one_id", "__one_text"])  # repeated whole, or but for other columns
-    return marked.where("__one_kept IS NULL").unionAll(once).drop("__one_id", "__one_text", "__one_kept")
+    return marked.where("__one_kept IS NULL").unionAll(once).drop("__one_id", "__one_text", "__one_kept").toDF(*documents.columns)

@@ -77,8 +77,9 @@ def rebalance(slot_map: DataFrame, sizes: DataFrame, tolerance: float = 0.01) ->
 
 
 def save_map(slot_map: DataFrame, path: str) -> None:
-    """Add a version to a stored map; versions that are there stay."""
-    slot_map.write.mode("append").partitionBy("version").parquet(path)
+    """Add versions to a stored map. A version that is there is replaced by the new rows, so that a run that is tried again
+    leaves what one run does; others stay."""
+    slot_map.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
