@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import compare, daily, detect, labels, linkage, models, plotdata, posthoc, sequence, trajectories
+from ..operators import compare, daily, detect, inference, labels, linkage, models, plotdata, posthoc, sequence, trajectories
 from ..sources import obs_events, obs_lineitem, obs_orders
 
 CPS = [8, 15, 22]
@@ -179,6 +179,10 @@ RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_daily_cv": _stream("daily_cv", ["day"]),
     "stream_sliding_cv": _stream("sliding_cv", ["start"]),
     "stream_sessions": _stream("sessions", None),
+    "t_test": lambda s, d: inference.t_test(_parts(s, d)),
+    "chosen_tests": lambda s, d: inference.chosen_tests(_parts(s, d)),
+    "permutation_shuffled": lambda s, d: inference.permutation(posthoc.segments(daily.daily_moments(obs_events(s, d)), CPS, 10)),
+    "shapiro_wilk": lambda s, d: inference.shapiro_wilk(_days_by_type(s, d).withColumnRenamed("mean", "value"), ["dataset"]),
     "temporal_cluster": _temporal,
     "linkage_heights": _heights,
     "online_run_lengths": _online_runs,
@@ -226,6 +230,10 @@ def oracle(ev: str, orders: str, li: str, mom: str, eff: str, seg: str, dom: str
         "observation_days": f"WITH {orders} SELECT day, count(DISTINCT p) AS n_patients, CAST(row_number() OVER (ORDER BY day) - 1 AS INT) AS day_idx FROM ob GROUP BY day",
         "score_histogram": f"WITH {ev} SELECT CAST(least(floor(x / 1.35), 19) AS INT) AS bin, round(least(floor(x / 1.35), 19) * 1.35, 9) AS low, count(*) AS count FROM ob WHERE x BETWEEN 0 AND 27 GROUP BY ALL",
         "sample_trajectories": f"WITH {fit}, pa AS (SELECT patient_id, CASE WHEN pct < 0.2 OR slope > -0.02 THEN 'non_responder' WHEN slope <= -0.08 THEN 'early_responder' WHEN slope <= -0.04 THEN 'gradual_responder' ELSE 'late_responder' END AS pattern FROM ft), pk AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY patient_id) AS i FROM pa) SELECT patient_id, day, round(x, 9) AS score, pattern FROM ob JOIN pk ON patient_id = p WHERE i <= 5",
+        # Simpson's rule over the density
+        "t_test": f"WITH {eff}, t0 AS (SELECT change_point, feature, n1, n2, n1 + n2 - 2 AS df, (pre_mean - post_mean) / nullif(sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1e0 / n1 + 1e0 / n2)), 0) AS t, pre_mean = post_mean AS same FROM e0 WHERE n1 >= 2 AND n2 >= 2), "
+        "s0 AS (SELECT *, exp(lgamma((df + 1) / 2e0) - lgamma(df / 2e0)) / sqrt(df * pi()) AS k, list_sum(list_transform(range(0, 4001), lambda i: CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t * i / 4000, 2) / df, -(df + 1) / 2e0))) AS f FROM t0) "
+        "SELECT change_point, feature, n1, n2, round(t, 9) AS t, CAST(df AS BIGINT) AS df, round(CASE WHEN t IS NULL THEN CAST(same AS INT) ELSE greatest(0, 1 - 2 * k * f * abs(t) / 12000) END, 9) AS p_value FROM s0",
         "linkage_heights": """WITH RECURSIVE ob AS (SELECT event_type AS ds, user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS INT) AS day, least(27.0, avg(value) * 0.27) AS x FROM events GROUP BY 1, 2, 3),
 f AS (SELECT ds, day, avg(x) AS mean, coalesce(stddev_samp(x), 0) AS std FROM ob GROUP BY ds, day),
 z AS (SELECT ds, row_number() OVER (PARTITION BY ds ORDER BY day) - 1 AS i, count(*) OVER p - 1 AS last, (mean - avg(mean) OVER p) / coalesce(nullif(stddev_pop(mean) OVER p, 0), 1) AS a, (std - avg(std) OVER p) / coalesce(nullif(stddev_pop(std) OVER p, 0), 1) AS b FROM f WINDOW p AS (PARTITION BY ds)),
