@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import changepoint, daily, detect
+from tidemark.operators import changepoint, compare, daily, detect, models
 
 
 @pytest.fixture(scope="module")
@@ -64,15 +64,27 @@ def test_folds_over_many_series(spark):
     assert detect.persistent_peaks(runs, 0.0, 1).count() == 15
 
 
-def test_hazard_strategies(spark):
-    import pandas as pd
+def test_published_clusters_and_composite(spark, visits):
+    days = daily.daily_features(visits)
+    labels = models.kmeans_days(days).cache()
+    assert sorted(r["count"] for r in labels.groupBy("label").count().collect()) == [110, 255]
+    in_time = [r["label"] for r in labels.orderBy("day").collect()]
+    assert sum(a != b for a, b in zip(in_time, in_time[1:], strict=False)) == 47
+    obs = visits.withColumn("dataset", F.lit("gamma"))
+    shape = compare.shape(obs).first()
+    stated = spark.createDataFrame([("gamma", shape["days"], shape["patients"], shape["missingness"])], "dataset string, total_days long, n_patients long, missingness_rate double")
+    got = compare.rank_datasets(obs, labels.withColumn("dataset", F.lit("gamma")), stated).first()
+    assert got["temporal_stability"] == pytest.approx(87.0879, abs=1e-4) and got["composite_score"] == pytest.approx(91.3645, abs=1e-4)
+    labels.unpersist()
+
 
+def test_hazard_strategies(spark):
     rng = np.random.default_rng(0)
     for n in (8, 12, 200, 900):
         x = np.cumsum(rng.normal(size=n))
         df = spark.createDataFrame([("a", t, float(v)) for t, v in enumerate(x)], "series_id string, t int, x double")
-        rolled = pd.Series(x).rolling(5, center=True).var().bfill().ffill()
-        d = np.abs(np.diff(rolled))
+        full = np.lib.stride_tricks.sliding_window_view(x, 5).var(axis=1, ddof=1)
+        d = np.concatenate([[0, 0], np.abs(np.diff(full)), [0, 0]])
         at = np.flatnonzero(d > np.percentile(d, 75))
         raw = n / 4 if n < 10 else float(np.median(np.diff([0, *at, n]))) if len(at) > 1 else n / 5
         one = lambda s: detect.hazard(df, s, 50.0, 250.0).first()["hazard_lambda"]

@@ -64,13 +64,15 @@ def normalize(df: DataFrame, column: str) -> DataFrame:
     return out.withColumn(column, F.when(hi - lo < 1e-9, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))).drop("__lo", "__hi")
 
 
-def kmeans_days(features: DataFrame, k: int = 2, restarts: int = 10, seed: int = 1234) -> DataFrame:
-    """(day, label), labels by ascending mean: the best of several starts on standardised features."""
+def kmeans_days(features: DataFrame, k: int = 2, restarts: int = 10, seed: int = 1234, standardize: bool = False) -> DataFrame:
+    """(day, label), labels by ascending mean: the best of several starts, on the features as they are or standardised."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    v = VectorAssembler(inputCols=["mean", "std", "cv", "n_obs", "pct_severe"], outputCol="raw").transform(features)
-    v = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(v).transform(v).persist()
+    v = VectorAssembler(inputCols=["mean", "std", "cv", "n_obs", "pct_severe"], outputCol="raw" if standardize else "features").transform(features)
+    if standardize:
+        v = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(v).transform(v)
+    v = v.persist()
     best = min((KMeans(k=k, seed=seed + i, maxIter=500).fit(v) for i in range(restarts)), key=lambda m: m.summary.trainingCost)
     v.unpersist()
     out = best.transform(v).select("day", "mean", F.col("prediction").alias("p"))
