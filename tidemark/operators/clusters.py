@@ -57,10 +57,3 @@ def choose(obs: DataFrame, largest: int = 6, restarts: int = 3, seed: int = 1234
     v.unpersist()
     out = obs.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")  # a row for each k
     return out.withColumn("chosen", F.row_number().over(Window.orderBy(F.desc("silhouette"), "k")) == 1)
-
-
-def gap(obs_values: DataFrame, inertia: DataFrame, references: DataFrame) -> DataFrame:
-    """(k, gap): mean log cost of uniform references less the log cost of the data. inertia: (k, inertia); references:
-    (k, run, inertia). `obs_values` only bounds what references should span and isn't read here."""
-    ref = references.groupBy("k").agg(F.avg(F.log(F.greatest("inertia", F.lit(1e-10)))).alias("expected"))
-    return inertia.join(ref, "k").select("k", (F.col("expected") - F.log(F.greatest("inertia", F.lit(1e-10)))).alias("gap"))

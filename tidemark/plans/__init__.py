@@ -64,10 +64,6 @@ def _kmeans_profile(s: SparkSession, d: str) -> DataFrame:
     return models.cluster_profile(f, models.kmeans_days(f))
 
 
-def _elbow(s: SparkSession, d: str) -> DataFrame:
-    return models.elbow(s.sql("SELECT * FROM VALUES (2, 100D), (3, 60D), (4, 35D), (5, 30D), (6, 27D), (7, 25D) AS t(k, inertia)"))
-
-
 _RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "daily_cv": lambda s, d: daily.daily_cv(obs_events(s, d)),
     "daily_features": lambda s, d: daily.daily_features(obs_events(s, d)),
@@ -106,7 +102,6 @@ _RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detected_agreement": _detected_agreement,
     "kmeans_profile": _kmeans_profile,
     "kmeans_days": lambda s, d: models.kmeans_days(daily.daily_features(obs_lineitem(s, d))),
-    "elbow_select": _elbow,
     "validation_checks": lambda s, d: quality.checks(obs_orders(s, d)).drop("low", "high"),
 }
 
@@ -171,7 +166,6 @@ ORACLE: dict[str, str] = {
     "mann_whitney_u": f"WITH {_SEG}, r AS (SELECT *, count(*) OVER (PARTITION BY change_point, feature, value) AS t, rank() OVER (PARTITION BY change_point, feature ORDER BY value) AS k FROM pa), g AS (SELECT change_point, feature, count(*) FILTER (NOT post) AS n1, count(*) FILTER (post) AS n2, sum(k + (t - 1) / 2) FILTER (NOT post) AS r1, sum(t * t - 1) AS tie FROM r GROUP BY ALL), u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM g) SELECT change_point, feature, n1, n2, round(u, 9) AS u, round((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / nullif(sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - tie / ((n1 + n2) * (n1 + n2 - 1)))), 0), 9) AS z FROM u",
     "dominant_features": f"WITH {_DOM} SELECT change_point, feature, {_r('cohens_d', 'contribution')}, CAST(row_number() OVER (PARTITION BY change_point ORDER BY contribution DESC, feature) AS INT) AS rank, contribution >= 25 AS is_dominant FROM dm",
     "contribution_entropy": f"WITH {_DOM}, g AS (SELECT change_point, sum(CASE WHEN contribution > 0 THEN -contribution / 100 * ln(contribution / 100) ELSE 0 END) AS entropy, count(*) AS k FROM dm GROUP BY change_point) SELECT change_point, round(entropy, 9) AS entropy, round(entropy / ln(k), 9) AS normalized FROM g",
-    "elbow_select": "WITH t AS (SELECT * FROM (VALUES (2, 100e0), (3, 60e0), (4, 35e0), (5, 30e0), (6, 27e0), (7, 25e0)) t(k, inertia)), s AS (SELECT k, abs((k - 2) / 5e0 + (inertia - 25) / 75e0 - 1) AS d FROM t) SELECT k FROM s ORDER BY round(d, 9) DESC, k LIMIT 1",
 }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import compare, daily, detect, inference, labels, linkage, models, plotdata, posthoc, sequence, trajectories
+from ..operators import compare, daily, detect, inference, labels, linkage, models, optimal, plotdata, posthoc, sequence, trajectories
 from ..sources import obs_events, obs_lineitem, obs_orders
 
 CPS = [8, 15, 22]
@@ -126,6 +126,10 @@ def _heights(s: SparkSession, d: str) -> DataFrame:
     return merges.select("dataset", place.alias("place"), "height")
 
 
+def _elbow(s: SparkSession, d: str) -> DataFrame:
+    return optimal.elbows(optimal.inertias(optimal.fits(_days_by_type(s, d), ["mean", "std"], 2)))
+
+
 def _temporal(s: SparkSession, d: str) -> DataFrame:
     return linkage.temporal_clusters(_days_by_type(s, d), ["mean", "std"]).withColumnRenamed("dataset", "series_id")
 
@@ -185,11 +189,38 @@ RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shapiro_wilk": lambda s, d: inference.shapiro_wilk(_days_by_type(s, d).withColumnRenamed("mean", "value"), ["dataset"]),
     "temporal_cluster": _temporal,
     "linkage_heights": _heights,
+    "elbow_select": _elbow,
+    "cluster_numbers": lambda s, d: optimal.choose(_days_by_type(s, d), ["mean", "std"]),
+    "gap_statistic": lambda s, d: optimal.gap(_days_by_type(s, d), ["mean", "std"]),
     "online_run_lengths": _online_runs,
     "online_relapses": _online_relapses,
 }
 
 
+def _fits_sql(smallest: int, largest: int, rounds: int, runs: int, seed: int = 1234) -> str:
+    """The rounds of k-means over days by type, and uniform references, as a chain of tables; ct has the costs."""
+    chance = lambda f: f"CAST(CAST('0x' || substr(md5('{seed}:' || run || ':' || dataset || ':' || day || ':{f}'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296e0"
+    out = f"""ob AS (SELECT event_type AS ds, user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS INT) AS day, least(27.0, avg(value) * 0.27) AS x FROM events GROUP BY 1, 2, 3),
+da AS (SELECT ds AS dataset, day, CAST(avg(x) AS DOUBLE) AS m, CAST(coalesce(stddev_samp(x), 0) AS DOUBLE) AS s FROM ob GROUP BY 1, 2),
+bo AS (SELECT dataset, min(m) AS m0, max(m) AS m1, min(s) AS s0, max(s) AS s1 FROM da GROUP BY 1),
+po AS (SELECT dataset, -1 AS run, day, m, s FROM da UNION ALL SELECT dataset, run, day, m0 + {chance("mean")} * (m1 - m0), s0 + {chance("std")} * (s1 - s0) FROM da JOIN bo USING (dataset) CROSS JOIN (SELECT CAST(unnest(range({runs})) AS INT) AS run)),
+pl AS (SELECT *, count(*) OVER (PARTITION BY dataset, run) AS n, row_number() OVER (PARTITION BY dataset, run ORDER BY round(m, 9), day) - 1 AS i FROM po),
+l0 AS (SELECT dataset, run, k, day, m, s, CAST(floor(i * k / n) AS INT) AS label, 0e0 AS square FROM pl CROSS JOIN (SELECT CAST(unnest(range({smallest}, {largest + 1})) AS INT) AS k) WHERE k <= n)"""
+    for i in range(rounds):
+        out += f""",
+c{i} AS (SELECT dataset, run, k, label, avg(m) AS cm, avg(s) AS cs FROM l{i} GROUP BY ALL),
+l{i + 1} AS (SELECT dataset, run, k, day, any_value(m) AS m, any_value(s) AS s, CAST(arg_min(label, (round(q, 9), label)) AS INT) AS label, arg_min(q, (round(q, 9), label)) AS square
+    FROM (SELECT p.dataset, p.run, p.k, p.day, p.m, p.s, c.label, (p.m - c.cm) * (p.m - c.cm) + (p.s - c.cs) * (p.s - c.cs) AS q FROM l0 p JOIN c{i} c ON p.dataset = c.dataset AND p.run = c.run AND p.k = c.k) GROUP BY dataset, run, k, day)"""
+    return out + f", ct AS (SELECT dataset, run, k, sum(square) AS inertia FROM l{rounds} GROUP BY ALL)"
+
+
+_BEND = """, sc AS (SELECT dataset, k, (k - min(k) OVER w) / nullif(CAST(max(k) OVER w - min(k) OVER w AS DOUBLE), 0) AS x, (inertia - min(inertia) OVER w) / nullif(max(inertia) OVER w - min(inertia) OVER w, 0) AS y FROM ct WINDOW w AS (PARTITION BY dataset)),
+be AS (SELECT dataset, CAST(coalesce(arg_max(k, (round(abs(x + y - 1), 9), -k)) FILTER (y IS NOT NULL), 2) AS INT) AS k FROM sc GROUP BY dataset)"""
+_WIDTHS = """, pr AS (SELECT a.dataset, a.k, a.day, a.label, b.label AS l, sum(sqrt((a.m - b.m) * (a.m - b.m) + (a.s - b.s) * (a.s - b.s))) AS s, count(*) AS n FROM l8 a JOIN l8 b ON a.dataset = b.dataset AND a.k = b.k GROUP BY ALL),
+wi AS (SELECT dataset, k, day, max(n) FILTER (l = label) AS own, max(s / nullif(n - 1, 0)) FILTER (l = label) AS a, min(s / n) FILTER (l <> label) AS b FROM pr GROUP BY ALL),
+si AS (SELECT dataset, k, coalesce(avg(CASE WHEN own = 1 THEN 0e0 ELSE coalesce((b - coalesce(a, 0)) / nullif(greatest(coalesce(a, 0), b), 0), 0) END) FILTER (b IS NOT NULL), -1) AS silhouette FROM wi GROUP BY ALL)"""
+
+
 def oracle(ev: str, orders: str, li: str, mom: str, eff: str, seg: str, dom: str, fit: str, r: Callable[..., str]) -> dict[str, str]:
     """SQL from the common table expressions of the other queries."""
     rg = li + ", og AS (SELECT r_name AS series_id, day, ob.x FROM ob JOIN supplier ON s_suppkey = p JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey), sg AS (SELECT series_id, day AS t, stddev_samp(x) / nullif(avg(x), 0) AS x FROM og GROUP BY ALL HAVING count(*) > 1)"
@@ -234,6 +265,9 @@ def oracle(ev: str, orders: str, li: str, mom: str, eff: str, seg: str, dom: str
         "t_test": f"WITH {eff}, t0 AS (SELECT change_point, feature, n1, n2, n1 + n2 - 2 AS df, (pre_mean - post_mean) / nullif(sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1e0 / n1 + 1e0 / n2)), 0) AS t, pre_mean = post_mean AS same FROM e0 WHERE n1 >= 2 AND n2 >= 2), "
         "s0 AS (SELECT *, exp(lgamma((df + 1) / 2e0) - lgamma(df / 2e0)) / sqrt(df * pi()) AS k, list_sum(list_transform(range(0, 4001), lambda i: CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t * i / 4000, 2) / df, -(df + 1) / 2e0))) AS f FROM t0) "
         "SELECT change_point, feature, n1, n2, round(t, 9) AS t, CAST(df AS BIGINT) AS df, round(CASE WHEN t IS NULL THEN CAST(same AS INT) ELSE greatest(0, 1 - 2 * k * f * abs(t) / 12000) END, 9) AS p_value FROM s0",
+        "elbow_select": f"WITH {_fits_sql(2, 6, 8, 0)}{_BEND} SELECT dataset, k FROM be",
+        "cluster_numbers": f"WITH {_fits_sql(2, 6, 8, 0)}{_BEND}{_WIDTHS} SELECT dataset, ct.k, {r('inertia', 'silhouette')}, ct.k = be.k AS elbow, row_number() OVER (PARTITION BY dataset ORDER BY round(silhouette, 9) DESC, ct.k) = 1 AS chosen FROM ct JOIN si USING (dataset, k) JOIN be USING (dataset)",
+        "gap_statistic": f"WITH {_fits_sql(1, 6, 8, 4)}, g AS (SELECT dataset, k, max(inertia) FILTER (run < 0) AS inertia, avg(ln(greatest(inertia, 1e-10))) FILTER (run >= 0) AS expected, stddev_pop(ln(greatest(inertia, 1e-10))) FILTER (run >= 0) AS spread FROM ct GROUP BY ALL), h AS (SELECT *, expected - ln(greatest(inertia, 1e-10)) AS gap FROM g) SELECT dataset, k, {r('inertia', 'expected', 'spread', 'gap')}, row_number() OVER (PARTITION BY dataset ORDER BY round(gap, 9) DESC, k) = 1 AS chosen FROM h",
         "linkage_heights": """WITH RECURSIVE ob AS (SELECT event_type AS ds, user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS INT) AS day, least(27.0, avg(value) * 0.27) AS x FROM events GROUP BY 1, 2, 3),
 f AS (SELECT ds, day, avg(x) AS mean, coalesce(stddev_samp(x), 0) AS std FROM ob GROUP BY ds, day),
 z AS (SELECT ds, row_number() OVER (PARTITION BY ds ORDER BY day) - 1 AS i, count(*) OVER p - 1 AS last, (mean - avg(mean) OVER p) / coalesce(nullif(stddev_pop(mean) OVER p, 0), 1) AS a, (std - avg(std) OVER p) / coalesce(nullif(stddev_pop(std) OVER p, 0), 1) AS b FROM f WINDOW p AS (PARTITION BY ds)),
