@@ -146,9 +146,10 @@ def predictive_hazard(signals: DataFrame, low: float = 30.0, high: float = 300.0
     return grid.unionByName(other.withColumns({"score": F.lit(None).cast("double"), "chosen": F.lit(True)}))
 
 
-def run_length_posterior(signals: DataFrame, hazards: DataFrame, likelihood: str = "student_t", prior: tuple[float, float] | None = None) -> DataFrame:
+def run_length_posterior(signals: DataFrame, hazards: DataFrame, likelihood: str = "student_t", prior: tuple[float, float] | None = None, whole: bool = False) -> DataFrame:
     """(series_id, t, p): the probability that a run begins at position t (from 0; 0 at t = 0), with a prior (mean, variance)
     that is given or from the whole series. Series of fewer than five values have no rows."""
+    # with `whole`, p is the array of all run lengths' probabilities, [1] at t = 0
     if likelihood not in ("student_t", "gaussian"):
         raise ValueError(f"unknown likelihood {likelihood}")
     a = arrays(signals).where("n >= 5").join(hazards.select("series_id", "hazard_lambda"), "series_id")
@@ -180,18 +181,28 @@ def run_length_posterior(signals: DataFrame, hazards: DataFrame, likelihood: str
         new = run(F.log(h) + predictive(v, m0, v0, one), m0, v0, one)
         runs = F.slice(F.concat(F.array(new), F.transform(s["r"], longer)), 1, LONGEST_RUN)
 
+        def told(rs: Column, k: Column) -> Column:
+            return F.transform(rs, lambda r: F.exp(r["l"] - k)) if whole else F.exp(rs[0]["l"] - k)
+
         def normal(rs: Column) -> Column:
             top = F.array_max(F.transform(rs, lambda r: r["l"]))
             z = _let(top, lambda t: t + F.log(F.aggregate(rs, F.lit(0.0), lambda u, r: u + F.exp(r["l"] - t))))
-            return _let(z, lambda k: F.struct(F.transform(rs, lambda r: run(r["l"] - k, r["m"], r["v"], r["c"])).alias("r"), F.concat(s["p"], F.array(F.exp(rs[0]["l"] - k))).alias("p"), m0.alias("m0"), v0.alias("v0"), h.alias("h")))
+            return _let(z, lambda k: F.struct(F.transform(rs, lambda r: run(r["l"] - k, r["m"], r["v"], r["c"])).alias("r"), F.concat(s["p"], F.array(told(rs, k))).alias("p"), m0.alias("m0"), v0.alias("v0"), h.alias("h")))
 
         return _let(runs, normal)
 
-    start = F.struct(F.array(run(F.lit(0.0), F.col("m0"), F.col("v0"), one)).alias("r"), F.array(F.lit(0.0)).alias("p"), F.col("m0"), F.col("v0"), F.col("h"))
+    start = F.struct(F.array(run(F.lit(0.0), F.col("m0"), F.col("v0"), one)).alias("r"), F.array(F.array(one) if whole else F.lit(0.0)).alias("p"), F.col("m0"), F.col("v0"), F.col("h"))
     done = a.withColumn("s", F.aggregate(F.slice(F.col("x"), F.lit(2), F.col("n") - 1), start, step))
     return done.select("series_id", F.posexplode("s.p").alias("t", "p"))
 
 
+def posterior_map(signals: DataFrame, likelihood: str = "student_t", strategy: str = "variance", least: float = 0.0) -> DataFrame:
+    """(series_id, t, run_length, p): rows of a heat map, the probability of each run length at each position; those of p at or
+    below `least` are left out. For one t all p add up to 1."""
+    cells = run_length_posterior(signals, hazard(signals, strategy), likelihood, whole=True)
+    return cells.select("series_id", "t", F.posexplode("p").alias("run_length", "p")).where(F.col("p") > least)
+
+
 def smooth(posterior: DataFrame, sigma: float = 3.0) -> DataFrame:
     """(series_id, t, p): a Gaussian over neighbours, the ends repeated beyond themselves."""
     radius = int(4 * sigma + 0.5)
@@ -218,10 +229,10 @@ def persistent_peaks(posterior: DataFrame, k: float = 1.5, persistence: int = 5)
     return runs.where(F.col("run") >= persistence).select("series_id", "top.t", "top.p", "threshold", "run")
 
 
-def bocpd(signals: DataFrame, likelihood: str = "student_t", strategy: str = "variance", sigma: float = 3.0) -> DataFrame:
+def bocpd(signals: DataFrame, likelihood: str = "student_t", strategy: str = "variance", sigma: float = 3.0, persistence: int = 5) -> DataFrame:
     """(series_id, cp, posterior, threshold, hazard_lambda, n, position) of every series' persistent peaks."""
     h = hazard(signals, strategy)
-    found = persistent_peaks(smooth(run_length_posterior(signals, h, likelihood), sigma))
+    found = persistent_peaks(smooth(run_length_posterior(signals, h, likelihood), sigma), persistence=persistence)
     return found.join(h, "series_id").select("series_id", F.col("t").cast("int").alias("cp"), F.col("p").alias("posterior"), "threshold", "hazard_lambda", "n", (F.col("t") / F.col("n")).alias("position"))
 
 

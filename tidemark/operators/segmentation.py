@@ -174,7 +174,7 @@ def pelt(signals: DataFrame, cost: str = "l2", penalties: list[float] | None = N
     return best.select("series_id", "n", "best.penalty", "best.bic", "best.cps")
 
 
-def detected(signals: DataFrame, costs: tuple[str, ...] = COSTS, likelihoods: tuple[str, ...] = ("student_t", "gaussian"), strategy: str = "variance") -> DataFrame:
+def detected(signals: DataFrame, costs: tuple[str, ...] = COSTS, likelihoods: tuple[str, ...] = ("student_t", "gaussian"), strategy: str = "variance", penalties: list[float] | None = None, min_size: int = 5, alpha: float = 0.05, least_effect: float = 0.3, smoothing: float = 3.0, persistence: int = 5) -> DataFrame:
     """(series_id, model_id, parameter, cp, position, p_value, cohens_d, significant, reason, posterior): the change points of
     every series under every model, pelt_<cost> and bocpd_<likelihood>. Segments' change points are tested, corrected within
     their series and model; the run lengths' count as significant."""
@@ -183,19 +183,19 @@ def detected(signals: DataFrame, costs: tuple[str, ...] = COSTS, likelihoods: tu
         model = lambda c: F.struct("series_id", F.lit(f"pelt_{c}").alias("model_id")).alias("series_id")
         found = None
         for c in costs:
-            one = pelt(signals, c).select(model(c), "n", "penalty", F.explode("cps").alias("cp"))
+            one = pelt(signals, c, penalties, min_size).select(model(c), "n", "penalty", F.explode("cps").alias("cp"))
             found = one if found is None else found.unionAll(one)
         found = stored(found, "change-points")
         names = F.explode(F.array(*(F.lit(f"pelt_{c}") for c in costs))).alias("model_id")
         each = signals.where("x IS NOT NULL").select("series_id", "t", "x", names).select(F.struct("series_id", "model_id").alias("series_id"), "t", "x")
-        told = detect.validate(found.select("series_id", "n", "cp"), each).join(found.select("series_id", "cp", "penalty"), ["series_id", "cp"])
+        told = detect.validate(found.select("series_id", "n", "cp"), each, alpha=alpha, least_effect=least_effect).join(found.select("series_id", "cp", "penalty"), ["series_id", "cp"])
         out = told.select(
             "series_id.series_id", "series_id.model_id", F.col("penalty").alias("parameter"), "cp", (F.col("cp") / F.col("n")).alias("position"), F.col("p_value"), "cohens_d", "significant", "reason",
             F.lit(None).cast("double").alias("posterior"),
         )
     for name in likelihoods:
         none = F.lit(None)
-        b = detect.bocpd(signals, name, strategy).select(
+        b = detect.bocpd(signals, name, strategy, smoothing, persistence).select(
             "series_id", F.lit(f"bocpd_{name}").alias("model_id"), F.col("hazard_lambda").alias("parameter"), "cp", "position", none.cast("double").alias("p_value"), none.cast("double").alias("cohens_d"),
             F.lit(True).alias("significant"), none.cast("string").alias("reason"), "posterior",
         )

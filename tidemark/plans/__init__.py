@@ -168,6 +168,11 @@ ORACLE: dict[str, str] = {
     "contribution_entropy": f"WITH {_DOM}, g AS (SELECT change_point, sum(CASE WHEN contribution > 0 THEN -contribution / 100 * ln(contribution / 100) ELSE 0 END) AS entropy, count(*) AS k FROM dm GROUP BY change_point) SELECT change_point, round(entropy, 9) AS entropy, round(entropy / ln(k), 9) AS normalized FROM g",
 }
 
+ORACLE["autocorrelation_report"] = (
+    f"WITH {_STEP}, ra AS ({ORACLE['weighted_autocorr']}), c AS (SELECT p FROM ob GROUP BY p HAVING count(*) >= 3), ga AS (SELECT nd - day AS gap FROM st SEMI JOIN c USING (p) WHERE nd IS NOT NULL) "
+    "SELECT round(avg(r), 9) AS mean, round(stddev_pop(r), 9) AS std, min(r) AS least, max(r) AS greatest, count(r) AS n_patients, (SELECT CAST(quantile_cont(gap, 0.5) AS DOUBLE) FROM ga) AS median_gap, (SELECT round(avg(CASE WHEN gap <= 14 THEN 1e0 ELSE 0 END), 9) FROM ga) AS share_near FROM ra"
+)
+
 
 def _checks_sql() -> str:
     """The values of the checks from the SQL of their parts, and each check's bounds."""

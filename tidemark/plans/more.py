@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import compare, daily, detect, inference, labels, linkage, models, optimal, plotdata, posthoc, sequence, trajectories
+from ..settings import Detection
 from ..sources import obs_events, obs_lineitem, obs_orders
 
 CPS = [8, 15, 22]
@@ -130,6 +131,12 @@ def _elbow(s: SparkSession, d: str) -> DataFrame:
     return optimal.elbows(optimal.inertias(optimal.fits(_days_by_type(s, d), ["mean", "std"], 2)))
 
 
+def _run(s: SparkSession, d: str) -> DataFrame:
+    from . import runs
+
+    return runs.summary(runs.detection(signals(s, d), Detection(costs=("l2",), likelihoods=("student_t",)))["detected"])
+
+
 def _temporal(s: SparkSession, d: str) -> DataFrame:
     return linkage.temporal_clusters(_days_by_type(s, d), ["mean", "std"]).withColumnRenamed("dataset", "series_id")
 
@@ -190,6 +197,9 @@ RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "temporal_cluster": _temporal,
     "linkage_heights": _heights,
     "elbow_select": _elbow,
+    "posterior_map": lambda s, d: detect.posterior_map(signals(s, d), least=0.001),
+    "detection_run": _run,
+    "autocorrelation_report": lambda s, d: trajectories.autocorrelation_report(obs_orders(s, d)),
     "cluster_numbers": lambda s, d: optimal.choose(_days_by_type(s, d), ["mean", "std"]),
     "gap_statistic": lambda s, d: optimal.gap(_days_by_type(s, d), ["mean", "std"]),
     "online_run_lengths": _online_runs,

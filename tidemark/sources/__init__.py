@@ -27,6 +27,28 @@ def parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("patient_id").cast("int"), F.col("day").cast("int"), F.nanvl(F.col("score").cast("double"), F.lit(None).cast("double")).alias("score")).where("score IS NOT NULL")
 
 
+def detection_results(spark: SparkSession, path: str) -> DataFrame:
+    """(model_id, cp, position, p_value, cohens_d, significant, posterior) from stored results, a JSON document for each model: a
+    row for each change point. A point without a test has nulls; a model without points has no rows; a document without a
+    model_id is an error. Points that are stored as shares become whole indices, rounded to the nearest; without tests the
+    model's own word and mean posterior stand for all its points."""
+    test = "change_point_index: int, normalized_position: double, p_value: double, p_value_corrected: double, cohens_d: double, significant_after_correction: boolean"
+    told = f"tests: map<string, struct<{test}>>, overall_significant: boolean, summary: struct<mean_posterior_at_cp: double>"
+    schema = f"model_id string, signal_length long, change_points array<double>, validation struct<{told}>"
+    docs = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("model_id", F.coalesce("model_id", F.raise_error(F.lit("stored results need a model_id"))))
+    v = F.col("validation")
+    whole = (F.when(v["tests"].isNull(), v["overall_significant"]).alias("all"), v["summary"]["mean_posterior_at_cp"].alias("posterior"))
+    at = docs.select("model_id", "signal_length", F.map_values(v["tests"]).alias("tests"), *whole, F.explode("change_points").alias("c"))
+    cp = F.when(F.col("c") == F.floor("c"), F.col("c")).otherwise(F.round(F.col("c") * F.col("signal_length"))).cast("int")
+    rows = at.withColumn("cp", cp)
+    rows = rows.withColumn("test", F.get(F.filter("tests", lambda t: t["change_point_index"] == F.col("cp")), F.lit(0)))
+    t = F.col("test")
+    return rows.select(
+        "model_id", "cp", F.coalesce(t["normalized_position"], F.col("cp") / F.col("signal_length")).alias("position"), F.coalesce(t["p_value_corrected"], t["p_value"]).alias("p_value"), t["cohens_d"].alias("cohens_d"),
+        F.coalesce(t["significant_after_correction"], "all").alias("significant"), "posterior",
+    )
+
+
 def metadata(spark: SparkSession, path: str) -> DataFrame:
     """A JSON sidecar as one row; pattern counts stay a map."""
     return spark.read.option("multiLine", True).schema(SIDECAR).json(path)
