@@ -1,6 +1,7 @@
 """Repeated ids, stored maps written again, clashing names, and a session without a checkpoint folder."""
 
 import os
+import random
 import subprocess
 import sys
 from pathlib import Path
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("tidemark.llm")
-from tidemark.llm import ann, langid, ngram_join, sharding  # noqa: E402
+from tidemark.llm import ann, langid, lm, ngram_join, sharding  # noqa: E402
 
 
 def test_ids_with_several_vectors_count_by_the_nearest(spark):
@@ -57,3 +58,13 @@ assert materialize(s.range(3), "t").count() == 3
 """
     root = Path(__file__).resolve().parents[2]
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": str(root)}, check=True, timeout=120)
+
+
+def test_scores_by_rows(spark):
+    rng = random.Random(4)
+    texts = [None, "", " ", "one", "one two", "one two three", *(" ".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 60))) for _ in range(12))]
+    rows = [(i % 15 or None, t, "x", 1) for i, t in enumerate(texts + texts[-3:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, h int")
+    key = lambda r: (r["doc_id"] or 0, r["n_words"], round(r["log_score"], 9), -1 if r["mean_log_score"] is None else round(r["mean_log_score"], 9), r["n_triples"], r["n_pairs"])
+    want, got = (sorted(map(key, f(docs).collect())) for f in (lm.score, lm.score_by_rows))
+    assert got == want and lm.score_by_rows(docs.limit(0)).count() == 0

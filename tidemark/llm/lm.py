@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _chunks as C
+from ._shared import materialize
 from ._text import Words, buffers, gram_hashes, gram_mask
 
 ALPHA = 0.4
 WIDTH = 5
+SALTS = 4
 
 
 class _Grams:
@@ -114,4 +116,51 @@ def score(documents: DataFrame, alpha: float = ALPHA) -> DataFrame:
     return C.answer(docs, C.ask(docs, second, C.ask(docs, first)), finish, schema, empty)
 
 
+def score_by_rows(documents: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """The same scores with a row for each occurrence: count tables by hash, joined to the exploded n-grams, summed by document.
+
+    The plainest form, and in exchanges the costliest: every occurrence travels three times (README has figures). N-grams
+    are told apart by 64-bit hashes. A frequent n-gram's occurrences are spread over SALTS rows of its count."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = documents.select(F.col("doc_id"), words.alias("ws")).withColumn("row", F.monotonically_increasing_id())
+    docs = materialize(docs.select("doc_id", "row", F.transform("ws", lambda w: F.xxhash64(w)).alias("h")), "word-hashes")
+    back = lambda i, k: F.when(i >= k, F.get("h", i - k))
+    at = F.transform("h", lambda h, i: F.struct(h.alias("w1"), back(i, 1).alias("v1"), back(i, 2).alias("u1")))
+    rows = docs.select("row", F.explode(at).alias("g")).select("row", "g.*")
+    pair = lambda a, b: F.when(F.col(a).isNotNull(), F.xxhash64(F.lit(2), a, b))
+    grams = rows.select("row", "w1", "v1", pair("v1", "w1").alias("w2"), pair("u1", "v1").alias("v2"), F.when(F.col("u1").isNotNull(), F.xxhash64(F.lit(3), "u1", "v1", "w1")).alias("w3"))
+    one = grams.groupBy("w1").agg(F.count("*").alias("n"))
+    total = one.agg(F.sum("n")).first()[0] or 1
+    two = grams.where("w2 IS NOT NULL").groupBy("w2").agg(F.count("*").alias("n"), F.any_value("v1").alias("v1"))
+    # (w2, n, s): what follows from the pair's and its first word's counts; pairs that occur once have no row
+    pairs = two.where("n > 1").join(one.select(F.col("w1").alias("v1"), F.col("n").alias("nv")), "v1").select("w2", "n", F.log((F.col("n") - 1) / (F.col("nv") - 1)).alias("s"))
+    pairs = materialize(pairs, "pairs")
+    three = grams.where("w3 IS NOT NULL").groupBy("w3").agg(F.count("*").alias("n"), F.any_value("v2").alias("v2")).where("n > 1")
+    triples = three.join(pairs.select(F.col("w2").alias("v2"), F.col("n").alias("np")), "v2").select("w3", F.log((F.col("n") - 1) / (F.col("np") - 1)).alias("s"))
+
+    def joined(left: DataFrame, table: DataFrame, key: str, name: str) -> DataFrame:
+        """The table's s for each row as `name`; rows and copies of the table are salted, so no key's rows meet in one task."""
+        salt = F.pmod(F.hash("row"), F.lit(SALTS))
+        many = table.select(F.col(key), F.col("s").alias(name), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        return left.withColumn("salt", salt).join(many, [key, "salt"], "left").drop("salt", key)
+
+    kind = F.when(F.col("w3").isNotNull(), 2).when(F.col("w2").isNotNull(), 1).otherwise(0).cast("byte")
+    occurrences = grams.select("row", "w1", "w2", "w3", kind.alias("kind"))
+    occurrences = joined(occurrences, one.select("w1", F.log(F.col("n") / F.lit(float(total))).alias("s")), "w1", "s1")
+    occurrences = joined(joined(occurrences, pairs, "w2", "s2"), triples, "w3", "s3")
+    return docs.select("doc_id", "row", F.size("h").alias("n_words")).join(_summed(occurrences, alpha), "row", "left").select(
+        "doc_id", F.col("n_words").cast("long"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"), (F.col("log_score") / F.nullif(F.col("n_words"), F.lit(0))).alias("mean_log_score"),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_triples", "n_pairs")),
+    )
+
+
+def _summed(occurrences: DataFrame, alpha: float) -> DataFrame:
+    """Sums by document; `kind` of a word is how many words before it there are, two at most."""
+    low = F.log(F.lit(alpha))
+    second = F.when(F.col("kind") == 0, F.col("s1")).otherwise(F.coalesce("s2", low + F.col("s1")))
+    s = F.when(F.col("kind") < 2, second).otherwise(F.coalesce("s3", low + second))
+    by_pair = F.col("s3").isNull() & F.col("s2").isNotNull()
+    return occurrences.groupBy("row").agg(F.sum(s).alias("log_score"), F.count("s3").alias("n_triples"), F.count_if(by_pair).alias("n_pairs"))
+
+
 NAMES = ["doc_id", "n_words", "log_score", "mean_log_score", "n_triples", "n_pairs"]
