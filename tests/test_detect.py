@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import changepoint, compare, daily, detect, models
+from tidemark.operators import changepoint, compare, daily, detect, models, optimal
 
 
 @pytest.fixture(scope="module")
@@ -75,9 +75,24 @@ def test_published_clusters_and_composite(spark, visits):
     stated = spark.createDataFrame([("gamma", shape["days"], shape["patients"], shape["missingness"])], "dataset string, total_days long, n_patients long, missingness_rate double")
     got = compare.rank_datasets(obs, labels.withColumn("dataset", F.lit("gamma")), stated).first()
     assert got["temporal_stability"] == pytest.approx(87.0879, abs=1e-4) and got["composite_score"] == pytest.approx(91.3645, abs=1e-4)
+    again = optimal.two_clusters(daily.daily_features(obs, ("dataset",)), ["mean", "std", "cv", "n_obs", "pct_severe"])
+    assert {r["day"]: r["label"] for r in again.collect()} == {r["day"]: r["label"] for r in labels.collect()}
+    got = compare.rank_datasets(obs, again, stated).first()
+    assert got["composite_score"] == pytest.approx(91.3645, abs=1e-4)
     labels.unpersist()
 
 
+def test_two_clusters_by_hand(spark):
+    """The cheapest split of one feature is among the starts' ends; datasets of one day, of equal days and with nulls."""
+    low_high = [1.0, 1.2, 9.0, 1.1, 9.1, 9.2, 9.3, 1.0, 9.5, 1.3]
+    rows = [("a", d, m, 2 * m) for d, m in enumerate(low_high)] + [("one", 1, 3.0, 3.0)] + [("same", d, 4.0, 1.0) for d in range(5)] + [("a", 99, None, 1.0), ("none", 1, None, None)]
+    got = optimal.two_clusters(spark.createDataFrame(rows, "dataset string, day int, level double, other double"), ["level", "other"]).collect()
+    assert {(r["dataset"], r["day"]): r["label"] for r in got} == {("a", d): int(m > 5) for d, m in enumerate(low_high)} | {("one", 1): 0} | {("same", d): 0 for d in range(5)}
+    assert {r["mean"] for r in got if r["dataset"] == "same"} == {4.0}
+    empty = spark.createDataFrame([], "dataset string, day int, level double, other double")
+    assert optimal.two_clusters(empty, ["level", "other"]).count() == 0
+
+
 def test_hazard_strategies(spark):
     rng = np.random.default_rng(0)
     for n in (8, 12, 200, 900):

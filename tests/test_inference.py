@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import inference
+from tidemark.operators import inference, posthoc
 
 PARTS = "change_point int, feature string, day int, value double, post boolean"
 
@@ -84,3 +84,29 @@ def test_normality(spark):
     assert all(got[k]["w"] is None and got[k]["p_value"] is None for k in ("flat", "two", "large")) and "null" not in got
     assert got["three"]["w"] == pytest.approx(1.0) and got["three"]["p_value"] == pytest.approx(1.0) and 0.5 < got["four"]["p_value"] < 1
     assert got["normal"]["p_value"] > 0.01 and got["skewed"]["p_value"] < 1e-10
+
+
+def test_mahalanobis_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    names, rows, want = ["a", "b", "c", "flat"], [], {}
+    for cp, (n0, n1) in {8: (5, 5), 15: (4, 7), 22: (1, 6), 30: (3, 3)}.items():
+        x = rng.normal(size=(n0 + n1, 4)) @ rng.normal(size=(4, 4)) + 3
+        x[:, 3] = 2.0
+        if cp == 30:  # nothing moves
+            x[n0:] = x[:n0]
+        rows += [(cp, f, d, float(x[d, i]), d >= n0) for d in range(n0 + n1) for i, f in enumerate(names)]
+        rows.append((cp, "a", 100, 50.0, True))  # a day that lacks features
+        rows.append((cp, "other", 1, 9.0, False))
+        if n0 < 2:
+            continue
+        pre, post = x[:n0], x[n0:]
+        s = ((n0 - 1) * np.cov(pre.T) + (n1 - 1) * np.cov(post.T)) / (n0 + n1 - 2) + 1e-6 * np.eye(4)
+        z = post.mean(0) - pre.mean(0)
+        part = z**2 / np.diag(s)
+        want |= {(cp, f): (np.sqrt(z @ np.linalg.solve(s, z)), part[i] / part.sum() * 100 if part.sum() > 0 else 0.0) for i, f in enumerate(names)}
+    df = spark.createDataFrame(rows, PARTS)
+    got = {(r["change_point"], r["feature"]): (r["distance"], r["share"]) for r in posthoc.mahalanobis(df, names).collect()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=1e-6, abs=1e-6), k
+    assert posthoc.mahalanobis(df.limit(0), names).count() == 0

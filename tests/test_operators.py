@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from tidemark import settings as settings_of
 from tidemark.operators import changepoint as cp
-from tidemark.operators import daily, models, posthoc, trajectories
+from tidemark.operators import daily, models, posthoc, selection, trajectories
 
 OBS = "patient_id int, day int, score double"
 
@@ -116,6 +118,12 @@ def test_scores_of_models(spark):
     stable[1], stable[2] = (1 + (1 + 2 * far) / 3) / 2, (1 + (1 + 2 * far) / 3) / 2
     want = 0.3 * scaled(n) + 0.3 * scaled(d) + 0.2 * scaled(stable) + 0.2 * scaled(mass) + 0.25 * stable
     assert [got[m]["score"] for m in ("pelt_a", "pelt_b", "bocpd_x")] == pytest.approx(want.tolist())
+    alone = {r["model_id"]: r for r in models.score_models(detected, weights={"mass": 1.0}).collect()}
+    again = models.normalize(models.score_models(detected).withColumn("scaled", F.col("mass")), "scaled").collect()
+    assert {k: r["score"] for k, r in alone.items()} == pytest.approx({r["model_id"]: 0.25 * r["stability"] + r["scaled"] for r in again})
+    assert selection.select(detected, weights=settings_of.METRICS).first() == selection.select(detected).first()
+    with pytest.raises(ValueError):
+        selection.select(detected, weights={"speed": 1.0})
     assert [r["score"] for r in models.score_models(detected.where("model_id = 'pelt_b'")).collect()] == [1.0]
     assert models.score_models(detected.where("model_id = 'pelt_c'")).count() == 0
 

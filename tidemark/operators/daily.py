@@ -23,11 +23,11 @@ def check_signal(n: int, std: float | None) -> None:
         raise ValueError("signal has near-zero variance")
 
 
-def daily_features(obs: DataFrame) -> DataFrame:
-    """Features for clustering days; what is undefined is 0."""
-    g = obs.groupBy("day").agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"), F.count("score").alias("n_obs"), F.avg((F.col("score") >= SEVERE).cast("double")).alias("pct_severe"))
+def daily_features(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Features for clustering days, also by other columns; what is undefined is 0."""
+    g = obs.groupBy(*by, "day").agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"), F.count("score").alias("n_obs"), F.avg((F.col("score") >= SEVERE).cast("double")).alias("pct_severe"))
     cv = F.greatest(F.lit(0.0), F.least(F.lit(5.0), F.col("std") / (F.col("mean") + EPS)))
-    return g.withColumn("cv", cv).fillna(0.0).select("day", "mean", "std", "cv", "n_obs", "pct_severe")
+    return g.withColumn("cv", cv).fillna(0.0, ["mean", "std", "cv", "pct_severe"]).select(*by, "day", "mean", "std", "cv", "n_obs", "pct_severe")
 
 
 def daily_moments(obs: DataFrame) -> DataFrame:

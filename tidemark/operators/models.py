@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+WEIGHTS = {"n_significant": 0.30, "effect": 0.30, "stability": 0.20, "mass": 0.20}
+
+
 def _by_series(df: DataFrame) -> tuple[DataFrame, bool]:
     """With a series_id, and whether it had one: a table without is one series."""
     return (df, True) if "series_id" in df.columns else (df.withColumn("series_id", F.lit("")), False)
@@ -25,9 +28,11 @@ def agreement(points: DataFrame, tolerance: float = 0.02) -> DataFrame:
     return out if had else out.drop("series_id")
 
 
-def score_models(detected: DataFrame, tolerance: float = 0.02) -> DataFrame:
+def score_models(detected: DataFrame, tolerance: float = 0.02, weights: dict[str, float] | None = None) -> DataFrame:
     """(series_id, model_id, n_cp, n_significant, effect, mass, stability, score) of each series' models that have a significant
-    change point: metrics normalised over these models and weighted, and a quarter of the stability; one model has score 1."""
+    change point: metrics normalised over these models and weighted, and a quarter of the stability; one model has score 1.
+    A metric that `weights` (by default WEIGHTS) don't name counts nothing."""
+    weights = WEIGHTS if weights is None else weights
     detected, had = _by_series(detected)
     key, tested = ["series_id", "model_id"], F.col("p_value").isNotNull()
     g = detected.groupBy(*key).agg(F.count("*").alias("n_cp"), F.count_if("significant").alias("n_valid"), F.count_if(tested & F.col("significant")).alias("n_significant"), F.coalesce(F.avg(F.when(tested, F.col("cohens_d"))), F.lit(0.0)).alias("effect"), F.coalesce(F.avg("posterior"), F.lit(0.0)).alias("mass"))
@@ -35,7 +40,7 @@ def score_models(detected: DataFrame, tolerance: float = 0.02) -> DataFrame:
     points = detected.join(valid.select(*key), key, "left_semi").select(*key, F.col("position").alias("cp"))
     out = valid.join(agreement(points, tolerance).select(*key, "stability"), key, "left").withColumn("stability", F.coalesce("stability", F.lit(0.0)))
     total = 0.25 * F.col("stability")
-    for metric, weight in (("n_significant", 0.30), ("effect", 0.30), ("stability", 0.20), ("mass", 0.20)):
+    for metric, weight in weights.items():
         out = normalize(out.withColumn(f"{metric}_scaled", F.col(metric).cast("double")), f"{metric}_scaled")
         total = total + weight * F.col(f"{metric}_scaled")
     score = F.when(F.count("*").over(Window.partitionBy("series_id")) == 1, 1.0).otherwise(total)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .clusters import silhouette
 
 LARGEST, ROUNDS, RUNS = 6, 8, 4
+STARTS, SETTLED = 9, 12
 FIT = ["dataset", "run", "k"]
 
 
@@ -40,6 +41,29 @@ def fits(points: DataFrame, features: list[str], smallest: int = 1, largest: int
     return at
 
 
+def two_clusters(points: DataFrame, features: list[str], starts: int = STARTS, rounds: int = SETTLED) -> DataFrame:
+    """(dataset, day, mean, label): k-means with two clusters, the cheapest of several starts; label 0 is the cluster of the lower
+    mean of the first feature, `mean` that feature.
+
+    Start j cuts the days along the first feature after their j-th share of `starts` + 1 equal shares. The days of a dataset
+    are one window, so all rounds of all starts need a single exchange of the table of days. Ties go to label 0 and to the
+    smaller start. Rows with a null feature take no part; a dataset whose days are all equal, or a single one, has label 0."""
+    own, fit = Window.partitionBy("dataset"), Window.partitionBy("dataset", "run")
+    base = points.select("dataset", "day", *(F.col(f).cast("double").alias(f) for f in features)).dropna(subset=features)
+    placed = base.withColumns({"__n": F.count("*").over(own), "__i": F.row_number().over(own.orderBy(F.round(features[0], 9), "day")) - 1})
+    at = placed.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(starts)))).withColumn("label", F.expr(f"CAST(__i * {starts + 1} >= __n * run AS INT)"))
+    square = [reduce(lambda a, b: a + b, ((F.col(f) - F.col(f"__{side}_{f}")) * (F.col(f) - F.col(f"__{side}_{f}")) for f in features)) for side in (0, 1)]
+    for _ in range(rounds):
+        at = at.withColumns({f"__{side}_{f}": F.avg(F.when(F.col("label") == side, F.col(f))).over(fit) for side in (0, 1) for f in features})
+        # a cluster without days has no mean, and no day goes to it
+        at = at.withColumns({"__a": square[0], "__b": square[1]}).withColumn("label", F.coalesce((F.round("__b", 9) < F.round("__a", 9)).cast("int"), F.col("__a").isNull().cast("int")))
+    at = at.withColumn("__cost", F.sum(F.when(F.col("label") == 1, F.col("__b")).otherwise(F.col("__a"))).over(fit))
+    best = at.withColumn("__best", F.min(F.struct(F.round("__cost", 6), "run")).over(own)["run"]).where("run = __best")
+    best = best.withColumn("__mean", F.avg(features[0]).over(Window.partitionBy("dataset", "label")))
+    label = F.dense_rank().over(own.orderBy(F.round("__mean", 9), F.col("label"))) - 1
+    return best.select("dataset", "day", F.col(features[0]).alias("mean"), label.alias("label"))
+
+
 def inertias(fitted: DataFrame) -> DataFrame:
     """(dataset, run, k, inertia): the squared distances from the centres of the last round."""
     return fitted.groupBy(*FIT).agg(F.sum("square").alias("inertia"))

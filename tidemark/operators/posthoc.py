@@ -88,29 +88,31 @@ def entropy(contributions: DataFrame) -> DataFrame:
     return g.select("change_point", "entropy", F.coalesce(F.col("entropy") / F.nullif(F.ln("k"), F.lit(0.0)), F.lit(0.0)).alias("normalized"))
 
 
-def mahalanobis(parts: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """Distance between the means before and after, under the pooled covariance plus a small ridge."""
-    import numpy as np
-    import pandas as pd
+def mahalanobis(parts: DataFrame, features: list[str] | None = None, ridge: float = 1e-6) -> DataFrame:
+    """(change_point, distance, feature, share): the distance between the means before and after under the pooled covariance plus
+    a small ridge, and each feature's share of the squared differences over their variances (0 where nothing moved).
 
+    The covariances are aggregates, and the system is solved by elimination over columns: one row a change point, its size the
+    number of features squared. Days that lack a feature are left out; a side of fewer than two days gives no row."""
     names = features or ["cv", "mean", "skewness", "pct_severe"]
-    wide = parts.where(F.col("feature").isin(names)).groupBy("change_point", "day", "post").pivot("feature", names).agg(F.first("value"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = [pdf.loc[pdf.post == side, names].to_numpy(float) for side in (False, True)]
-        if min(map(len, x)) < 2:
-            return pd.DataFrame({"change_point": [], "distance": [], "feature": [], "share": []})
-        delta = x[1].mean(axis=0) - x[0].mean(axis=0)
-        n1, n2 = map(len, x)
-        pooled = ((n1 - 1) * np.cov(x[0].T) + (n2 - 1) * np.cov(x[1].T)) / (n1 + n2 - 2) + 1e-6 * np.eye(len(names))
-        try:
-            distance = float(np.sqrt(delta @ np.linalg.solve(pooled, delta)))
-        except np.linalg.LinAlgError:
-            distance = float(np.sqrt(delta @ delta))
-        part = delta**2 / np.diag(pooled)
-        return pd.DataFrame({"change_point": pdf.change_point.iloc[0], "distance": distance, "feature": names, "share": part / part.sum() * 100 if part.sum() else part})
-
-    return wide.groupBy("change_point").applyInPandas(solve, "change_point int, distance double, feature string, share double")
+    k = range(len(names))
+    wide = parts.where(F.col("feature").isin(names)).groupBy("change_point", "day", "post").pivot("feature", names).agg(F.first("value")).dropna(subset=names)
+    on = lambda side, f: F.when(F.col("post") == side, F.col(f))
+    moments = [F.count_if(F.col("post") == side).alias(f"n{side:d}") for side in (False, True)]
+    moments += [(F.avg(on(True, f)) - F.avg(on(False, f))).alias(f"z{i}") for i, f in enumerate(names)]
+    moments += [F.covar_samp(on(side, names[i]), on(side, names[j])).alias(f"c{side:d}_{i}_{j}") for side in (False, True) for i in k for j in k if i <= j]
+    g = wide.groupBy("change_point").agg(*moments).where("n0 >= 2 AND n1 >= 2")
+    pooled = {f"s{i}_{j}": ((F.col("n0") - 1) * F.col(f"c0_{i}_{j}") + (F.col("n1") - 1) * F.col(f"c1_{i}_{j}")) / (F.col("n0") + F.col("n1") - 2) + (ridge if i == j else 0.0) for i in k for j in k if i <= j}
+    g = g.withColumns(pooled)
+    part = F.array(*(F.struct(F.lit(f).alias("feature"), (F.col(f"z{i}") * F.col(f"z{i}") / F.col(f"s{i}_{i}")).alias("part")) for i, f in enumerate(names)))
+    g = g.select("change_point", *(f"z{i}" for i in k), *pooled, part.alias("parts"))
+    for p in k[:-1]:  # the pivots stay above 0: the matrix is positive definite by its ridge
+        by = {i: F.col(f"s{p}_{i}") / F.col(f"s{p}_{p}") for i in k if i > p}
+        g = g.withColumns({f"z{i}": F.col(f"z{i}") - f * F.col(f"z{p}") for i, f in by.items()} | {f"s{i}_{j}": F.col(f"s{i}_{j}") - f * F.col(f"s{p}_{j}") for i, f in by.items() for j in k if i <= j})
+    distance = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") / F.col(f"s{i}_{i}") for i in k), F.lit(0.0)))
+    total = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["part"])
+    g = g.select("change_point", distance.alias("distance"), F.nullif(total, F.lit(0.0)).alias("total"), F.explode("parts").alias("p"))
+    return g.select("change_point", "distance", "p.feature", F.coalesce(F.col("p.part") / F.col("total") * 100, F.lit(0.0)).alias("share"))
 
 
 def tested(parts: DataFrame, alpha: float = 0.05) -> DataFrame:

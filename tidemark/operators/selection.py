@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .models import rank_models, score_models
 
 STRATEGIES = ("agreement_first",)
+#: Columns of the metrics by their names in the settings.
+COLUMNS = {"n_significant_cps": "n_significant", "mean_effect_size": "effect", "posterior_mass": "mass", "stability_score": "stability"}
 
 
 def canonical(detected: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
@@ -43,14 +45,18 @@ def normalized(df: DataFrame, column: str, method: str = "robust") -> DataFrame:
     return df.withColumn(column, F.when(high - low < 1e-9, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))))
 
 
-def select(detected: DataFrame, families: tuple[str, ...] = ("pelt", "bocpd"), model_ids: tuple[str, ...] | None = None, strategy: str = "agreement_first") -> DataFrame:
+def select(detected: DataFrame, families: tuple[str, ...] = ("pelt", "bocpd"), model_ids: tuple[str, ...] | None = None, strategy: str = "agreement_first", weights: dict[str, float] | None = None) -> DataFrame:
     """(series_id, best_model, ranking, n_candidates, n_valid, explanation), a row for each series: with no eligible or no valid
-    model the first two are null and empty, and the explanation says which; a single valid model has score 1."""
+    model the first two are null and empty, and the explanation says which; a single valid model has score 1. weights of metrics,
+    by their names in the settings; one that isn't named counts nothing."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
+    if weights is not None and (unknown := sorted(set(weights) - set(COLUMNS))):
+        raise ValueError(f"unknown metrics: {', '.join(unknown)}")
+    own = None if weights is None else {COLUMNS[k]: w for k, w in weights.items()}
     rows, key = eligible(canonical(detected), families, model_ids), ["series_id", "model_id"]
     n = rows.groupBy("series_id").agg(F.count_distinct("model_id").alias("n_candidates"))
-    ranked = rank_models(score_models(rows)).join(rows.select(*key, "family").distinct(), key)
+    ranked = rank_models(score_models(rows, weights=own)).join(rows.select(*key, "family").distinct(), key)
     places = F.transform(F.array_sort(F.collect_list(F.struct(F.col("position")))), lambda s: F.format_string("%.2f%%", s["position"] * 100))
     points = rows.groupBy(*key).agg(F.slice(places, 1, 5).alias("places"))
     why = F.when(F.col("family") == "pelt", F.format_string("effect size %.2f, %d significant change points", F.col("effect"), F.col("n_significant"))).otherwise(F.format_string("posterior mass %.2f", F.col("mass")))

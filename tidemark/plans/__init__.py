@@ -91,7 +91,7 @@ _RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bh_correction": _bh,
     "dominant_features": lambda s, d: posthoc.dominant(posthoc.effects(_parts(s, d))),
     "contribution_entropy": lambda s, d: posthoc.entropy(posthoc.dominant(posthoc.effects(_parts(s, d)))),
-    "mahalanobis": lambda s, d: posthoc.mahalanobis(_parts(s, d)),
+    "mahalanobis": lambda s, d: rounded(posthoc.mahalanobis(_parts(s, d)), 6),
     "pelt_l1": _pelt("l1"),
     "tuning_curve": _curve,
     "pelt_rbf": _pelt("rbf"),
@@ -207,3 +207,26 @@ SELECT ds AS series_id, m AS model_id, round(avg(c), 9) AS consensus, round(avg(
 ORACLE["bh_correction"] = f"""WITH t AS (SELECT change_point, feature, round(p_value, 9) AS p_value FROM ({ORACLE['effects_with_tests']})), r AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value, change_point, feature) AS i FROM t)
 SELECT change_point, feature, p_value, round(least(1, min(p_value * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS p_bh, round(least(1, p_value * m), 9) AS p_bonferroni,
 least(1, min(p_value * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) < 0.05 AS significant FROM r"""
+
+
+def _mahalanobis_sql() -> str:
+    """The inverse covariance by sweeping one row of the matrix after the other, a table for each step."""
+    names = ["cv", "mean", "skewness", "pct_severe"]
+    k = range(len(names))
+    s = lambda i, j: f"s{min(i, j)}{max(i, j)}"
+    pairs = [(i, j) for i in k for j in k if i <= j]
+    wide = ", ".join(f"max(value) FILTER (feature = '{f}') AS f{i}" for i, f in enumerate(names))
+    cov = ", ".join(f"((n0 - 1) * c0_{i}{j} + (n1 - 1) * c1_{i}{j}) / (n0 + n1 - 2) + {1e-6 if i == j else 0e0} AS s{i}{j}" for i, j in pairs)
+    side = ", ".join(f"covar_samp(f{i}, f{j}) FILTER ({'NOT ' * (not b)}post) AS c{b}_{i}{j}" for b in (0, 1) for i, j in pairs)
+    moved = ", ".join(f"avg(f{i}) FILTER (post) - avg(f{i}) FILTER (NOT post) AS z{i}" for i in k)
+    out = f"WITH {_SEG}, w AS (SELECT change_point, day, post, {wide} FROM pa GROUP BY ALL HAVING count(DISTINCT feature) FILTER (feature IN ({', '.join(repr(f) for f in names)})) = 4), a AS (SELECT change_point, count(*) FILTER (NOT post) AS n0, count(*) FILTER (post) AS n1, {moved}, {side} FROM w GROUP BY 1), t0 AS (SELECT change_point, {', '.join(f'z{i}' for i in k)}, {cov} FROM a WHERE n0 >= 2 AND n1 >= 2)"
+    for p in k:
+        d = s(p, p)
+        new = {(i, j): f"-1 / {d}" if i == j == p else f"{s(i, j)} / {d}" if p in (i, j) else f"{s(i, j)} - {s(i, p)} * {s(p, j)} / {d}" for i, j in pairs}
+        out += f", t{p + 1} AS (SELECT change_point, {', '.join(f'z{i}' for i in k)}, {', '.join(f'{e} AS s{i}{j}' for (i, j), e in new.items())} FROM t{p})"
+    square = " - ".join(["0"] + [f"z{i} * z{j} * {s(i, j)}" for i in k for j in k])
+    parts = " UNION ALL ".join(f"SELECT change_point, '{f}' AS feature, z{i} * z{i} / s{i}{i} AS part FROM t0" for i, f in enumerate(names))
+    return out + f", e AS ({parts}) SELECT change_point, round(sqrt({square}), 6) AS distance, feature, round(coalesce(part / nullif(sum(part) OVER (PARTITION BY change_point), 0) * 100, 0), 6) AS share FROM e JOIN t4 USING (change_point)"
+
+
+ORACLE["mahalanobis"] = _mahalanobis_sql()

@@ -87,13 +87,17 @@ def _stated(s: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_type").alias("dataset")).distinct().crossJoin(F.broadcast(whole)).withColumn("missingness_rate", F.lit(0.5))
 
 
+def _clusters(obs: DataFrame) -> DataFrame:
+    return optimal.two_clusters(daily.daily_features(obs, ("dataset",)), ["mean", "std", "cv", "n_obs", "pct_severe"])
+
+
 def _datasets(s: SparkSession, d: str) -> DataFrame:
     obs = obs_events(s, d, by_type=True)
-    return compare.rank_datasets(obs, compare.two_levels(obs), _stated(s, d))
+    return compare.rank_datasets(obs, _clusters(obs), _stated(s, d))
 
 
 def _levels(s: SparkSession, d: str) -> DataFrame:
-    return compare.two_levels(obs_lineitem(s, d).withColumn("dataset", F.lit("lineitem")))
+    return _clusters(obs_lineitem(s, d).withColumn("dataset", F.lit("lineitem")))
 
 
 def _profile(s: SparkSession, d: str) -> DataFrame:
@@ -207,6 +211,23 @@ RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _two_sql(obs: str, starts: int = 9, rounds: int = 12) -> str:
+    """Two clusters of the days of each ds by rounds of k-means from several cuts along the mean; lb has the cheapest ones."""
+    f = ("m", "s", "c", "o", "v")
+    out = f"""da AS (SELECT ds, day, CAST(avg(x) AS DOUBLE) AS m, CAST(coalesce(stddev_samp(x), 0) AS DOUBLE) AS s, CAST(coalesce(greatest(0, least(5, stddev_samp(x) / (avg(x) + 1e-6))), 0) AS DOUBLE) AS c, CAST(count(*) AS DOUBLE) AS o, avg(CASE WHEN x >= 20 THEN 1e0 ELSE 0e0 END) AS v FROM {obs} GROUP BY 1, 2),
+pl AS (SELECT *, count(*) OVER (PARTITION BY ds) AS n, row_number() OVER (PARTITION BY ds ORDER BY round(m, 9), day) - 1 AS i FROM da),
+l0 AS (SELECT ds, run, day, {", ".join(f)}, CAST(i * {starts + 1} >= n * run AS INT) AS label, 0e0 AS square FROM pl CROSS JOIN (SELECT CAST(unnest(range(1, {starts + 1})) AS INT) AS run))"""
+    for i in range(rounds):
+        out += f""",
+c{i} AS (SELECT ds, run, label, {", ".join(f"avg({x}) AS c{x}" for x in f)} FROM l{i} GROUP BY ALL),
+l{i + 1} AS (SELECT ds, run, day, {", ".join(f"any_value({x}) AS {x}" for x in f)}, CAST(arg_min(label, (round(q, 9), label)) AS INT) AS label, arg_min(q, (round(q, 9), label)) AS square
+    FROM (SELECT p.ds, p.run, p.day, {", ".join(f"p.{x}" for x in f)}, k.label, {" + ".join(f"(p.{x} - k.c{x}) * (p.{x} - k.c{x})" for x in f)} AS q FROM l0 p JOIN c{i} k ON p.ds = k.ds AND p.run = k.run) GROUP BY ds, run, day)"""
+    return out + f""",
+ch AS (SELECT ds, arg_min(run, (round(q, 6), run)) AS run FROM (SELECT ds, run, sum(square) AS q FROM l{rounds} GROUP BY ALL) GROUP BY 1),
+lm AS (SELECT ds, run, label, avg(m) AS a FROM l{rounds} GROUP BY ALL), lo AS (SELECT ds, label, row_number() OVER (PARTITION BY ds ORDER BY round(a, 9), label) - 1 AS place FROM lm SEMI JOIN ch USING (ds, run)),
+lb AS (SELECT ds, day, m, CAST(place AS INT) AS label FROM l{rounds} SEMI JOIN ch USING (ds, run) JOIN lo USING (ds, label))"""
+
+
 def _fits_sql(smallest: int, largest: int, rounds: int, runs: int, seed: int = 1234) -> str:
     """The rounds of k-means over days by type, and uniform references, as a chain of tables; ct has the costs."""
     chance = lambda f: f"CAST(CAST('0x' || substr(md5('{seed}:' || run || ':' || dataset || ':' || day || ':{f}'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296e0"
@@ -242,8 +263,7 @@ def oracle(ev: str, orders: str, li: str, mom: str, eff: str, seg: str, dom: str
     hyp = full_dom + ", rk AS (SELECT *, row_number() OVER (PARTITION BY change_point ORDER BY contribution DESC, feature) AS i FROM dm), hy AS (SELECT change_point, feature AS driver, contribution, contribution >= 30 AND significant AS confirmed FROM rk JOIN (SELECT change_point, feature, significant FROM fu) USING (change_point, feature) WHERE i = 1)"
     bands = lambda edges: " ".join(f"WHEN {c} THEN '{n}'" for c, n in edges)
     types = "eo AS (SELECT event_type AS ds, user_id AS p, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS INT) AS day, least(27.0, avg(value) * 0.27) AS x FROM events GROUP BY 1, 2, 3)"
-    split = "d1 AS (SELECT ds, day, avg(x) AS m FROM {o} GROUP BY ALL), d2 AS (SELECT *, row_number() OVER w AS i, sum(m) OVER (PARTITION BY ds ORDER BY m, day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s, count(*) OVER (PARTITION BY ds) AS n, sum(m) OVER (PARTITION BY ds) AS st FROM d1 WINDOW w AS (PARTITION BY ds ORDER BY m, day)), d3 AS (SELECT ds, i, row_number() OVER (PARTITION BY ds ORDER BY round(s * s / i + (st - s) * (st - s) / (n - i), 9) DESC, i) AS k FROM d2 WHERE i < n), lb AS (SELECT d2.ds, day, m, CAST(d2.i > d3.i AS INT) AS label FROM d2 JOIN d3 ON d3.ds = d2.ds AND k = 1)"
-    levels = li + ", ol AS (SELECT 'lineitem' AS ds, * FROM ob), " + split.format(o="ol")
+    levels = li + ", ol AS (SELECT 'lineitem' AS ds, * FROM ob), " + _two_sql("ol")
     out = {
         "pelt_l2": f"WITH RECURSIVE {rg}, ar AS (SELECT series_id, list(x ORDER BY t) AS x, CAST(count(*) AS INT) AS n FROM sg GROUP BY 1 HAVING count(*) >= 10), pr AS (SELECT series_id, n, list_transform(range(0, n + 1), lambda i: coalesce(list_sum(x[1:i]), 0.0)) AS p, list_transform(range(0, n + 1), lambda i: coalesce(list_sum(list_transform(x[1:i], lambda v: v * v)), 0.0)) AS q FROM ar), "
         "pn AS (SELECT pow(10.0, -2 + 3 * unnest(range(0, 50)) / 49.0) AS pen), f AS (SELECT series_id, n, pen, 0 AS j, [-pen] AS best, [0] AS back FROM pr, pn UNION ALL SELECT f.series_id, f.n, pen, j + 1, list_append(best, m.c), list_append(back, m.i) FROM (SELECT f.*, CASE WHEN j + 1 < 5 THEN {'c': CAST('inf' AS DOUBLE), 'i': 0} ELSE list_min(list_transform(range(0, j - 3), lambda i: {'c': best[i + 1] + (q[j + 2] - q[i + 1]) - (p[j + 2] - p[i + 1]) * (p[j + 2] - p[i + 1]) / (j + 1 - i) + pen, 'i': CAST(i AS INT)})) END AS m FROM f JOIN pr USING (series_id) WHERE j < f.n) f), "
@@ -263,7 +283,7 @@ def oracle(ev: str, orders: str, li: str, mom: str, eff: str, seg: str, dom: str
         "evidence": f"WITH {hyp}, ey AS (SELECT change_point, sum(CASE WHEN contribution > 0 THEN -contribution / 100 * ln(contribution / 100) ELSE 0 END) / ln(count(*)) AS z FROM dm GROUP BY 1), co AS ("
         + " UNION ALL ".join(f"SELECT corr(cv, {f}) AS r FROM mo" for f in ("mean", "std", "skewness", "pct_severe", "median", "iqr"))
         + "), on1 AS (SELECT (SELECT count(DISTINCT driver) FROM hy) AS n_drivers, (SELECT count(*) FROM co WHERE abs(r) < 0.5) AS n_independent, (SELECT avg(z) FROM ey) AS mean_entropy, (SELECT count(*) FROM hy WHERE confirmed) AS n_confirmed), tw AS (SELECT *, CAST(n_drivers > 1 AS INT) + CAST(n_independent >= 2 AS INT) + CAST(mean_entropy > 0.6 AS INT) + CAST(n_confirmed >= 2 AS INT) AS evidence FROM on1) SELECT n_drivers, n_independent, round(mean_entropy, 9) AS mean_entropy, n_confirmed, evidence, CASE WHEN evidence >= 3 THEN 'proceed' WHEN evidence >= 2 THEN 'consider' ELSE 'reject' END AS verdict FROM tw",
-        "dataset_ranking": f"WITH {types}, {split.format(o='eo')}, mv AS (SELECT ds, label <> lag(label) OVER (PARTITION BY ds ORDER BY day) AS moved FROM lb), ts AS (SELECT ds, CASE WHEN count(*) < 2 THEN 50.0 ELSE (1 - count(*) FILTER (moved) / (count(*) - 1)) * 100 END AS temporal_stability FROM mv GROUP BY 1), dc AS (SELECT ds, avg(s / (m + 1e-6)) AS cv FROM (SELECT ds, day, avg(x) AS m, stddev_samp(x) AS s FROM eo GROUP BY ALL) GROUP BY 1), mm AS (SELECT ds, avg(x) AS mu, stddev_pop(x) AS sd, skewness(x) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1)) AS sk, kurtosis_pop(x) AS ku, avg(CASE WHEN (x >= 10 AND x < 15) OR x >= 20 THEN 1.0 ELSE 0 END) AS sh, count(*) AS n, count(DISTINCT day) AS nd, count(DISTINCT p) AS np FROM eo GROUP BY 1), ou AS (SELECT ds, avg(CASE WHEN abs(x - mu) > 3 * sd THEN 1.0 ELSE 0 END) AS rate FROM eo JOIN mm USING (ds) GROUP BY 1), wh AS (SELECT count(DISTINCT CAST(ts AS DATE)) AS td, count(DISTINCT user_id) AS tp FROM events), "
+        "dataset_ranking": f"WITH {types}, {_two_sql('eo')}, mv AS (SELECT ds, label <> lag(label) OVER (PARTITION BY ds ORDER BY day) AS moved FROM lb), ts AS (SELECT ds, CASE WHEN count(*) < 2 THEN 50.0 ELSE (1 - count(*) FILTER (moved) / (count(*) - 1)) * 100 END AS temporal_stability FROM mv GROUP BY 1), dc AS (SELECT ds, avg(s / (m + 1e-6)) AS cv FROM (SELECT ds, day, avg(x) AS m, stddev_samp(x) AS s FROM eo GROUP BY ALL) GROUP BY 1), mm AS (SELECT ds, avg(x) AS mu, stddev_pop(x) AS sd, skewness(x) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1)) AS sk, kurtosis_pop(x) AS ku, avg(CASE WHEN (x >= 10 AND x < 15) OR x >= 20 THEN 1.0 ELSE 0 END) AS sh, count(*) AS n, count(DISTINCT day) AS nd, count(DISTINCT p) AS np FROM eo GROUP BY 1), ou AS (SELECT ds, avg(CASE WHEN abs(x - mu) > 3 * sd THEN 1.0 ELSE 0 END) AS rate FROM eo JOIN mm USING (ds) GROUP BY 1), wh AS (SELECT count(DISTINCT CAST(ts AS DATE)) AS td, count(DISTINCT user_id) AS tp FROM events), "
         "sc AS (SELECT ds AS dataset, temporal_stability, (CASE WHEN cv BETWEEN 0.10 AND 0.60 THEN 100.0 ELSE 50.0 END + 100 - abs(sh - 0.70) * 100) / 2 AS clinical_realism, 0.5 * CASE WHEN rate <= 0.05 THEN 100.0 ELSE 100 * (1 - rate) END + 0.25 * CASE WHEN abs(sk) < 1 THEN 100.0 ELSE greatest(0, 100 - (abs(sk) - 1) * 20) END + 0.25 * CASE WHEN abs(ku) < 2 THEN 100.0 ELSE greatest(0, 100 - (abs(ku) - 2) * 20) END AS statistical_quality, 100.0 - CASE WHEN nd <> td THEN 20 ELSE 0 END - CASE WHEN np <> tp THEN 20 ELSE 0 END - CASE WHEN abs(1 - n / (nd * np) - 0.5) > 0.03 THEN 20 ELSE 0 END AS metadata_consistency FROM ts JOIN dc USING (ds) JOIN mm USING (ds) JOIN ou USING (ds) CROSS JOIN wh), cs AS (SELECT *, 0.35 * temporal_stability + 0.30 * clinical_realism + 0.20 * statistical_quality + 0.15 * metadata_consistency AS composite_score FROM sc), rk AS (SELECT *, CAST(row_number() OVER (ORDER BY round(composite_score, 9) DESC, dataset) AS INT) AS rank FROM cs) "
         f"SELECT dataset, {r('temporal_stability', 'clinical_realism', 'statistical_quality')}, round(CAST(metadata_consistency AS DOUBLE), 9) AS metadata_consistency, round(composite_score, 9) AS composite_score, rank, rank = 1 AS recommended FROM rk",
         "cluster_profile": f"WITH {levels}, f AS (SELECT day, avg(x) AS mean, coalesce(stddev_samp(x), 0) AS std, count(*) AS n FROM ob GROUP BY day), g AS (SELECT label, count(*) AS n_days, avg(mean) AS avg_score, avg(std) AS std_score_daily, avg(n) AS n_obs_avg, min(mean) AS min_score, max(mean) AS max_score FROM f JOIN lb USING (day) GROUP BY 1) SELECT label, n_days, {r('avg_score', 'std_score_daily', 'n_obs_avg', 'min_score', 'max_score')}, CASE WHEN avg_score >= 20 THEN 'Severe' WHEN avg_score >= 15 THEN 'Moderate' WHEN avg_score >= 10 THEN 'Mild' ELSE 'Minimal' END AS severity FROM g",

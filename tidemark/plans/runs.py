@@ -50,7 +50,7 @@ def detection(signals: DataFrame, settings: Detection | None = None, chosen: Sel
         detected = detected.unionByName(other)
     out = {"detected": settings.stamped(detected), "status": settings.stamped(signals.sparkSession.createDataFrame(status, STATUS))}
     if settings.selection_enabled:
-        out["selected"] = chosen.stamped(selection.select(detected, chosen.families, chosen.model_ids, chosen.strategy))
+        out["selected"] = chosen.stamped(selection.select(detected, chosen.families, chosen.model_ids, chosen.strategy, chosen.weights))
     return out
 
 
