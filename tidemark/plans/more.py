@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import compare, daily, detect, inference, labels, linkage, models, optimal, plotdata, posthoc, sequence, trajectories
+from ..session import stored
 from ..settings import Detection
 from ..sources import obs_events, obs_lineitem, obs_orders
 
@@ -45,7 +46,7 @@ def _hazards(s: SparkSession, d: str) -> DataFrame:
 
 def _cp_tests(s: SparkSession, d: str) -> DataFrame:
     x = signals(s, d)
-    return detect.validate(detect.points(detect.pelt_l2(x)).cache(), x)
+    return detect.validate(stored(detect.points(detect.pelt_l2(x)), "points"), x)
 
 
 def _seg_stats(s: SparkSession, d: str) -> DataFrame:
