@@ -28,3 +28,12 @@ def test_three_equal_distances(spark, tmp_path):
     got, want = both(spark, tmp_path, "weighted_autocorr", orders=orders)
     assert [r[0] for r in got] == [r[0] for r in want] and 12 not in [r[0] for r in got]
     assert all(g[1] == pytest.approx(w[1], abs=2e-9) and math.isclose(g[2], 3) for g, w in zip(got, want, strict=True))
+
+
+def test_report_counts_the_same_patients(spark, tmp_path):
+    """Patients 11, 12 and 13 with three equal distances: SQL counts two of them."""
+    rows = [(g, dt.date(1995, 1, 2) + dt.timedelta(weeks=g * i), x) for g in (11, 12, 13) for i, x in enumerate([1e5, 3e5, 2e5, 4e5])]
+    orders = spark.createDataFrame(rows, "o_custkey long, o_orderdate date, o_totalprice double")
+    got, want = both(spark, tmp_path, "autocorrelation_report", orders=orders)
+    assert got[0][4:] == want[0][4:] and got[0][4] == 2
+    assert got[0][:4] == pytest.approx(want[0][:4], abs=2e-9)
