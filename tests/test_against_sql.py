@@ -37,3 +37,21 @@ def test_report_counts_the_same_patients(spark, tmp_path):
     got, want = both(spark, tmp_path, "autocorrelation_report", orders=orders)
     assert got[0][4:] == want[0][4:] and got[0][4] == 2
     assert got[0][:4] == pytest.approx(want[0][:4], abs=2e-9)
+
+
+def test_means_on_an_edge(spark, tmp_path):
+    """Values added up in order of time, whatever order the rows are in: by some orders a mean of 25 or 40 falls short of it."""
+    import random
+
+    rng, rows = random.Random(5), []
+    for user in range(400):
+        edge = rng.choice([1500, 2500, 4000, 5500, 7500])
+        a, b, c = (rng.randint(100, edge) for _ in range(3))
+        for i, cents in enumerate([a, b, c, 4 * edge - a - b - c]):
+            rows.append((4 * user + i, dt.datetime(2024, 1, 1, i), user, cents / 100))
+    schema = "event_id long, ts timestamp, user_id long, value double"
+    db_rows = spark.createDataFrame(rows, schema).coalesce(1)
+    got, want = both(spark, tmp_path / "sorted", "score_histogram", events=db_rows)
+    assert got == want
+    spark.createDataFrame(rng.sample(rows, len(rows)), schema).repartition(5).write.parquet(f"{tmp_path}/dealt/events.parquet")
+    assert sorted(tuple(r) for r in entry.queries()["score_histogram"](spark, f"{tmp_path}/dealt").collect()) == want
