@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import duckdb
 import pytest
@@ -39,6 +40,23 @@ def test_report_counts_the_same_patients(spark, tmp_path):
     assert got[0][:4] == pytest.approx(want[0][:4], abs=2e-9)
 
 
+def test_report_of_nine_digits(spark, tmp_path):
+    """Three correlations whose mean is -0.248617204 as they are and -0.248617205 of their nine digits, which SQL adds up."""
+    rng = random.Random(10)
+    rows = [(p, dt.date(1995, 1, 2) + dt.timedelta(weeks=i), float(rng.randrange(1000, 500000))) for p in range(3) for i in range(6)]
+    orders = spark.createDataFrame(rows, "o_custkey long, o_orderdate date, o_totalprice double")
+    got, want = both(spark, tmp_path, "autocorrelation_report", orders=orders)
+    assert got == want and got[0][0] == -0.248617205
+
+
+def test_checks_of_nine_digits(spark, tmp_path):
+    """Three first scores whose mean is just below 1.0000005, and above it by their nine digits."""
+    rows = [(p, dt.date(1995, 1, 2), x * 500000 / 27) for p, x in enumerate([1.0000004996, 1.0000004996, 1.0000005006])]
+    orders = spark.createDataFrame(rows, "o_custkey long, o_orderdate date, o_totalprice double")
+    got, want = (dict(r[:2] for r in rows)["baseline_mean"] for rows in both(spark, tmp_path, "validation_checks", orders=orders))
+    assert got == want == 1.000001
+
+
 def test_means_on_an_edge(spark, tmp_path):
     """Values added up in order of time, whatever order the rows are in: by some orders a mean of 25 or 40 falls short of it."""
     import random

@@ -26,19 +26,21 @@ BOUNDS = {
 
 
 def checks(obs: DataFrame, n_days: int | None = None) -> DataFrame:
-    """A check without a value (nobody to compute it from) isn't ok."""
+    """A check without a value (nobody to compute it from) isn't ok. Correlations, scores and missingness are taken to nine digits,
+    as the queries of their own give them and SQL adds them up."""
+    nine = lambda c: F.round(c, 9)
     # with no visit near the twelfth week, the final visits tell the improvement
     final = trajectories.baseline_final(obs).where("n >= 2").agg(F.avg(F.col("baseline") - F.col("final")).alias("final"))
     score = obs.agg(F.min("score").alias("score_min"), F.max("score").alias("score_max"))
     end = trajectories.endpoint_nearest(obs)
-    near = end.agg(F.avg("improvement").alias("near"), F.avg(F.when(F.col("counted"), F.col("responder").cast("double"))).alias("response_rate_12_weeks"))  # one row, as is final
+    near = end.agg(F.avg(nine("improvement")).alias("near"), F.avg(F.when(F.col("counted"), F.col("responder").cast("double"))).alias("response_rate_12_weeks"))  # one row, as is final
     missing = daily.missingness(obs, n_days)
     values = [
         score,
-        trajectories.weighted_autocorrelation(obs).agg(F.avg("r").alias("autocorrelation")),
-        trajectories.baseline_final(obs).agg(F.avg("baseline").alias("baseline_mean")),
+        trajectories.weighted_autocorrelation(obs).agg(F.avg(nine("r")).alias("autocorrelation")),
+        trajectories.baseline_final(obs).agg(F.avg(nine("baseline")).alias("baseline_mean")),
 near.crossJoin(final).select(F.coalesce("near", "final").alias("improvement_12_weeks"), "response_rate_12_weeks"),
-        missing.select(F.col("total").alias("missingness"), F.col("excess").alias("excess_missingness"), F.col("n_days").cast("double").alias("n_days"), F.col("n_obs").cast("double").alias("n_observations")),
+        missing.select(nine("total").alias("missingness"), nine("excess").alias("excess_missingness"), F.col("n_days").cast("double").alias("n_days"), F.col("n_obs").cast("double").alias("n_observations")),
         daily.outlier_rate(obs).select(F.col("rate").alias("outlier_rate")),
     ]
     long = reduce(DataFrame.unionByName, (v.unpivot([], v.columns, "check", "value") for v in values))

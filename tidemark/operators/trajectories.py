@@ -107,8 +107,9 @@ def weighted_autocorrelation(obs: DataFrame, window: int = 21, scale: float = 10
 
 def autocorrelation_report(obs: DataFrame, near: int = 14) -> DataFrame:
     """One row: mean, population deviation, least and greatest of the patients' correlations, their number, the median distance of
-    consecutive visits (of patients with three or more) and the share of distances up to `near` days; no values without patients."""
-    r = weighted_autocorrelation(obs).agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"), F.min("r").alias("least"), F.max("r").alias("greatest"), F.count("r").alias("n_patients"))
+    consecutive visits (of patients with three or more) and the share of distances up to `near` days; no values without patients.
+    Correlations are taken to nine digits, as `weighted_autocorr` gives them and SQL adds them up."""
+    r = weighted_autocorrelation(obs).withColumn("r", F.round("r", 9)).agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"), F.min("r").alias("least"), F.max("r").alias("greatest"), F.count("r").alias("n_patients"))
     enough = obs.withColumn("n", F.count("score").over(Window.partitionBy("patient_id"))).where("n >= 3")
     gap = F.col("next_day") - F.col("day")
     g = steps(enough).agg(F.percentile(gap, F.lit(0.5)).alias("median_gap"), F.avg(F.when(gap.isNotNull(), (gap <= near).cast("double"))).alias("share_near"))
