@@ -68,3 +68,32 @@ def test_scores_by_rows(spark):
     key = lambda r: (r["doc_id"] or 0, r["n_words"], round(r["log_score"], 9), -1 if r["mean_log_score"] is None else round(r["mean_log_score"], 9), r["n_triples"], r["n_pairs"])
     want, got = (sorted(map(key, f(docs).collect())) for f in (lm.score, lm.score_by_rows))
     assert got == want and lm.score_by_rows(docs.limit(0)).count() == 0
+
+
+def test_blocks_in_proportion_to_the_input():
+    """Chunks times buckets, at the text of 6 GB of documents and at twelve times less."""
+    from tidemark.llm import _chunks
+
+    large, small = (_chunks.Layout(n << 20, growing=True) for n in (10_400, 867))
+    assert small.chunks == _chunks.Layout(867 << 20).chunks
+    assert large.chunks * large.buckets <= 24 * small.chunks * small.buckets
+
+
+def test_small_groups_meet_as_in_trees():
+    """Groups of up to FEW members, gone through together, against a tree each; sets of 70 to 85 shingles of 90, so that some pairs may link."""
+    rng, words = np.random.default_rng(3), np.random.default_rng(4).integers(0, 2**63, 90).astype("u8")
+    lo, rows = [], {k: [] for k in ("n", "m", "pos", "label", "bits")}
+    for size in (1, 2, 5, 31, 32):
+        lo.append(len(rows["n"]))
+        for _ in range(size):
+            mine = np.sort(rng.choice(words, int(rng.integers(70, 86)), replace=False))
+            for k, v in (("n", len(mine)), ("m", len(mine)), ("pos", int(rng.integers(0, 8))), ("label", int(rng.integers(0, 9))), ("bits", np.frombuffer(ngram_join._signature(mine), "<u8"))):
+                rows[k].append(v)
+    rows = {k: np.array(v) for k, v in rows.items()}
+    lo, hi = np.array(lo), np.array(lo[1:] + [len(rows["n"])])
+    got = set(zip(*(x.tolist() for x in ngram_join._within(rows, lo, hi, 75)), strict=True))
+    want = set()
+    for a, b in zip(lo, hi, strict=True):
+        t = ngram_join.Tree(rows["n"][a:b], rows["m"][a:b], (rows["m"] - rows["pos"])[a:b], rows["label"][a:b], rows["bits"][a:b])
+        want |= {(int(i + a), int(j + a)) for i, j in zip(*ngram_join.traverse(t, t, True, 75), strict=True)}
+    assert got == want and want

@@ -20,6 +20,9 @@ from ._shared import power_of_two, text_bytes
 
 U = np.uint64
 CHUNK_BYTES = 4 << 20
+#: Beyond so many chunks they may grow as the root of the input, so that chunks times buckets is in proportion to it; up to so many bytes.
+MANY = 256
+LARGEST_BYTES = 32 << 20
 REQUEST = "bucket int, chunk int, kind int, tokens binary, counts binary"
 REPLY = "bucket int, chunk int, kind int, counts binary"
 #: Rows of kinds below 0 pass a bucket unchanged: what a chunk leaves for its own next pass.
@@ -56,9 +59,11 @@ def unplaned(body: bytes, n: int) -> np.ndarray:
 
 
 class Layout:
-    """How many chunks and buckets; both follow the bytes of text."""
+    """How many chunks and buckets; both follow the bytes of text, or with `growing` chunks their root."""
 
-    def __init__(self, total: int, chunk_bytes: int = CHUNK_BYTES):
+    def __init__(self, total: int, chunk_bytes: int = CHUNK_BYTES, growing: bool = False):
+        if growing and total > MANY * chunk_bytes:
+            chunk_bytes = max(chunk_bytes, min(LARGEST_BYTES, int((total * chunk_bytes / MANY) ** 0.5)))
         self.chunks = max(1, -(-total // chunk_bytes))
         self.bits = power_of_two(self.chunks).bit_length() - 1
         self.buckets = 1 << self.bits
@@ -85,8 +90,8 @@ class Layout:
         out.append((chunk % self.buckets if bucket is None else bucket, chunk, -abs(kind), b"", body))
 
 
-def layout(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Layout:
-    return Layout(text_bytes(documents), chunk_bytes)
+def layout(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, growing: bool = False) -> Layout:
+    return Layout(text_bytes(documents), chunk_bytes, growing)
 
 
 def dealt(documents: DataFrame, plan: Layout) -> DataFrame:

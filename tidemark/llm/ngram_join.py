@@ -13,7 +13,8 @@ texts link when 100 |A n B| >= percent |A u B|.
    and nodes hold the OR of token bitmaps, ranges of sizes and the class if it is one. Two trees (or one with itself) are
    traversed together; a pair of nodes is left out when its largest possible overlap is too small, or when both hold one
    and the same class. What is left is verified on the sets. Groups beyond BLOCK members are split into blocks, and each
-   pair of blocks is a task's own traversal.
+   pair of blocks is a task's own traversal. Groups of up to FEW members are one leaf each, and the leaves of a batch are
+   gone through together.
 
 No pair is dropped: a pair that links shares a prefix shingle and is either in one class after step 2 or met in step 3,
 whatever the number of rounds.
@@ -42,6 +43,7 @@ WIDTH = 5
 BITS = 4096
 LEAF = 4
 FAN = 4
+FEW = 32
 BLOCK = 1024
 PAIRS = 8192
 ROUNDS = 3
@@ -80,7 +82,7 @@ def _sets(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def shared_sets(documents: DataFrame, size: int, percent: int) -> DataFrame:
     """(th, n) of all texts, and of those that can link: the shared shingles, the prefix and the signature."""
-    plan = C.layout(documents)
+    plan = C.layout(documents, growing=True)
     texts = documents.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("h"), "text").mapInArrow(_once, "h long, text string")
     docs = texts.select("h", F.lit(0).alias("h2"), "text", F.pmod("h", F.lit(plan.chunks)).cast("int").alias("chunk"))
 
@@ -145,12 +147,16 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
 
 
+def _leaf(n: np.ndarray, m: np.ndarray, left: np.ndarray, label: np.ndarray, bits: np.ndarray) -> dict:
+    pop = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+    return {"low": n, "high": n, "m": m, "left": left, "pop": pop, "bits": bits, "label": label, "one": np.ones(len(n), bool)}
+
+
 class Tree:
     """A signature tree over the members of one block: level 0 holds the members, each further level FAN times fewer nodes."""
 
     def __init__(self, n: np.ndarray, m: np.ndarray, left: np.ndarray, label: np.ndarray, bits: np.ndarray):
-        pop = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-        self.levels = [{"low": n, "high": n, "m": m, "left": left, "pop": pop, "bits": bits, "label": label, "one": np.ones(len(n), bool)}]
+        self.levels = [_leaf(n, m, left, label, bits)]
         step = LEAF
         while len(self.levels[-1]["low"]) > 1:
             x = self.levels[-1]
@@ -222,6 +228,17 @@ def _cross(p: tuple[np.ndarray, np.ndarray], q: tuple[np.ndarray, np.ndarray]) -
     return p[0][row] + at // nq[row], q[0][row] + at % nq[row]
 
 
+def _within(rows: dict[str, np.ndarray], lo: np.ndarray, hi: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that may link, within each of the groups from row lo to hi."""
+    i, j = _cross((lo, hi), (lo, hi))
+    n, label = rows["n"], rows["label"]
+    keep = (i < j) & (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+    i, j = i[keep], j[keep]
+    x = _leaf(n, rows["m"], rows["m"] - rows["pos"], label, rows["bits"])
+    keep = _possible(x, i, x, j, percent)
+    return i[keep], j[keep]
+
+
 def _tree(rows: dict[str, np.ndarray]) -> tuple[Tree, np.ndarray]:
     order = np.lexsort((rows["th"], rows["n"], rows["label"]))
     return Tree(rows["n"][order], rows["m"][order], (rows["m"] - rows["pos"])[order], rows["label"][order], rows["bits"][order]), rows["th"][order]
@@ -256,7 +273,11 @@ def _groups(percent: int):
             ends = np.append(edge[1:], len(rows["gid"]))
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             upto = len(edge) if last else len(edge) - 1
-            for lo, hi in zip(edge[:upto], ends[:upto], strict=True):
+            few = (ends[:upto] - edge[:upto] <= FEW) & (rows["low"][edge[:upto]] == rows["high"][edge[:upto]])
+            i, j = _within(rows, edge[:upto][few], ends[:upto][few], percent)
+            a.append(np.minimum(rows["th"][i], rows["th"][j]))
+            b.append(np.maximum(rows["th"][i], rows["th"][j]))
+            for lo, hi in zip(edge[:upto][~few], ends[:upto][~few], strict=True):
                 x, y = solve({k: v[lo:hi] for k, v in rows.items()})
                 a.append(x)
                 b.append(y)
