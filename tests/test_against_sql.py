@@ -73,3 +73,17 @@ def test_means_on_an_edge(spark, tmp_path):
     assert got == want
     spark.createDataFrame(rng.sample(rows, len(rows)), schema).repartition(5).write.parquet(f"{tmp_path}/dealt/events.parquet")
     assert sorted(tuple(r) for r in entry.queries()["score_histogram"](spark, f"{tmp_path}/dealt").collect()) == want
+
+
+@pytest.mark.parametrize("name", ["score_histogram"])
+def test_means_of_events_out_of_time(spark, tmp_path, name):
+    """Values are added up in the order of the table, which is that of ids, where times run against it."""
+    rng, rows = random.Random(6), []
+    for user in range(600):
+        edge, n = (rng.choice([1500, 4000, 7500]), 4) if user % 2 else (10000 / 3, 3)
+        cents = [rng.randint(100, 3000) for _ in range(n - 1)]
+        for i, x in enumerate([*cents, round(n * edge) - sum(cents)]):
+            rows.append((n * 1000 * user + i, dt.datetime(2024, 1, 1, 20 - i), user, x / 100))
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").coalesce(1)
+    got, want = both(spark, tmp_path, name, events=events)
+    assert got == want

@@ -109,12 +109,12 @@ def obs_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def obs_events(spark: SparkSession, d: str, by_type: bool = False) -> DataFrame:
-    """Values are added up in order of time: in another order a mean may differ in its last bit, and so fall on the other side of
-    an edge, by the tasks that its rows came from."""
+    """Values are added up in order of their events' ids, which is the order of the table: in another order a mean may differ in its
+    last bit, and so fall on the other side of an edge, by the tasks that its rows came from."""
     t = spark.read.parquet(f"{d}/events.parquet")
     keys = ["patient_id", "day"] + ["dataset"] * by_type
     rows = t.select(F.col("user_id").alias("patient_id"), (F.datediff("ts", F.lit("2024-01-01").cast("date")) + 1).alias("day"), *([F.col("event_type").alias("dataset")] * by_type), "ts", "event_id", "value")
-    so_far = Window.partitionBy(*keys).orderBy("ts", "event_id", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy(*keys).orderBy("event_id", "ts", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = rows.select(*keys, F.sum("value").over(so_far).alias("sum"), F.count("value").over(so_far).alias("n"))
     return _collapse(sums, keys, F.least(F.lit(27.0), F.max_by("sum", "n") / F.nullif(F.max("n"), F.lit(0)) * 0.27))
 
