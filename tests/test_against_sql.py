@@ -75,7 +75,7 @@ def test_means_on_an_edge(spark, tmp_path):
     assert sorted(tuple(r) for r in entry.queries()["score_histogram"](spark, f"{tmp_path}/dealt").collect()) == want
 
 
-@pytest.mark.parametrize("name", ["score_histogram"])
+@pytest.mark.parametrize("name", ["score_histogram", "score_labels"])
 def test_means_of_events_out_of_time(spark, tmp_path, name):
     """Values are added up in the order of the table, which is that of ids, where times run against it."""
     rng, rows = random.Random(6), []
